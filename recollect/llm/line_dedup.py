@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.llm.cuckoo import CuckooFilter, Full
 from recollect.llm.shared import stored
@@ -209,5 +210,5 @@ def without_repeated_lines(docs: DataFrame, index: LineIndex | None = None, min_
     drops = index.drops().groupBy("doc_id").agg(F.collect_list("key").alias("__drops"))
     docs = docs.drop("n_lines", "n_dropped")
     joined = docs.join(drops.withColumnRenamed("doc_id", "__id"), docs["doc_id"] == F.col("__id"), "left").drop("__id")
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_without(index.min_chars), schema)
