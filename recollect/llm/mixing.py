@@ -95,3 +95,13 @@ def mixed(docs: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
     edge = edge.withColumn("extra", (2 * F.col("goal") >= 2 * F.col("end") - F.col("size")).cast("int")).drop("end")
     rest = placed.where("bin != cut_bin").withColumn("extra", (F.col("bin") < F.col("cut_bin")).cast("int"))
     return edge.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).cast("long").alias("times"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mixed`` takes it; options are those of ``mixed``.
+
+    Rows that share a doc_id are taken as often as the one of them taken most.
+    """
+    times = mixed(docs, **options).groupBy("doc_id").agg(F.max("times").alias("__times")).where(F.col("__times") > 0).withColumnRenamed("doc_id", "__id")
+    taken = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

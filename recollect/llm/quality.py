@@ -18,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.wordpieces import WordTable, piece_encoder
@@ -93,14 +92,14 @@ def measures(text: bytes, table: WordTable, is_byte: np.ndarray) -> tuple:
     return *base, chars / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum()))
 
 
-def _judged(vocabulary: str, bands: dict[str, Band], has_lang: bool):
+def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int | None, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, is_byte = piece_encoder(vocabulary)
         table = WordTable(encode)
         for batch in batches:
             rows = []
-            langs = batch.column(2).to_pylist() if has_lang else [None] * len(batch)
-            for text, lang in zip(batch.column(1).cast(pa.large_binary()), langs, strict=True):
+            langs = [None] * len(batch) if lang_at is None else batch.column(lang_at).to_pylist()
+            for text, lang in zip(batch.column(text_at).cast(pa.large_binary()), langs, strict=True):
                 text = text.as_py() or b""
                 m = measures(text, table, is_byte)
                 failed = m[0] < MIN_WORDS or 100 * m[4] > MAX_REPEATED * m[0]
@@ -115,10 +114,10 @@ def _judged(vocabulary: str, bands: dict[str, Band], has_lang: bool):
                     elif m[7] < band.least_entropy:
                         reason = "token_entropy"
                 rows.append((*m, failed, not failed and reason is None, name, reason))
-            columns = list(zip(*rows, strict=True)) or [()] * 12
+            columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
             kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2 + [pa.string()] * 2
             out = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2 + has_lang, batch.num_columns)), *out], names=[*batch.schema.names[2 + has_lang :], *NAMES])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *out], names=[*batch.schema.names[:carried], *NAMES])
 
     return run
 
@@ -140,8 +139,8 @@ def quality(docs: DataFrame, vocabulary: str, carry: list[str], text_col: str =
     alike; an empty table stays empty.
     """
     carry = [c for c in carry if c not in NAMES]
-    has_lang = lang_col is not None and lang_col in docs.columns
-    lang = [F.col(lang_col).cast("string").alias("__lang")] if has_lang else []
-    framed = docs.select(F.lit(0).alias("__pad"), F.col(text_col).alias("__text"), *lang, *carry)
-    schema = T.StructType([*(f for f in framed.schema.fields if f.name in carry), *(T.StructField(n, k) for n, k in zip(NAMES, _KINDS, strict=True))])
-    return framed.mapInArrow(_judged(vocabulary, bands or BANDS, has_lang), schema)
+    needed = [c for c in (text_col, lang_col) if c in docs.columns]
+    framed = docs.select(*carry, *(c for c in dict.fromkeys(needed) if c not in carry))
+    lang_at = framed.columns.index(lang_col) if lang_col in framed.columns else None
+    schema = T.StructType([*framed.schema.fields[: len(carry)], *(T.StructField(n, k) for n, k in zip(NAMES, _KINDS, strict=True))])
+    return framed.mapInArrow(_judged(vocabulary, bands or BANDS, framed.columns.index(text_col), lang_at, len(carry)), schema)
