@@ -52,13 +52,22 @@ def on_cycles(edges: DataFrame, limit: int = 64) -> DataFrame:
 
 
 def final_of(redirects: DataFrame, limit: int = 64) -> DataFrame:
-    """(node, final) of replacement chains (node, parent): the end of each node's chain.
+    """(node, final) of replacement chains (node, parent): the end of each node's chain, its own for an end.
 
-    A chain that runs in a circle has no end; its nodes are left out.
+    Every step doubles the stretch of chain that a node has behind it, so a chain takes
+    as many steps as its length has binary digits. A chain that runs in a circle has no
+    end; its nodes are left out.
     """
-    ends = redirects.select("parent").distinct().join(redirects.select(F.col("node").alias("parent")), "parent", "left_anti")
-    closure = ancestors(redirects, limit)
-    return closure.join(ends.select(F.col("parent").alias("ancestor")), "ancestor", "left_semi").select("node", F.col("ancestor").alias("final"))
+    links = redirects.where("node is not null and parent is not null").select("node", "parent").distinct()
+    at = kept(links.toDF("node", "at"))
+    for _ in range(limit):
+        ahead = at.toDF("at", "further")
+        if at.join(ahead, "at", "left_semi").isEmpty():
+            break
+        step = at.join(ahead, "at", "left").select("node", F.coalesce("further", "at").alias("at"))
+        at = kept(step.where("node != at").distinct())
+    ends = links.select(F.col("parent").alias("at")).join(links.select(F.col("node").alias("at")), "at", "left_anti").distinct()
+    return at.join(ends, "at", "left_semi").select("node", F.col("at").alias("final")).union(ends.select("at", F.col("at").alias("final")))
 
 
 def redirected(df: DataFrame, redirects: DataFrame, *columns: str) -> DataFrame:
