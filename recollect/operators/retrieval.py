@@ -100,16 +100,22 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(terms(text), " "), F.lit(" "))
+
+
 def phrase_hits(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, id): documents whose terms hold the phrase's terms in a row.
 
-    A phrase is looked up by its first term, so documents without it are not compared.
+    Only documents that hold the phrase's rarest term are compared with it.
     """
-    asked = phrases.select("query_id", terms(F.col("text")).alias("p")).where(F.size("p") > 0)
-    asked = asked.select("query_id", F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")).alias("phrase"), F.col("p")[0].alias("term"))
-    held = docs.select("id", terms(F.col("text")).alias("t"))
-    held = held.select("id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("body"), F.explode(F.array_distinct("t")).alias("term"))
-    return held.join(asked, "term").where(F.expr("contains(body, phrase)")).select("query_id", "id")
+    asked = phrases.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    held = docs.select("id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    df = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    rarest = df.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_or(F.col("df").isNull()).alias("absent")).where("not absent")
+    pairs = rarest.join(held, "term").select("query_id", "id")
+    compared = pairs.join(docs.select("id", _padded(F.col("text")).alias("body")), "id").join(phrases.select("query_id", _padded(F.col("text")).alias("phrase")), "query_id")
+    return compared.where(F.expr("contains(body, phrase)")).select("query_id", "id").distinct()
 
 
 def named_pages(queries: DataFrame, names: DataFrame, least_bytes: int = 3) -> DataFrame:
@@ -118,9 +124,11 @@ def named_pages(queries: DataFrame, names: DataFrame, least_bytes: int = 3) -> D
     ``names`` has page and name. A name is looked up by its first term.
     """
     norm = F.array_join(terms(F.col("name")), " ")
-    known = names.select("page", norm.alias("n"), terms(F.col("name"))[0].alias("term")).where(F.octet_length("n") >= least_bytes)
-    asked = queries.select("query_id", F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" ")).alias("q"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    return asked.join(known, "term").where(F.expr("contains(q, concat(' ', n, ' '))")).select("query_id", "page").distinct()
+    known = names.select("page", norm.alias("name"), terms(F.col("name"))[0].alias("term")).where(F.octet_length("name") >= least_bytes)
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    pairs = asked.join(known, "term").select("query_id", "page", "name")
+    compared = pairs.join(queries.select("query_id", _padded(F.col("text")).alias("body")), "query_id")
+    return compared.where(F.expr("contains(body, concat(' ', name, ' '))")).select("query_id", "page").distinct()
 
 
 def fused(rankings: DataFrame, k: int = RRF_K) -> DataFrame:

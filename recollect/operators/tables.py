@@ -5,19 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes ``df`` into the folder of spark.checkpoint.dir and reads it back.
-
-    The setting is the cluster's; where it is unset, as in tests, one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, the cluster's; where it is unset, as in tests, one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="recollect-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/recollect-{uuid.uuid4().hex[:12]}"
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Writes ``df`` into the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/recollect-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
