@@ -47,7 +47,7 @@ def merged_pages(links: DataFrame, edges: DataFrame, names: DataFrame, merges: D
     Links move and are deduplicated, children change parents, and the target gains the
     merged pages' names, their own ids too.
     """
-    ends = final_of(merges).withColumnRenamed("node", "page")
+    ends = final_of(merges).where("node != final").withColumnRenamed("node", "page")
     move = lambda df, c: df.join(ends.toDF(c, "__to"), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
     moved = move(links, "page").distinct()
     own = ends.select(F.col("final").alias("page"), F.col("page").cast("string").alias("name"))

@@ -73,7 +73,7 @@ def valid_compositions(views: DataFrame, observations: DataFrame) -> DataFrame:
 
     Other kinds than compositions are always valid.
     """
-    gone = F.coalesce(F.greatest(F.when(F.col("replaced_by").isNotNull() | F.col("forgotten").isNotNull(), F.col("seq"))), F.lit(-1))
+    gone = F.when(F.col("replaced_by").isNotNull() | F.col("forgotten").isNotNull(), F.col("seq")).otherwise(-1)
     known = observations.select(F.col("id").alias("input"), gone.alias("gone"))
     inputs = views.where("kind = 'composition'").select("id", "seq", F.explode("input_ids").alias("input"))
     bad = inputs.join(known, "input", "left").where("gone is null or gone > seq").select("id").distinct().withColumn("bad", F.lit(True))
