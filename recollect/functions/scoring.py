@@ -42,32 +42,47 @@ STANDING_BOOST, SITUATIONAL_BOOST = 1.15, 1.05
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
 
-def formula(source: str, variables: dict[str, Column] | None = None) -> Column:
-    """The formula as a Column; variables that are not given, or null, take their defaults.
+def parsed(source: str) -> ast.expr:
+    """A formula's syntax tree; ValueError for names, functions or operators that it may not have."""
+    try:
+        tree = ast.parse(source.strip(), mode="eval").body
+    except SyntaxError as error:
+        raise ValueError(f"not a formula: {source!r}") from error
+
+    def check(node: ast.AST) -> None:
+        if isinstance(node, ast.Constant) and type(node.value) in (int, float) or isinstance(node, ast.Name) and node.id in DEFAULTS:
+            return
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            check(node.operand)
+        elif isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+            check(node.left)
+            check(node.right)
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "log" and len(node.args) == 1 and not node.keywords:
+            check(node.args[0])
+        else:
+            raise ValueError(f"not allowed in a formula: {ast.unparse(node)}")
+
+    check(tree)
+    return tree
 
-    Raises ValueError for names, functions or operators that a formula may not have.
-    """
+
+def formula(source: str, variables: dict[str, Column] | None = None) -> Column:
+    """The formula as a Column; variables that are not given, or null, take their defaults."""
     given = variables or {}
 
     def build(node: ast.AST) -> Column:
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
+        if isinstance(node, ast.Constant):
             return F.lit(float(node.value))
-        if isinstance(node, ast.Name) and node.id in DEFAULTS:
+        if isinstance(node, ast.Name):
             default = F.lit(DEFAULTS[node.id])
             return F.coalesce(given[node.id].cast("double"), default) if node.id in given else default
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        if isinstance(node, ast.UnaryOp):
             return -build(node.operand)
-        if isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
+        if isinstance(node, ast.BinOp):
             return _OPERATORS[type(node.op)](build(node.left), build(node.right))
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "log" and len(node.args) == 1 and not node.keywords:
-            return F.ln(build(node.args[0]))
-        raise ValueError(f"not allowed in a formula: {ast.unparse(node)}")
+        return F.ln(build(node.args[0]))
 
-    try:
-        tree = ast.parse(source.strip(), mode="eval")
-    except SyntaxError as error:
-        raise ValueError(f"not a formula: {source!r}") from error
-    return F.greatest(F.lit(0.0), build(tree.body))
+    return F.greatest(F.lit(0.0), build(parsed(source)))
 
 
 def score(name: str, **variables: Column) -> Column:
