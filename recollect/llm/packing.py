@@ -16,7 +16,6 @@ starts from the partition, so a repeated task gives the same rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -27,25 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.wordpieces import WordTable, bpe_encoder
+from recollect.llm.wordpieces import WordTable, bpe_table
 
 TIERS = (4096, 2048, 1024, 512)
 WINDOW, END, GROUP, STEP = TIERS[0], 2, 1 << 20, 8 * TIERS[0]
 #: Room for the sequences of one partition.
 PER_PARTITION = 1 << 40
-_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[ \n])")
 
 
 def document_ids(text: bytes | None, table: WordTable) -> np.ndarray:
     """The tokenizer's ids of a text and the end-of-document id.
 
-    The tokenizer lower-cases, and a mark between a letter and white space is always
-    a piece of its own; both are done first, so that fewer different words are met.
-    Texts with the opening of a special token are left as they are.
+    The tokenizer lower-cases, which is done to A-Z first, so that fewer different words
+    are met, but for texts with the opening of a special token.
     """
     text = text or b""
     if b"<|" not in text:
-        text = _MARK.sub(rb" \1", text.lower())
+        text = text.lower()
     ids = table.ids(table.places(text.split()))
     return np.append(ids, np.uint32(END))
 
@@ -132,7 +129,7 @@ def step_groups(windows: list[tuple[int, list]], first: int) -> tuple[list[int],
 
 def _packed(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(bpe_encoder(vocabulary))
+        table = bpe_table(vocabulary)
         base = TaskContext.get().partitionId() * PER_PARTITION
         packer, held, number, sequence, step = Packer(), {}, 0, base, base
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recollect.llm.wordpieces import WordTable, piece_encoder
+from recollect.llm.wordpieces import WordTable, piece_table
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -94,8 +94,7 @@ def measures(text: bytes, table: WordTable, is_byte: np.ndarray) -> tuple:
 
 def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int | None, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, is_byte = piece_encoder(vocabulary)
-        table = WordTable(encode)
+        table, is_byte = piece_table(vocabulary)
         for batch in batches:
             rows = []
             langs = [None] * len(batch) if lang_at is None else batch.column(lang_at).to_pylist()

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 #: Words remembered by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class WordTable:
-    """Ids of words in one flat array.
+    """Ids of words in one flat array, and their code points, letters and digits.
 
     ``encode`` turns a list of words into their ids. Only encoders for which a text's
     ids are those of its white-space-separated words, one after the other, may be
@@ -58,19 +60,66 @@ class WordTable:
         return self.flat[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
-def piece_encoder(path: str):
-    """Encoder of words by a SentencePiece model, and whether each id stands for a byte."""
+@lru_cache(maxsize=2)
+def piece_table(path: str) -> tuple[WordTable, np.ndarray]:
+    """A worker's table of a SentencePiece model, and whether each id stands for a byte.
+
+    Kept from one task of a worker to the next, as are its words.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda words: model.encode(words, num_threads=1), np.array([model.IsByte(i) for i in range(model.vocab_size())])
+    return WordTable(lambda words: model.encode(words, num_threads=1)), np.array([model.IsByte(i) for i in range(model.vocab_size())])
+
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-def bpe_encoder(path: str):
-    """Encoder of words by a tokenizers file that drops white space."""
+
+@lru_cache(maxsize=2)
+def bpe_table(path: str) -> WordTable:
+    """A worker's table of a tokenizers file that lower-cases and drops white space.
+
+    Words of letters, with or without a mark at their end, are one piece or two before
+    merging, so they go to the merging model itself, which spares most of the cost of
+    a whole encoding.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    run = getattr(model, "encode_batch_fast", model.encode_batch)
-    return lambda words: [e.ids for e in run(words, add_special_tokens=False)]
+    whole = Tokenizer.from_file(path)
+    model, letters = whole.model, str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+    marks = {m: whole.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
+
+    def merged(word: str) -> list[int] | None:
+        """Ids of a word of letters; None where the tokenizer's own normalising is needed."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return [t.id for t in model.tokenize(word.lower())]
+        simple = max(word) < "\u0180" and "\u0130" not in word
+        if not simple and not (word.lower() == word and unicodedata.is_normalized("NFC", word)):
+            return None
+        return [t.id for t in model.tokenize(word.lower().encode().decode("latin-1").translate(letters))]
+
+    def encode(words: list[str]) -> list[list[int]]:
+        out, other = [], []
+        for i, w in enumerate(words):
+            ids = merged(w)
+            if ids is None and w[-1] in marks:
+                # A mark after a letter, at the end of a word, is a piece of its own.
+                known = table.at.get(w[:-1].encode()) if w[:-1].isalpha() else None
+                stem = merged(w[:-1]) if known is None else table.ids(np.array([known])).tolist()
+                ids = None if stem is None else stem + marks[w[-1]]
+            out.append(ids)
+            if ids is None:
+                other.append(i)
+        for i, e in zip(other, whole.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    table = WordTable(encode)
+    return table

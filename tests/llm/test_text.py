@@ -14,9 +14,10 @@ from tokenizers import Tokenizer
 from recollect.llm import packing, quality, token_files
 from recollect.llm.chat_format import TEMPLATE, format_conversations, read_back
 from recollect.llm.chat_template import TemplateError, compile_template, escape, fold, parse, unescape
-from recollect.llm.wordpieces import WordTable, bpe_encoder
+from recollect.llm.wordpieces import bpe_table
 
 RANKS, PIECES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model", "word_bpe_49k.json"))
+MODEL = Tokenizer.from_file(WORDS)
 TEXTS = [None, "", " \n\t ", "Hello, world.\nHello again!", "don't stop, it's 1234 units.", "Ünïcödé ß ﬁ İstanbul \u00a0x\u2003y", "<|endoftext|> and <|STARTOFTEXT|>", "漢字かな交じり文 🤦🏼‍♂️", "a" * 5000, "word " * 9000, "x.) \"y\", z!? end."]
 
 
@@ -89,9 +90,8 @@ def test_quality_verdicts(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list(" .,;:!?'\n\tabzABZ<|>\u0301é\u00a0"))), max_size=60))
 def test_ids_are_the_tokenizers(text):
-    whole = test_ids_are_the_tokenizers.__dict__.setdefault("model", Tokenizer.from_file(WORDS))
-    table = test_ids_are_the_tokenizers.__dict__.setdefault("table", WordTable(bpe_encoder(WORDS)))
-    assert packing.document_ids(text.encode(), table).tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END]
+    whole = MODEL
+    assert packing.document_ids(text.encode(), bpe_table(WORDS)).tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END]
 
 
 def test_packing_is_a_partition_of_the_tokens(spark):
