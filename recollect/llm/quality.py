@@ -1,8 +1,10 @@
 """Quality rules with tokeniser fertility.
 
 Besides simple counts of words, symbols, repeated lines and repeated three-word
-windows, each text is measured with a public vocabulary: characters for each token,
-the share of tokens that are fallback bytes, and the entropy of the tokens in bits.
+windows, each text is measured with a public vocabulary: letters and digits for each
+token, the share of tokens that are fallback bytes, and the entropy of the tokens in
+bits. Marks and symbols cost tokens and add no characters, so texts full of them fall
+short just as texts that the vocabulary does not know.
 A language, or where that is unknown the text's main script, has bands for the
 three; a text outside its bands is rejected. The vocabulary is read by every worker
 from ``vocabulary``; words are encoded once while they are remembered.
@@ -28,7 +30,7 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 
 @dataclass(frozen=True)
 class Band:
-    """Least and most characters a token, most share of bytes, least entropy in bits."""
+    """Least and most letters and digits a token, most share of bytes, least entropy in bits."""
 
     least_chars: float
     most_chars: float
@@ -37,11 +39,11 @@ class Band:
 
 
 BANDS = {
-    "en": Band(1.5, 6.5, 0.2, 4.0),
-    "de": Band(1.5, 6.5, 0.2, 4.0),
-    "fr": Band(1.45, 6.5, 0.2, 4.0),
-    "es": Band(1.6, 6.5, 0.2, 4.0),
-    "Latin": Band(1.2, 7.0, 0.3, 4.0),
+    "en": Band(1.65, 6.5, 0.2, 4.8),
+    "de": Band(1.85, 6.5, 0.2, 4.8),
+    "fr": Band(1.5, 6.5, 0.2, 4.8),
+    "es": Band(1.65, 6.5, 0.2, 4.8),
+    "Latin": Band(1.3, 7.0, 0.3, 4.5),
     "Greek": Band(0.6, 4.0, 0.6, 4.0),
     "Cyrillic": Band(0.8, 5.0, 0.4, 4.0),
     "Arabic": Band(0.5, 4.0, 0.6, 4.0),
@@ -89,7 +91,7 @@ def measures(text: bytes, table: WordTable, is_byte: np.ndarray) -> tuple:
         return *base, None, None, None
     counts = np.bincount(ids)
     share = counts[counts > 0] / len(ids)
-    return *base, chars / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum()))
+    return *base, int(table.letters[places].sum()) / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum()))
 
 
 def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int | None, carried: int):

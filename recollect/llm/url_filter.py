@@ -1,8 +1,8 @@
 """URL rules as globs in one bit-parallel Shift-And automaton.
 
-A glob is literal characters with ``*`` (any run) and ``**``-free host wildcards
-``+`` (any run without a slash, empty too). Its states, one more than its literals,
-take neighbouring bits of a multiword mask; all globs advance at once:
+A glob is literal characters with two wildcards, ``*`` for any run and ``+`` for any run
+without a slash, the empty one too. Its states, one more than its literals, take
+neighbouring bits of a multiword mask; all globs advance at once:
 
     D = ((D << 1) & match[c]) | (D & stay[c])
 

@@ -28,18 +28,19 @@ class WordTable:
     def _clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes, self.points = (np.empty(1 << 14, np.int64) for _ in range(3))
+        self.starts, self.sizes, self.points, self.letters = (np.empty(1 << 14, np.int64) for _ in range(4))
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         for word, text, ids in zip(words, texts, self.encode(texts), strict=True):
             n = len(self.at)
             if n == len(self.starts):
-                self.starts, self.sizes, self.points = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes, self.points))
+                self.starts, self.sizes, self.points, self.letters = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes, self.points, self.letters))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
             self.at[word], self.starts[n], self.sizes[n], self.points[n] = n, self.used, len(ids), len(text)
+            self.letters[n] = len(text) if text.isalnum() else sum(map(str.isalnum, text))
             self.used += len(ids)
 
     def places(self, words: list[bytes]) -> np.ndarray:
