@@ -7,15 +7,18 @@ signature. Sets that share a band key are candidates, the number of equal bit
 groups estimates their similarity corrected for chance agreement, and pairs whose
 estimate is not clearly too low are checked on the full sets.
 
-Scale: equal sets collapse into one class first, so copies are never compared.
-Within a bucket every class is first compared with the bucket's smallest one only;
-those pairs join most of a group into one component. Only classes that then still
-stand outside the component of their bucket's smallest are compared with the rest
-of their bucket, on signatures, in blocks of bounded size. Two classes that share a
-bucket therefore end up in one component or have been compared, whatever the size
-of the bucket. At similarity 0.75 a pair shares no bucket with probability
-(1 - 0.75 ** 4) ** 52 < 3e-9, and an estimate falls below ``FLOOR`` with one of
-about the same order.
+Scale: equal sets collapse into one class first, so copies are never compared. Of the
+smallest classes of its buckets, each class is then compared with the one it meets
+most often, and if that leaves them apart with the next, for ``STARS`` rounds; those
+pairs, one for a class and round, join most of a group into one component. Classes
+that still stand outside the component of some bucket's smallest class are checked on
+the full sets against that component, and against each other where they share a
+bucket, in blocks of bounded size that return a forest of links. Two classes that
+share a bucket therefore end up in one component or have been compared, whatever the
+size of the bucket, and no step makes all pairs of a group into rows. At similarity
+0.75 a pair shares no bucket with probability (1 - 0.75 ** 4) ** 52 < 3e-9, and an
+estimate falls below ``FLOOR`` with one of about the same order. The table of texts is
+shuffled once, to pick those that some bucket repeats.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ PERMUTATIONS, ROWS, BITS = 208, 4, 4
 BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
 #: Pairs estimated below this are dropped unchecked: six deviations under 0.75.
 FLOOR = 0.55
-#: Most classes of a bucket that one task compares with each other at once.
-BLOCK, CHUNK = 256, 4096
+#: Classes that ask and classes asked that one task compares on full sets at once.
+TEXT_BLOCK, TEXT_CHUNK = 64, 256
+#: Rounds in which a class is compared with one smallest class of its buckets.
+STARS = 3
 _CACHE = 400_000
 
 _rng = np.random.default_rng(20240607)
@@ -150,70 +155,104 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).take(pa.array(keep))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough.
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough; ``texts`` has id and text."""
+    second = pairs.join(texts.toDF("b", "text_b"), "b")
+    return second.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_checked, "a long, b long").distinct()
 
-    ``docs`` has the columns id and text. Only texts that some pair names are moved.
+
+def _shared(askers: list[tuple], held: list[tuple]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each asker (id, label, shingles, ...) with which of ``held`` it is similar enough to, on full sets."""
+    known = np.unique(np.concatenate([x[2] for x in askers]))
+    every = np.concatenate([x[2] for x in held])
+    sizes = np.array([len(x[2]) for x in held])
+    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+    at[known[at] != every] = len(known)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark = np.zeros(len(known) + 1, np.int32)
+    for x in askers:
+        mark[:] = 0
+        mark[np.searchsorted(known, x[2])] = 1
+        both = np.add.reduceat(mark[at], starts)
+        yield x, np.flatnonzero((both > 0) & (100 * both >= 75 * (len(x[2]) + sizes - both)))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components among the classes of two blocks, at most one for a class."""
+    words, rows, same = _WordHashes(), [], True
+    for batch in batches:
+        same = batch["i"][0].as_py() == batch["j"][0].as_py() if len(batch) else same
+        for x, label, block, text in zip(batch["id"].to_pylist(), batch["component"].to_pylist(), batch["block"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
+            shingles = shingle_hashes(text.as_py(), words)
+            if len(shingles):
+                rows.append((x, label, shingles, block))
+    low = min((r[3] for r in rows), default=0)
+    askers, held = (rows, rows) if same else ([r for r in rows if r[3] == low], [r for r in rows if r[3] != low])
+    parent: dict = {}
+
+    def root(label: int) -> int:
+        while parent.get(label, label) != label:
+            label = parent[label]
+        return label
+
+    out = []
+    if askers and held:
+        for x, near in _shared(askers, held):
+            for k in near:
+                mine, other = root(x[1]), root(held[k][1])
+                if mine != other:
+                    parent[max(mine, other)] = min(mine, other)
+                    out.append((x[0], held[k][0]))
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def outside_of(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(key, main, rep, component): classes outside the component of their bucket's smallest class."""
+    comp = members.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    main = comp.where("rep = pivot").select("key", F.col("component").alias("main"))
+    return comp.join(main, "key").where("component != main").select("key", "main", "rep", "component")
+
+
+def links_outside(outside: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of a bucket that are both outside its main component.
+
+    A bucket's classes are dealt into blocks of ``TEXT_BLOCK``; a task compares two blocks
+    on full sets and returns a forest, not pairs.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    named = stored(docs.join(ids, "id", "left_semi").select("id", "text"), "texts")
-    second = pairs.join(named.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return (
-        second.join(named.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_checked, "a long, b long")
-        .distinct()
-    )
+    sizes = outside.groupBy("key").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"), F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key", "blocks")
+    placed = outside.join(sizes, "key").withColumn("block", F.pmod(F.abs(F.xxhash64("rep", F.lit(3))), F.col("blocks")).cast("int"))
+    spread = placed.select("key", F.col("rep").alias("id"), "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    paired = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
+    return paired.join(texts, "id").select("key", "i", "j", "id", "component", "block", "text").groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long")
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A link of each asking class into a part of a component, if there is one, on full sets."""
+    words, sides = _WordHashes(), ([], [])
+    for batch in batches:
+        for asks, x, text in zip(batch["asks"].to_pylist(), batch["id"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
+            shingles = shingle_hashes(text.as_py(), words)
+            if len(shingles):
+                sides[not asks].append((x, None, shingles))
+    out = [(x[0], sides[1][near[0]][0]) for x, near in _shared(*sides) if len(near)] if all(sides) else []
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
 
+def cross_links(asked: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) from classes into the components that ``asked`` (id, component) names.
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block and one chunk of a bucket that the signatures don't rule out."""
-    parts = list(batches)
-    data = pa.Table.from_batches(parts)
-    outside = np.asarray(data["outside"])
-    ids, comps = np.asarray(data["rep"]), np.asarray(data["component"])
-    signs = np.stack([np.asarray(x.values if hasattr(x, "values") else x) for x in data["sign"]]).view(np.uint64)
-    ones = np.uint64(0x1111111111111111)
-    rows = np.flatnonzero(outside)
-    most = (1 - (FLOOR * (1 - 2.0**-BITS) + 2.0**-BITS)) * PERMUTATIONS
-    left, right = [], []
-    inside = np.flatnonzero(~outside)
-    for r in rows:
-        x = signs[inside] ^ signs[r]
-        x |= x >> np.uint64(1)
-        x |= x >> np.uint64(2)
-        unequal = np.bitwise_count(x & ones).sum(axis=1)
-        found = inside[(unequal <= most) & (comps[inside] != comps[r])]
-        left.append(np.minimum(ids[found], ids[r]))
-        right.append(np.maximum(ids[found], ids[r]))
-    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (left, right))
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def cross_candidates(members: DataFrame, reps: DataFrame, components: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components within a bucket.
-
-    A bucket's classes outside the component of its smallest class are dealt into
-    blocks of ``BLOCK``, all its classes into chunks of ``CHUNK``; each task
-    compares one block with one chunk on signatures. Buckets of one component, and
-    those of two classes, have nothing left to compare.
+    A component's members are dealt into chunks of ``TEXT_CHUNK``, those that ask for it
+    into blocks of ``TEXT_BLOCK``.
     """
-    comp = members.where("n > 2").join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = comp.where("rep = pivot").select("key", F.col("component").alias("main"))
-    tagged = comp.join(main, "key")
-    sizes = tagged.where("component != main").groupBy("key").agg(F.count("*").alias("n_out"))
-    mixed = tagged.join(sizes, "key")
-    blocks = F.ceil(F.col("n_out") / BLOCK).cast("int")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    place = F.abs(F.xxhash64("rep"))
-    outside = mixed.where("component != main").select(
-        "key", "rep", "component", F.pmod(place, blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(True).alias("outside")
-    )
-    rest = mixed.select(
-        "key", "rep", "component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(place, chunks).cast("int").alias("chunk"), F.lit(False).alias("outside")
-    )
-    sided = outside.union(rest).join(reps.select("rep", "sign"), "rep").select("key", "block", "chunk", "rep", "component", "outside", "sign")
-    return sided.groupBy("key", "block", "chunk").applyInArrow(_across, "a long, b long").where("a != b").distinct()
+    wanted = asked.groupBy("component").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
+    roots = wanted.select(F.col("component").alias("id"), "component")
+    members = components.join(wanted, "component").select("id", "component").union(roots)
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TEXT_CHUNK).cast("int").alias("chunks"))
+    grid = wanted.join(sizes, "component")
+    place = F.abs(F.xxhash64("id", F.lit(2)))
+    askers = asked.join(grid, "component").select("id", "component", F.pmod(place, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
+    members = members.join(grid, "component").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, "chunks").cast("int").alias("chunk"), F.lit(False).alias("asks"))
+    return askers.union(members).join(texts, "id").groupBy("component", "block", "chunk").applyInArrow(_linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,15 +276,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(repeated, "key"), "members")
 
-    star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    named = members.select(F.col("rep").alias("id")).distinct()
+    texts = stored(texts.join(named, "id", "left_semi").select("id", "text"), "texts")
     sign = reps.select("rep", "sign")
-    star = star.join(sign.toDF("a", "sign_a"), "a").join(sign.toDF("b", "sign_b"), "b").where(estimate("sign_a", "sign_b") >= FLOOR).select("a", "b").distinct()
-    star = stored(star, "pairs")
-    links = stored(confirmed(star, texts), "links")
-    parts = connected_components(links)
-
-    more = stored(cross_candidates(members, reps, parts).join(star, ["a", "b"], "left_anti"), "pairs")
-    found = confirmed(more, texts)
+    tried = parts = None
+    for _ in range(STARS):
+        often = members.where("rep != pivot").select("rep", "pivot")
+        if parts is not None:
+            often = often.join(parts.toDF("rep", "c"), "rep", "left").join(parts.toDF("pivot", "p"), "pivot", "left").where(F.coalesce("c", "rep") != F.coalesce("p", "pivot"))
+        often = often.groupBy("rep", "pivot").agg(F.count("*").alias("times"))
+        if tried is not None:
+            often = often.join(tried.toDF("pivot", "rep"), ["rep", "pivot"], "left_anti")
+        star = often.groupBy("rep").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("a")).select("a", F.col("rep").alias("b"))
+        star = stored(star, "pairs")
+        tried = star if tried is None else tried.union(star)
+        near = star.join(sign.toDF("a", "sign_a"), "a").join(sign.toDF("b", "sign_b"), "b").where(estimate("sign_a", "sign_b") >= FLOOR).select("a", "b")
+        links = confirmed(near, texts)
+        parts = connected_components(links if parts is None else links.union(parts.toDF("a", "b")))
+    outside = stored(outside_of(members, parts), "outside")
+    asked = stored(outside.select(F.col("rep").alias("id"), F.col("main").alias("component")).distinct(), "asked")
+    found = cross_links(asked, parts, texts).union(links_outside(outside, texts))
     # Documents that share an id, or a class, belong together.
     same = signs.where("n_shingles > 0").join(reps.select("set_hash", "rep"), "set_hash").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     parts = connected_components(parts.toDF("a", "b").union(found).union(same))
