@@ -39,11 +39,11 @@ class Band:
 
 
 BANDS = {
-    "en": Band(1.65, 6.5, 0.2, 4.8),
-    "de": Band(1.85, 6.5, 0.2, 4.8),
-    "fr": Band(1.5, 6.5, 0.2, 4.8),
-    "es": Band(1.65, 6.5, 0.2, 4.8),
-    "Latin": Band(1.3, 7.0, 0.3, 4.5),
+    "en": Band(1.65, 6.5, 0.2, 4.0),
+    "de": Band(1.85, 6.5, 0.2, 4.0),
+    "fr": Band(1.5, 6.5, 0.2, 4.0),
+    "es": Band(1.65, 6.5, 0.2, 4.0),
+    "Latin": Band(1.3, 7.0, 0.3, 4.0),
     "Greek": Band(0.6, 4.0, 0.6, 4.0),
     "Cyrillic": Band(0.8, 5.0, 0.4, 4.0),
     "Arabic": Band(0.5, 4.0, 0.6, 4.0),
