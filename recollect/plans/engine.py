@@ -48,9 +48,8 @@ class State:
 class Memory:
     def __init__(self, spark: SparkSession, root: str, model: Model | None = None, now: str | None = None):
         self.spark, self.path, self.model = spark, f"{root.rstrip('/')}/log", model or Offline()
-        self.now = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        if now is None:
-            self.now = F.lit(spark.sql("select current_timestamp()").first()[0])
+        # The time is fixed once, so that all of a command's steps agree on it.
+        self.now = F.lit(now or spark.sql("select current_timestamp()").first()[0]).cast("timestamp")
 
     def log(self) -> DataFrame:
         try:
