@@ -3,13 +3,16 @@
 Each half of a vector has a codebook of its own; a pair of codes, one of each, is a
 cell of the product grid. A vector is stored in its nearest cell and asked in the
 ``visits`` nearest ones, in the order of the multi-sequence traversal. How many that
-takes is measured on a sample: vectors are turned by exactly the least similarity
-in random directions, and the traversal goes on until ``RECALL`` of them are met.
-Since a pair is found when either of the two meets the other, the misses of the
-whole are about the square of those. Every pair met is verified in double precision.
+takes is measured: sample vectors are turned by exactly the least similarity in random
+directions of the whole space and towards other sample vectors, which stays in the
+span of the data, and ``QUERIES`` of them are multiplied with all rows for their true
+links. The visits are those that meet ``RECALL`` of each kind in one direction; a pair
+is found when either of the two meets the other. Every pair met is verified in double
+precision.
 
 Scale: equal vectors collapse first. The codebooks are fitted on at most
-``SAMPLE`` vectors, taken by hash, which is all that reaches the driver. A cell's
+``SAMPLE`` vectors, taken by hash; those and the counts of true links by visits are
+all that reaches the driver. A cell's
 vectors and its askers are dealt into blocks of at most ``BLOCK``; a task multiplies
 one block with one other and returns for each vector a count and one edge of a
 spanning forest, not pairs, so dense groups give few rows.
@@ -30,6 +33,8 @@ from recollect.llm.shared import stored
 
 LEAST = 0.95
 RECALL, SAMPLE, PER_CELL, MOST_CODES, BLOCK = 0.98, 20_000, 32, 512, 2048
+#: Sample vectors turned, sample vectors whose true links are sought, and numbers that a traversal may hold at once.
+TURNED, QUERIES, HELD = 4000, 256, 1 << 22
 
 
 def _codebook(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -57,7 +62,7 @@ class MultiIndex:
         self.dim = sample.shape[1]
         self.half = max(1, self.dim // 2)
         self.books = [_codebook(x, k, rng) for x in self._halves(sample)]
-        self.visits = self._needed(sample, least, recall, rng)
+        self.visits = self._turned(sample, least, recall, rng)
 
     def _halves(self, units: np.ndarray) -> list[np.ndarray]:
         return [units[:, : self.half], units[:, self.half :]] if self.dim > 1 else [units, units]
@@ -79,23 +84,36 @@ class MultiIndex:
         first = np.argsort(total, axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(o1[:, a] * len(self.books[1]) + o2[:, b], first, axis=1)
 
-    def _needed(self, sample: np.ndarray, least: float, recall: float, rng: np.random.Generator) -> int:
-        x = sample[:4000]
-        away = rng.normal(size=x.shape)
-        away -= (away * x).sum(axis=1)[:, None] * x
-        norms = np.linalg.norm(away, axis=1)
-        x, away = x[norms > 1e-9], away[norms > 1e-9] / norms[norms > 1e-9, None]
-        if not len(x):
-            return 1
-        home = self.cells(least * x + np.sqrt(1 - least**2) * away, 1)
-        total, visits = len(self.books[0]) * len(self.books[1]), 1
-        while visits < total:
-            visits = min(2 * visits, total)
-            met = self.cells(x, visits) == home
-            if met.any(axis=1).mean() >= recall:
-                ranks = np.sort(np.where(met.any(axis=1), met.argmax(axis=1), visits))
-                return int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1
-        return total
+    def needed(self, units: np.ndarray, homes: np.ndarray) -> np.ndarray:
+        """How many visits each vector makes until it meets its cell of ``homes``, ties counted in full."""
+        (d1, d2) = (_distances(part, book) for part, book in zip(self._halves(units), self.books, strict=True))
+        row = np.arange(len(units))
+        most = d1[row, homes // len(self.books[1])] + d2[row, homes % len(self.books[1])]
+        d2.sort(axis=1)
+        return np.array([np.searchsorted(far, m - near + 1e-12, "right").sum() for near, far, m in zip(d1, d2, most, strict=True)], np.int64)
+
+    def _turned(self, sample: np.ndarray, least: float, recall: float, rng: np.random.Generator) -> int:
+        """The visits that meet ``recall`` of sample vectors turned by the least similarity.
+
+        Random directions of the whole space and those towards other sample vectors
+        are kinds of their own: where the spectrum decays the former leave the span.
+        """
+        x, visits = sample[:TURNED], 1
+        for away in (rng.normal(size=x.shape), sample[rng.integers(len(sample), size=len(x))]):
+            away = away - (away * x).sum(axis=1)[:, None] * x
+            norms = np.linalg.norm(away, axis=1)
+            far = norms > 1e-9
+            if far.any():
+                home = self.cells(least * x[far] + np.sqrt(1 - least**2) * away[far] / norms[far, None], 1)[:, 0]
+                visits = max(visits, _quantile(self.needed(x[far], home), np.ones(int(far.sum())), recall))
+        return visits
+
+
+def _quantile(values: np.ndarray, weights: np.ndarray, share: float) -> int:
+    """The least value that at least ``share`` of the weight does not exceed."""
+    order = np.argsort(values)
+    total = np.cumsum(weights[order])
+    return int(values[order][np.searchsorted(total, share * total[-1] * (1 - 1e-12))])
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -104,9 +122,49 @@ def _units(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1)[:, None]
 
 
-def _placed(index: MultiIndex | None):
+def _linked(index: MultiIndex, reps: np.ndarray, units: np.ndarray, least: float):
+    """(query, visits, links) of a batch's rows (rep, copies, vector): true links of the queries by the visits that meet them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fits = pa.array(np.flatnonzero(np.asarray(batch.column(2).value_lengths()) == index.dim))
+            if not len(fits):
+                continue
+            others, ids = _units(batch.column(2).take(fits)), np.asarray(batch.column(0).take(fits))
+            q, m = np.nonzero(units @ others.T >= least)
+            q, m = q[reps[q] != ids[m]], m[reps[q] != ids[m]]
+            if not len(q):
+                continue
+            held = np.unique(m)
+            home = index.cells(others[held], 1)[:, 0]
+            pairs, n = np.unique(np.stack([q, home[np.searchsorted(held, m)]], axis=1), axis=0, return_counts=True)
+            visits = np.concatenate([index.needed(units[x[:, 0]], x[:, 1]) for x in np.array_split(pairs, -(-len(pairs) // TURNED))])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(visits, pa.int64()), pa.array(n, pa.int64())], names=["query", "visits", "links"])
+
+    return run
+
+
+def _visits_of_links(classes: DataFrame, index: MultiIndex, reps: np.ndarray, units: np.ndarray, least: float, recall: float) -> int:
+    """The visits that meet ``recall`` of the queries' true links, counted by link and by query.
+
+    Visits are counted in steps of a sixteenth, rounded up, so that few rows return.
+    """
+    found = classes.mapInArrow(_linked(index, reps, units, least), "query long, visits long, links long")
+    step = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.floor(F.log2(F.col("visits").cast("double"))) - 4))
+    rows = found.groupBy("query", (F.ceil(F.col("visits") / step) * step).cast("long").alias("visits")).agg(F.sum("links").alias("links")).collect()
+    if not rows:
+        return 1
+    query, visits, links = np.array([tuple(r) for r in rows], np.int64).T
+    share = links / np.bincount(query, links)[query]
+    return min(max(_quantile(visits, links, recall), _quantile(visits, share, recall)), len(index.books[0]) * len(index.books[1]))
+
+
+def _placed(index: MultiIndex):
+    # A traversal looks at about visits * ln(visits) sums for each vector.
+    step = max(1, int(HELD / (index.visits * (1 + np.log(index.visits)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(i, step) for x in batches for i in range(0, len(x), step)):
             vectors = batch.column(2)
             sizes = np.asarray(vectors.value_lengths())
             home = -sizes.astype(np.int64)
@@ -176,14 +234,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     valid = rows.where("fit").select("id", "vector")
     classes = stored(valid.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "vector"), "classes")
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("rep", "vector")).limit(SAMPLE).select("vector").toLocalIterator()]
+    sample = [tuple(r) for r in classes.orderBy(F.xxhash64("rep", "vector")).limit(SAMPLE).select("rep", "vector").toLocalIterator()]
     if not sample:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sizes = [len(x) for x in sample]
+    sizes = [len(x) for _, x in sample]
     dim = max(sorted(set(sizes)), key=sizes.count)
-    points = _units(pa.array([x for x in sample if len(x) == dim], pa.list_(pa.float64())))
+    points = _units(pa.array([x for _, x in sample if len(x) == dim], pa.list_(pa.float64())))
+    reps = np.array([i for i, x in sample if len(x) == dim], np.int64)
     k = int(np.clip(round((classes.count() / PER_CELL) ** 0.5), 2, min(MOST_CODES, max(2, len(points) // 8))))
     index = MultiIndex(points, k, least, recall)
+    index.visits = max(index.visits, _visits_of_links(classes, index, reps[:QUERIES], points[:QUERIES], least, recall))
 
     placed = stored(classes.mapInArrow(_placed(index), T.StructType([*classes.schema.fields, T.StructField("home", T.LongType()), T.StructField("visits", T.ArrayType(T.LongType()))])), "placed")
     inside = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("member_blocks"))

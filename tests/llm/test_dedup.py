@@ -9,7 +9,7 @@ import pytest
 from recollect.llm import minhash_dedup as mh
 from recollect.llm.components import connected_components
 from recollect.llm.cuckoo import CuckooFilter
-from recollect.llm.embedding_dedup import near_duplicate_vectors
+from recollect.llm.embedding_dedup import MultiIndex, near_duplicate_vectors
 from recollect.llm.line_dedup import LineIndex, without_repeated_lines
 
 DOCS = "doc_id long, text string"
@@ -124,6 +124,38 @@ def test_vectors_match_brute_force(spark):
         assert got == want
 
 
+SPECTRA = {"decaying": 1 / np.arange(1, 65), "slowly decaying": np.arange(1, 65) ** -0.5, "rank 8": np.arange(64) < 8, "rank 4": np.arange(64) < 4}
+
+
+def spread(rng, n, spectrum):
+    x = rng.normal(size=(n, 64)) * spectrum @ np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("kind", SPECTRA)
+def test_visits_reach_partners_inside_the_span(kind):
+    units = spread(np.random.default_rng(1), 20_000, SPECTRA[kind])
+    index = MultiIndex(units, 25)
+    x, away = units[:3000], units[10_000:13_000]
+    away = away - (away * x).sum(axis=1)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    home_x, home_y = index.cells(x, 1), index.cells(y, 1)
+    met = (index.cells(x, index.visits) == home_y).any(axis=1)
+    assert (met == (index.needed(x, home_y[:, 0]) <= index.visits)).mean() > 0.999
+    assert (met | (index.cells(y, index.visits) == home_x).any(axis=1)).mean() >= 0.99
+
+
+def test_links_of_low_rank_vectors_match_brute_force(spark):
+    units = spread(np.random.default_rng(3), 2000, SPECTRA["rank 4"]).astype(np.float32)
+    got = near_duplicate_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(units)], "vec_id long, embedding array<float>")).collect()
+    exact = units.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1)[:, None]
+    want = (exact @ exact.T >= 0.95).sum(axis=1) - 1
+    found = sum(r["n_links"] for r in got)
+    assert len(got) == 2000 and all(r["n_links"] <= want[r["vec_id"]] for r in got)
+    assert found >= 0.99 * want.sum()
+
+
 def test_vectors_of_odd_tables(spark):
     shape = "vec_id long, embedding array<float>, n_links string"
     assert near_duplicate_vectors(spark.createDataFrame([], shape)).collect() == []
