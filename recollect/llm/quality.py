@@ -6,16 +6,19 @@ token, the share of tokens that are fallback bytes, and the entropy of the token
 bits. Marks and symbols cost tokens and add no characters, so texts full of them fall
 short just as texts that the vocabulary does not know.
 A language, or where that is unknown the text's main script, has bands for the
-three; a text outside its bands is rejected. The vocabulary is read by every worker
-from ``vocabulary``; words are encoded once while they are remembered.
+three, Latin with many marks its own since marks cost tokens; a text outside its bands
+is rejected. The vocabulary is read by every worker from ``vocabulary``; words are
+encoded once while they are remembered.
 
 Scale: one pass over each text in the task that read it, without any shuffle.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from recollect.llm.wordpieces import WordTable, piece_table
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
+#: Letters with marks in a hundred from which on Latin text is judged as Vietnamese, Yoruba and the like.
+MARKED = 10
 
 
 @dataclass(frozen=True)
@@ -44,22 +49,54 @@ BANDS = {
     "fr": Band(1.5, 6.5, 0.2, 4.0),
     "es": Band(1.65, 6.5, 0.2, 4.0),
     "Latin": Band(1.3, 7.0, 0.3, 4.0),
+    "marked Latin": Band(0.65, 7.0, 0.3, 4.0),
     "Greek": Band(0.6, 4.0, 0.6, 4.0),
     "Cyrillic": Band(0.8, 5.0, 0.4, 4.0),
     "Arabic": Band(0.5, 4.0, 0.6, 4.0),
     "Han": Band(0.3, 2.0, 0.9, 4.0),
-    "other": Band(0.2, 8.0, 1.0, 3.5),
+    "other": Band(0.2, 8.0, 1.0, 3.0),
 }
-#: First and last code points of the scripts' main blocks.
-SCRIPTS = {"Latin": (0x41, 0x24F), "Greek": (0x370, 0x3FF), "Cyrillic": (0x400, 0x52F), "Arabic": (0x600, 0x6FF), "Han": (0x4E00, 0x9FFF)}
+#: First and last code points of the scripts' blocks; letters outside them are of another script.
+SCRIPTS = {
+    "Latin": ((0x41, 0x2AF), (0x1D00, 0x1D25), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA722, 0xA7FF), (0xAB30, 0xAB64), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "Greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0xA640, 0xA69F)),
+    "Arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "Han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+}
+
+
+@lru_cache(maxsize=1)
+def _script_numbers() -> np.ndarray:
+    """For each code point 0 where it is no letter, else its script's place in ``SCRIPTS``, from 1, or one more than those."""
+    letters = np.fromiter((chr(x).isalpha() for x in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    numbers = np.full(len(letters), len(SCRIPTS) + 1, np.uint8)
+    for i, blocks in enumerate(SCRIPTS.values(), 1):
+        for first, last in blocks:
+            numbers[first : last + 1] = i
+    return numbers * letters
+
+
+def _points(text: bytes) -> np.ndarray:
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
 def script_of(text: bytes) -> str:
-    """The script of most letters; other where none is known."""
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    counts = {name: int(((points >= a) & (points <= b)).sum()) for name, (a, b) in SCRIPTS.items()}
-    best = max(counts, key=counts.get)
-    return best if counts[best] else "other"
+    """The script of most letters; other where that is none of ``SCRIPTS`` or there are no letters."""
+    counts = np.bincount(_script_numbers()[_points(text)], minlength=len(SCRIPTS) + 2)[1:]
+    return [*SCRIPTS, "other"][int(counts.argmax())] if counts.any() else "other"
+
+
+def band_of(text: bytes, bands: dict[str, Band]) -> str:
+    """The script, or marked Latin where ``MARKED`` percent of Latin letters are beyond ASCII or bear combining marks."""
+    script = script_of(text)
+    if script == "Latin" and "marked Latin" in bands:
+        points = _points(text)
+        latin = points[_script_numbers()[points] == 1]
+        marks = int((latin > 0x7F).sum()) + int(((points >= 0x300) & (points <= 0x36F)).sum())
+        if 100 * marks >= MARKED * len(latin):
+            return "marked Latin"
+    return script
 
 
 def repeated_words(places: np.ndarray) -> int:
@@ -104,7 +141,7 @@ def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int
                 text = text.as_py() or b""
                 m = measures(text, table, is_byte)
                 failed = m[0] < MIN_WORDS or 100 * m[4] > MAX_REPEATED * m[0]
-                name = lang if lang in bands else script_of(text)
+                name = lang if lang in bands else band_of(text, bands)
                 band = bands.get(name) or bands["other"]
                 reason = None
                 if not failed:

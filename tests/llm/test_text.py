@@ -1,6 +1,7 @@
 """Token counts, quality rules, packing and chat formats against plain Python."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -87,6 +88,35 @@ def test_quality_verdicts(spark):
     assert quality.script_of("мир и труд".encode()) == "Cyrillic"
 
 
+#: The first article of the declaration of human rights (parts of it) and a few words more.
+CLEAN = {
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით.",
+    "dv": "ހުރިހާ އިންސާނުން ވެސް އުފަންވަނީ، މިނިވަންކަމުގައި، ހަމަހަމަ ހައްޤުތަކަކާއެކު، ހަމަހަމަ ދަރަޖައެއްގައި ކަމޭހިތެވިގެންވާ ބައެއްގެ ގޮތުގައެވެ.",
+    "vi": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em. Buổi sáng ở thành phố, những người bán hàng dậy rất sớm để chuẩn bị thức ăn, nước uống và hoa quả tươi cho khách qua đường.",
+    "yo": "Gbogbo ènìyàn ni a bí ní òmìnira; iyì àti ẹ̀tọ́ kọ̀ọ̀kan sì dọ́gba. Wọ́n ní ẹ̀bùn ti làákàyè àti ti ẹ̀rí-ọkàn, ó sì yẹ kí wọn ó máa hùwà sí ara wọn gẹ́gẹ́ bí ọmọ ìyá.",
+    "cs": "Všichni lidé rodí se svobodní a sobě rovní co do důstojnosti a práv. Jsou nadáni rozumem a svědomím a mají spolu jednat v duchu bratrství. Každé ráno chodí děti přes most do školy a večer se vracejí podél řeky domů.",
+}
+CLEAN_BANDS = {"vi": "marked Latin", "yo": "marked Latin", "cs": "marked Latin"}
+
+
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    rng = random.Random(4)
+    mixed = {k: " ".join(["WhatsApp", *(rng.choice(t.split()) for _ in range(120))]) for k, t in CLEAN.items()}
+    mixed["vi-nfd"] = unicodedata.normalize("NFD", mixed["vi"])
+    symbols = " ".join("".join(rng.choice("abcdeXQZ~^|{}_") for _ in range(9)) for _ in range(120))
+    df = spark.createDataFrame([*mixed.items(), ("symbols", symbols)], "doc_id string, text string")
+    got = {r["doc_id"]: (r["kept"], r["band"]) for r in quality.quality(df, PIECES, ["doc_id"]).collect()}
+    assert got == {k: (True, CLEAN_BANDS.get(k[:2], "other")) for k in mixed} | {"symbols": (False, "Latin")}
+
+
+def test_scripts_by_most_letters():
+    cases = {"한국어 a": "other", "日本 a": "Han", "ひらがな漢字 abc": "other", "[\\]^_`{|}~": "other", "": "other", "ệỗ đ": "Latin", "ἀρχή ab": "Greek", "ab мир": "Cyrillic", "سلام a": "Arabic"}
+    assert {t: quality.script_of(t.encode()) for t in cases} == cases
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list(" .,;:!?'\n\tabzABZ<|>\u0301é\u00a0"))), max_size=60))
 def test_ids_are_the_tokenizers(text):
