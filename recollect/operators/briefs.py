@@ -1,7 +1,6 @@
 """Briefs: what to say of a memory within a token budget.
 
-Spark ranks and limits; only the rows that can fit, at most ``most`` of them, come to
-the driver to be packed.
+Spark ranks; rows stream to the driver, best first, until nothing more can fit.
 """
 
 from __future__ import annotations
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 
 from recollect.functions import scoring
 from recollect.functions.text import rendered_line, token_estimate
-from recollect.operators.budget import Brief, Page, assemble, estimate
+from recollect.operators.budget import AFFINITY_EXPONENT, DIRECTORY_SHARE, NEXT_CAP, Assembly, Brief, Page, estimate
 from recollect.operators.graph import ancestors
 from recollect.operators.reports import page_inbound
+from recollect.operators.tables import kept
 
 #: Budgets in tokens, the least budget, and the rows of a directory subject.
 GLOBAL, PROJECT, RECALL, LEAST, SUBJECT = 8000, 4000, 1500, 200, 3
@@ -43,12 +43,18 @@ def page_order(rows: DataFrame, links: DataFrame, pages: DataFrame, affinities:
     return scored.withColumn("order", F.row_number().over(Window.orderBy(F.desc_nulls_last("affinity"), F.desc("score"), "page")))
 
 
-def directory(rows: DataFrame, links: DataFrame, edges: DataFrame, covered: list[str], budget: int) -> str:
-    """Top-level subjects of which nothing was shown, best first, as far as they fit."""
+def directory(rows: DataFrame, links: DataFrame, edges: DataFrame, covered: list[str], budget: int, opened: list[str] | None = None) -> str:
+    """Top-level subjects of which nothing was shown, best first, as far as they fit.
+
+    Shown are the ids ``covered`` and all that lie on the pages ``opened``.
+    """
     up = ancestors(edges)
     depth = Window.partitionBy("node").orderBy(F.desc("depth"))
     tops = up.withColumn("n", F.row_number().over(depth)).where("n = 1").select(F.col("node").alias("page"), F.col("ancestor").alias("subject"))
     marked = rows.withColumn("covered", F.col("id").isin(covered) if covered else F.lit(False))
+    if opened:
+        on_opened = links.where(F.col("page").isin(opened)).select("id", F.lit(True).alias("opened")).distinct()
+        marked = marked.join(on_opened, "id", "left").withColumn("covered", F.col("covered") | F.coalesce("opened", F.lit(False)))
     rolled = links.join(marked.select("id", "rank", "covered"), "id").join(tops, "page").groupBy("subject")
     rolled = rolled.agg(F.countDistinct("id").alias("n"), F.max("rank").alias("best"), F.bool_or("covered").alias("covered"))
     text, used = "", 0
@@ -63,24 +69,55 @@ def directory(rows: DataFrame, links: DataFrame, edges: DataFrame, covered: list
 def brief(rows: DataFrame, links: DataFrame, pages: DataFrame, title: str, budget: int = GLOBAL, affinities: DataFrame | None = None, edges: DataFrame | None = None, hidden: set[str] | None = None) -> Brief:
     """A brief of ranked rows on their pages (page, category, line, parent).
 
-    Every line takes its own tokens, so no more rows than the budget's tokens can be
-    shown; the best of those for each page are packed.
+    Of a page's lines of equal size the n-th can be shown only once the n - 1 before it
+    are, so those for which n times the size exceeds the budget stay in Spark. The rest
+    stream to the choice by rank; once no page can be opened, only lines of open pages.
     """
     budget = max(budget, LEAST)
-    ordered = page_order(rows, links, pages, affinities).where(F.col("order") <= budget)
-    held = links.join(rows, "id").join(ordered.select("page", "order"), "page")
-    best = Window.partitionBy("page").orderBy(F.desc("rank"), F.desc("entered"), "id")
-    first = held.withColumn("n", F.row_number().over(best)).where(token_estimate(F.col("shown")) <= budget).where(F.col("n") <= budget)
-    lines: dict[str, list] = {}
-    for r in first.orderBy(F.desc("rank"), "order", "n").limit(4 * budget).select("page", "n", "id", "rank", "shown").collect():
-        lines.setdefault(r["page"], []).append((r["id"], r["rank"], r["shown"]))
-    made = []
-    for p in ordered.orderBy("order").collect():
-        if p["page"] in lines:
-            head = f"{p['page']} ({p['category']})" + (f" — {p['line']}" if p["line"] else "") + f" ({p['observations']})"
-            made.append(Page(p["page"], head, lines[p["page"]], p["parent"], p["affinity"]))
-    rest = None if edges is None else lambda covered, room: directory(rows, links, edges, sorted(covered), room)
-    return assemble(made, budget, title, directory=rest, hidden=hidden)
+    ordered = page_order(rows, links, pages, affinities)
+    head = F.concat("page", F.lit(" ("), F.coalesce("category", F.lit("None")), F.lit(")"), F.coalesce(F.concat(F.lit(" — "), F.when(F.col("line") != "", F.col("line"))), F.lit("")), F.lit(" ("), F.col("observations").cast("string"), F.lit(")"))
+    heads = kept(ordered.select("page", "order", "affinity", head.alias("head"), token_estimate(F.concat(F.lit("##"), head)).alias("head_size")))
+    held = links.select("id", "page").distinct().join(rows.select("id", "rank", "entered", "shown"), "id").join(heads, "page")
+    place = [F.desc("rank"), F.desc("entered"), "id"]
+    lines = kept(held.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy(*place))).withColumn("size", token_estimate(F.col("shown"))))
+    fresh = lines.where(~F.col("id").isin(sorted(hidden))) if hidden else lines
+    fit = fresh.where(F.col("shown").isNotNull() & (F.col("size") <= budget)).withColumn("m", F.row_number().over(Window.partitionBy("page", "size").orderBy(*place))).where(F.col("m") * F.col("size") <= budget)
+    fit = kept(fit.select("rank", "order", "n", "id", "shown", "size", "page", "head", "affinity"))
+    least = fit.agg(F.min("size")).first()[0] or budget
+    n_pages, least_heading, total = heads.agg(F.count("*"), F.min("head_size"), F.sum(F.pow("affinity", F.lit(AFFINITY_EXPONENT)))).first()
+    work = Assembly(budget, title, hidden=hidden, total=total or 0.0)
+
+    def stream(only_open: bool):
+        found = fit.where(F.col("order").isin(list(work.chosen))) if only_open else fit
+        for r in found.orderBy(F.desc("rank"), "order", "n").toLocalIterator():
+            yield r["rank"], r["order"], r["n"], r["id"], r["shown"], r["size"], Page(r["page"], r["head"], [], None, r["affinity"])
+
+    def by_rank():
+        last = None
+        for row in stream(False):
+            last = (-row[0], row[1], row[2])
+            yield row
+            if work.closed:
+                break
+        if work.closed:
+            yield from (row for row in stream(True) if (-row[0], row[1], row[2]) > last)
+
+    reserve = int(budget * DIRECTORY_SHARE) if edges is not None else 0
+    main = budget - reserve
+    work.fill(by_rank(), main, main, least=least, least_heading=least_heading or 1)
+    opened = sorted(p.slug for p in work.pages.values())
+    tail = "" if edges is None else directory(rows, links, edges, [], reserve, opened)
+    if reserve and work.chosen:
+        work.fill(stream(True), budget - estimate(tail), main, new_pages=False, least=least)
+    rest = lines.where(~F.col("id").isin(sorted(work.shown))) if work.shown else lines
+    first = F.min(F.struct((-F.col("rank")).alias("rank"), "order", "n"))
+    left = [r["id"] for r in rest.groupBy("id").agg(first.alias("first")).orderBy("first").limit(NEXT_CAP).collect()]
+    parents: dict[str, str | None] = {}
+    ask = set(opened)
+    while ask:
+        parents |= dict.fromkeys(ask) | {r["page"]: r["parent"] for r in pages.where(F.col("page").isin(sorted(ask))).select("page", "parent").collect()}
+        ask = {p for p in parents.values() if p is not None and p not in parents}
+    return work.render(tail, parents, left, n_pages)
 
 
 def since(observations: DataFrame, pages: DataFrame, seq: int, budget: int) -> tuple[list[str], int]:

@@ -7,6 +7,8 @@ a group has to fit a task; callers limit what they pack by rank first.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -85,58 +87,96 @@ class Brief:
 
 
 class Assembly:
-    """Greedy choice of lines by rank under a budget, for pages in page order.
+    """Greedy choice of lines by rank under a budget.
 
     Repeatedly the line of the highest rank, decayed by the lines its page already has,
     that fits is taken. A page's first line opens its heading; headings may use
     ``SPINE_SHARE`` of the budget, the first one more. With affinities a page may use
-    its share of their fourth powers. Input is what a caller has ranked and limited.
+    its share of their fourth powers, ``total`` being the sum of those. Pages go by
+    their place in page order.
     """
 
-    def __init__(self, pages: list[Page], budget: int, title: str, decay: float = DECAY, hidden: set[str] | None = None):
-        self.pages, self.budget, self.title, self.decay = pages, budget, title, decay
-        self.rows = sorted(((rank, i, k, oid, text, estimate(text)) for i, p in enumerate(pages) for k, (oid, rank, text) in enumerate(p.lines)), key=lambda r: (-r[0], r[1], r[2]))
+    def __init__(self, budget: int, title: str, decay: float = DECAY, hidden: set[str] | None = None, total: float = 0.0):
+        self.budget, self.title, self.decay, self.total = budget, title, decay, total
         self.spine = self.spent = estimate(title)
+        self.closed = False
+        self.pages: dict[int, Page] = {}
         self.chosen: dict[int, list[tuple[str, str]]] = {}
         self.used: dict[int, int] = {}
         self.shown: set[str] = set(hidden or ())
-        self.total = sum((p.affinity or 0.0) ** AFFINITY_EXPONENT for p in pages if p.affinity is not None)
 
-    def fill(self, limit: int, main: int, new_pages: bool = True) -> None:
-        while True:
+    def _cost(self, row: tuple, limit: int, main: int, new_pages: bool) -> int | None:
+        """What the heading takes; None where the row does not fit, and so won't later in this filling."""
+        _, i, _, oid, _, size, page = row
+        if oid in self.shown:
+            return None
+        cost = 0
+        if i not in self.chosen:
+            cost = estimate("\n##" + page.heading)
+            if not new_pages or (self.chosen and self.spine + cost > int(main * SPINE_SHARE)):
+                return None
+        if self.spent + cost + size > limit:
+            return None
+        if page.affinity is not None and self.total > 0 and self.used.get(i, 0) + size > main * page.affinity**AFFINITY_EXPONENT / self.total:
+            return None
+        return cost
+
+    def fill(self, rows: Iterable[tuple], limit: int, main: int, new_pages: bool = True, least: int = 1, least_heading: int = 1) -> None:
+        """Takes lines of ``rows`` (rank, page's place, line's place, id, text, tokens, page), sorted by
+        the first three, highest rank first, and read only as far as needed.
+
+        A row not read yet is worth no more than the last one read, so the best row that
+        waits is taken once it is worth that. ``least`` and ``least_heading`` are the
+        tokens of the shortest line and heading; ``closed`` says that no page can be
+        opened any more, so that a source need not give lines of other pages.
+        """
+        waiting: dict[int, deque] = {}
+        rows, bound = iter(rows), float("inf")
+        while self.spent + least <= limit:
+            self.closed = not new_pages or bool(self.chosen) and self.spine + least_heading > int(main * SPINE_SHARE)
             best = None
-            for row in self.rows:
-                rank, i, _, oid, _, size = row
-                if oid in self.shown:
+            for i in list(waiting):
+                while waiting[i] and (cost := self._cost(waiting[i][0], limit, main, new_pages)) is None:
+                    waiting[i].popleft()
+                if not waiting[i]:
+                    del waiting[i]
                     continue
-                cost = 0
-                if i not in self.chosen:
-                    cost = estimate("\n##" + self.pages[i].heading)
-                    if not new_pages or (self.chosen and self.spine + cost > int(main * SPINE_SHARE)):
-                        continue
-                if self.spent + cost + size > limit:
-                    continue
-                affinity = self.pages[i].affinity
-                if affinity is not None and self.total > 0 and self.used.get(i, 0) + size > main * affinity**AFFINITY_EXPONENT / self.total:
-                    continue
-                value = rank * self.decay ** len(self.chosen.get(i, ()))
-                if best is None or value > best[0]:
-                    best = (value, cost, row)
-            if best is None:
+                row = waiting[i][0]
+                key = (-self._value(row), -row[0], row[1], row[2])
+                if best is None or key < best[0]:
+                    best = (key, cost, row)
+            worth = float("-inf") if best is None else -best[0][0]
+            if best is not None and worth >= bound:
+                _, cost, (_, i, _, oid, text, size, page) = best
+                waiting[i].popleft()
+                self.spine += cost
+                self.spent += cost + size
+                self.pages[i] = page
+                self.chosen.setdefault(i, []).append((oid, text))
+                self.used[i] = self.used.get(i, 0) + size
+                self.shown.add(oid)
+                continue
+            if best is None and bound == float("-inf"):
                 return
-            _, cost, (_, i, _, oid, text, size) = best
-            self.spine += cost
-            self.spent += cost + size
-            self.chosen.setdefault(i, []).append((oid, text))
-            self.used[i] = self.used.get(i, 0) + size
-            self.shown.add(oid)
-
-    def covered(self) -> set[str]:
-        return {oid for i in self.chosen for oid, _, _ in self.pages[i].lines}
-
-    def render(self, tail: str = "") -> Brief:
-        """Pages in page order under their nearest shown ancestor, at most six levels deep."""
-        parents = {p.slug: p.parent for p in self.pages}
+            while bound > worth:
+                row = next(rows, None)
+                if row is None:
+                    bound = float("-inf")
+                    break
+                # A negative rank grows when it decays.
+                bound = max(row[0], 0.0)
+                if self._cost(row, limit, main, new_pages) is not None:
+                    waiting.setdefault(row[1], deque()).append(row)
+                    worth = max(worth, self._value(row))
+
+    def _value(self, row: tuple) -> float:
+        return row[0] * self.decay ** len(self.chosen.get(row[1], ()))
+
+    def render(self, tail: str, parents: dict[str, str | None], left: list[str], n_pages: int) -> Brief:
+        """Pages in page order under their nearest shown ancestor, at most six levels deep.
+
+        ``left`` are the best ids that are not shown, ``n_pages`` the pages that hold lines.
+        """
         shown = {self.pages[i].slug for i in self.chosen}
         below: dict[str | None, list[int]] = {}
         for i in sorted(self.chosen):
@@ -163,9 +203,8 @@ class Assembly:
         add(self.title)
         emit(None, 0)
         add(tail)
-        left = dict.fromkeys(r[3] for r in self.rows if r[3] not in self.shown)
-        out.next = list(left)[:NEXT_CAP]
-        out.truncated = bool(left) or len(self.chosen) < len(self.pages)
+        out.next = left[:NEXT_CAP]
+        out.truncated = bool(left) or len(self.chosen) < n_pages
         return out
 
 
@@ -175,8 +214,11 @@ def assemble(pages: list[Page], budget: int, title: str, decay: float = DECAY, d
     What the directory leaves goes to more lines on pages that are already open.
     """
     reserve = int(budget * DIRECTORY_SHARE) if directory else 0
-    work = Assembly(pages, budget, title, decay, hidden)
-    work.fill(budget - reserve, budget - reserve)
-    tail = directory(work.covered(), reserve) if directory else ""
-    work.fill(budget - estimate(tail), budget - reserve, new_pages=False)
-    return work.render(tail)
+    total = sum((p.affinity or 0.0) ** AFFINITY_EXPONENT for p in pages if p.affinity is not None)
+    work = Assembly(budget, title, decay, hidden, total)
+    rows = sorted(((rank, i, k, oid, text, estimate(text), p) for i, p in enumerate(pages) for k, (oid, rank, text) in enumerate(p.lines)), key=lambda r: (-r[0], r[1], r[2]))
+    work.fill(rows, budget - reserve, budget - reserve)
+    tail = directory({oid for i in work.chosen for oid, _, _ in pages[i].lines}, reserve) if directory else ""
+    work.fill(rows, budget - estimate(tail), budget - reserve, new_pages=False)
+    left = list(dict.fromkeys(r[3] for r in rows if r[3] not in work.shown))
+    return work.render(tail, {p.slug: p.parent for p in pages}, left, len(pages))
