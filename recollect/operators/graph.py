@@ -1,8 +1,9 @@
 """Trees, chains and redirects over edge tables.
 
-Closures go level by level: each step joins the frontier with the edges, so a step
-costs its frontier and the number of steps is the depth, at most ``limit``. What has
-been reached leaves the next frontier, so cycles end.
+Closures double: each step joins the pairs at the greatest depth so far with all pairs
+found, so a tree takes as many steps as its depth has binary digits. What has been
+reached is not found again, so cycles end. Where a caller gives a ``limit`` of levels,
+a deeper tree is an error.
 """
 
 from __future__ import annotations
@@ -17,32 +18,36 @@ from recollect.operators.tables import kept
 MATCH, MAX_DEPTH = 0.7, 6
 
 
-def ancestors(edges: DataFrame, limit: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, ancestor, depth) of ``edges`` (node, parent), each node its own at depth 0.
 
     Null parents are roots. Where a node is reached on several ways, the shortest
     counts; in a cycle each node is an ancestor of the others once.
     """
-    up = edges.select("node", "parent").where("node is not null and parent is not null").distinct()
+    up = edges.select("node", F.col("parent").alias("ancestor")).where("node is not null and ancestor is not null and node != ancestor").distinct()
     nodes = edges.select("node").union(edges.select("parent")).where("node is not null").distinct()
     found = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    frontier = found
-    for depth in range(1, limit + 1):
-        step = frontier.select("node", F.col("ancestor").alias("at")).join(up.toDF("at", "ancestor"), "at").select("node", "ancestor").distinct()
-        frontier = kept(step.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        found = found.union(frontier)
+    reach, new = 1, kept(up.withColumn("depth", F.lit(1)))
+    while not new.isEmpty():
+        if limit is not None and not new.where(F.col("depth") > limit).isEmpty():
+            raise ValueError(f"the tree is deeper than {limit} levels")
+        found = found.union(new)
+        # A shortest way of more than ``reach`` levels passes a node at just that depth.
+        first = new.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("at"), F.col("depth").alias("before"))
+        then = found.where("depth > 0").toDF("at", "ancestor", "after")
+        step = first.join(then, "at").groupBy("node", "ancestor").agg(F.min(F.col("before") + F.col("after")).cast("int").alias("depth"))
+        new = kept(step.join(found, ["node", "ancestor"], "left_anti"))
+        reach *= 2
     return found
 
 
-def descendants(edges: DataFrame, roots: DataFrame | None = None, limit: int = 64) -> DataFrame:
+def descendants(edges: DataFrame, roots: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(root, node, depth): what lies below each of ``roots`` (node), all nodes by default."""
     closure = ancestors(edges, limit).select(F.col("ancestor").alias("root"), "node", "depth")
     return closure if roots is None else closure.join(roots.select(F.col("node").alias("root")), "root", "left_semi")
 
 
-def on_cycles(edges: DataFrame, limit: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(node): nodes that reach themselves."""
     up = edges.where("parent is not null").select("node", "parent").distinct()
     loops = up.where("node = parent").select("node")

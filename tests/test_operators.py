@@ -42,6 +42,18 @@ def test_closures(spark):
     assert graph.ancestors(edges(spark).where("false")).collect() == []
 
 
+def test_closures_of_deep_trees(spark):
+    deep = edges(spark, *((f"n{i:03}", f"n{i + 1:03}") for i in range(100)), ("n000", "n090"))
+    got = {(r["node"], r["ancestor"]): r["depth"] for r in graph.ancestors(deep).collect()}
+    want = {(f"n{i:03}", f"n{j:03}"): j - i for i in range(101) for j in range(i, 101)}
+    assert got == want | {("n000", f"n{j:03}"): j - 89 for j in range(90, 101)}
+    ring = edges(spark, *((f"r{i:02}", f"r{(i + 1) % 80:02}") for i in range(80)), ("x", "r00"))
+    assert {r["node"] for r in graph.on_cycles(ring).collect()} == {f"r{i:02}" for i in range(80)}
+    assert graph.ancestors(deep, limit=100).count() == len(want)
+    with pytest.raises(ValueError, match="deeper than 98"):
+        graph.ancestors(deep, limit=98)
+
+
 def test_chains(spark):
     chain = edges(spark, *((f"n{i:03}", f"n{i + 1:03}") for i in range(100)), ("p", "q"), ("q", "p"), ("z", "p"))
     got = {r["node"]: r["final"] for r in graph.final_of(chain).collect()}
