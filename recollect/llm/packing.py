@@ -6,8 +6,9 @@ windows start from one of its documents; their gaps take the longest documents o
 shorter tiers that fit, and a last gap is closed by cutting one. Only full windows
 leave; what does not fill one waits for more documents. The end of a partition is
 written as windows of falling powers of two, so there is no padding at all. Windows
-of a tier are dealt into step groups of equal tokens so that the groups' attention
-costs, the sums of squared piece lengths, are balanced.
+of a tier are dealt into step groups of equal tokens, but for a partition's last of each
+size, so that the groups' attention costs, the sums of squared piece lengths, are
+balanced.
 
 Scale: tokens are made and packed in the task that read the documents, at most
 ``GROUP`` tokens and one document at a time; no shuffle. The numbering of sequences
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.wordpieces import WordTable, bpe_table
+from recollect.llm.wordpieces import WordTable, bpe_table, chunks
 
 TIERS = (4096, 2048, 1024, 512)
 WINDOW, END, GROUP, STEP = TIERS[0], 2, 1 << 20, 8 * TIERS[0]
@@ -34,17 +36,16 @@ WINDOW, END, GROUP, STEP = TIERS[0], 2, 1 << 20, 8 * TIERS[0]
 PER_PARTITION = 1 << 40
 
 
-def document_ids(text: bytes | None, table: WordTable) -> np.ndarray:
-    """The tokenizer's ids of a text and the end-of-document id.
+def documents_ids(texts: pa.Array, table: WordTable) -> Iterator[np.ndarray]:
+    """For each text the tokenizer's ids and the end-of-document id.
 
     The tokenizer lower-cases, which is done to A-Z first, so that fewer different words
     are met, but for texts with the opening of a special token.
     """
-    text = text or b""
-    if b"<|" not in text:
-        text = text.lower()
-    ids = table.ids(table.places(text.split()))
-    return np.append(ids, np.uint32(END))
+    for _, run in chunks(texts):
+        words = table.words(pc.if_else(pc.match_substring(run, "<|"), run, pc.ascii_lower(run)))
+        for i in range(len(run)):
+            yield np.append(words.ids_of(i), np.uint32(END))
 
 
 class Packer:
@@ -109,48 +110,58 @@ class Packer:
         return out
 
 
-def step_groups(windows: list[tuple[int, list]], first: int) -> tuple[list[int], int]:
-    """A step group for each window, numbered from ``first``, and the next number.
+class StepGroups:
+    """Deals windows into step groups, numbered from ``first``.
 
-    A group holds windows of one size, STEP tokens of them; the costliest windows
-    are dealt out to the groups there and back.
+    A group holds windows of one size, exactly ``STEP`` tokens of them; windows that do
+    not fill a group wait for more, and only the last group of a size may be smaller. Of
+    the groups made at once, the costliest windows are dealt out there and back.
     """
-    groups = [0] * len(windows)
-    for size in sorted({w[0] for w in windows}, reverse=True):
-        own = [i for i, w in enumerate(windows) if w[0] == size]
-        own.sort(key=lambda i: (-sum(p[0] ** 2 for p in windows[i][1]), i))
-        n = -(-len(own) * size // STEP)
-        for k, i in enumerate(own):
-            turn = k % (2 * n)
-            groups[i] = first + (turn if turn < n else 2 * n - 1 - turn)
-        first += n
-    return groups, first
+
+    def __init__(self, first: int):
+        self.next, self.waiting = first, {}
+
+    def add(self, size: int, pieces: list, rows: list) -> None:
+        self.waiting.setdefault(size, []).append((sum(p[0] ** 2 for p in pieces), rows))
+
+    def take(self, last: bool = False) -> list[tuple]:
+        """The rows of all full groups, and with ``last`` of the rest, each with its group's number."""
+        out = []
+        for size in sorted(self.waiting, reverse=True):
+            own, n = self.waiting[size], len(self.waiting[size]) * size // STEP
+            whole, self.waiting[size] = own[: n * STEP // size], own[n * STEP // size :]
+            for k, (_, rows) in enumerate(sorted(whole, key=lambda w: -w[0])):
+                turn = k % (2 * n)
+                out += [(*row, self.next + (turn if turn < n else 2 * n - 1 - turn)) for row in rows]
+            self.next += n
+            if last and self.waiting[size]:
+                out += [(*row, self.next) for _, rows in self.waiting.pop(size) for row in rows]
+                self.next += 1
+        return out
 
 
 def _packed(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bpe_table(vocabulary)
         base = TaskContext.get().partitionId() * PER_PARTITION
-        packer, held, number, sequence, step = Packer(), {}, 0, base, base
-
-        def rows(windows: list) -> pa.RecordBatch:
-            nonlocal sequence, step
-            groups, step = step_groups(windows, step)
-            out: list = []
-            for (size, window), group in zip(windows, groups, strict=True):
-                offset = 0
+        packer, steps, held, number, sequence = Packer(), StepGroups(base), {}, 0, base
+
+        def rows(windows: list, last: bool = False) -> pa.RecordBatch:
+            nonlocal sequence
+            for size, window in windows:
+                offset, own = 0, []
                 for length, n, start in window:
                     doc_id, ids = held[n]
-                    out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), len(ids), sequence, offset, size, group))
+                    own.append((doc_id, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), len(ids), sequence, offset, size))
                     offset += length
+                steps.add(size, window, own)
                 sequence += 1
-            columns = list(zip(*out, strict=True)) or [()] * len(NAMES)
+            columns = list(zip(*steps.take(last), strict=True)) or [()] * len(NAMES)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=NAMES)
 
         windows, fresh = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                ids = document_ids(text.as_py(), table)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), documents_ids(batch.column(1), table), strict=True):
                 held[number] = (doc_id, ids)
                 windows += packer.add(number, len(ids))
                 number, fresh = number + 1, fresh + len(ids)
@@ -159,9 +170,7 @@ def _packed(vocabulary: str):
                     waiting = {p[1] for pool in packer.pools.values() for p in pool}
                     held = {n: x for n, x in held.items() if n in waiting}
                     windows, fresh = [], 0
-        windows += packer.rest()
-        if windows:
-            yield rows(windows)
+        yield rows(windows + packer.rest(), last=True)
 
     return run
 
@@ -173,7 +182,9 @@ def packed(docs: DataFrame, vocabulary: str) -> DataFrame:
     """A row for each piece of a document in a sequence; window is the sequence's length.
 
     Nulls: a null or empty text is the end-of-document id alone; a null doc_id is
-    carried. Rows that share an id, and repeated rows, are packed each on its own. An
-    empty table gives no rows; other columns are not read.
+    carried. A text of any length is cut into as many windows as it fills. Documents of
+    equal length are taken as they come. Rows that share an id, and repeated rows, are
+    packed each on its own. An empty table gives no rows; other columns, whatever their
+    names, are not read.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed(vocabulary), ", ".join(f"{n} long" for n in NAMES))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from recollect.llm.wordpieces import WordTable, piece_table
+from recollect.llm.wordpieces import WordTable, chunks, piece_table
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -113,22 +113,24 @@ def repeated_words(places: np.ndarray) -> int:
     return int(inside.sum())
 
 
-def measures(text: bytes, table: WordTable, is_byte: np.ndarray) -> tuple:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars a token, byte share, entropy."""
-    words = text.split()
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    n_symbols = sum(text.count(c) for c in (bytes([s]) for s in SYMBOLS))
-    if not words:
-        return 0, 0, n_symbols, 0, 0, None, None, None
-    places = table.places(words)
-    chars = int(table.points[places].sum())
-    ids = table.ids(places)
-    base = (len(words), chars, n_symbols, len(lines) - len(set(lines)), repeated_words(places))
-    if not len(ids):
-        return *base, None, None, None
-    counts = np.bincount(ids)
-    share = counts[counts > 0] / len(ids)
-    return *base, int(table.letters[places].sum()) / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum()))
+def measures(texts: pa.Array, table: WordTable, is_byte: np.ndarray) -> Iterator[tuple[bytes, tuple]]:
+    """Each text with its n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars a token, byte share and entropy."""
+    for _, run in chunks(texts):
+        words = table.words(run)
+        for i, text in enumerate(run.cast(pa.large_binary()).to_pylist()):
+            places, ids = words.places_of(i), words.ids_of(i)
+            n_symbols = len(text) - len(text.translate(None, SYMBOLS))
+            if not len(places):
+                yield text, (0, 0, n_symbols, 0, 0, None, None, None)
+                continue
+            lines = [x for x in text.split(b"\n") if x.strip()]
+            base = (len(places), int(table.points[places].sum()), n_symbols, len(lines) - len(set(lines)), repeated_words(places))
+            if not len(ids):
+                yield text, (*base, None, None, None)
+                continue
+            _, counts = np.unique(ids, return_counts=True)
+            share = counts / len(ids)
+            yield text, (*base, int(table.letters[places].sum()) / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum())))
 
 
 def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int | None, carried: int):
@@ -137,9 +139,7 @@ def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int
         for batch in batches:
             rows = []
             langs = [None] * len(batch) if lang_at is None else batch.column(lang_at).to_pylist()
-            for text, lang in zip(batch.column(text_at).cast(pa.large_binary()), langs, strict=True):
-                text = text.as_py() or b""
-                m = measures(text, table, is_byte)
+            for (text, m), lang in zip(measures(batch.column(text_at), table, is_byte), langs, strict=True):
                 failed = m[0] < MIN_WORDS or 100 * m[4] > MAX_REPEATED * m[0]
                 name = lang if lang in bands else band_of(text, bands)
                 band = bands.get(name) or bands["other"]

@@ -7,12 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from recollect.llm import packing, quality, token_files
+from recollect.llm import packing, quality, token_files, wordpieces
 from recollect.llm.chat_format import TEMPLATE, format_conversations, read_back
 from recollect.llm.chat_template import TemplateError, compile_template, escape, fold, parse, unescape
 from recollect.llm.wordpieces import bpe_table
@@ -117,11 +118,58 @@ def test_scripts_by_most_letters():
     assert {t: quality.script_of(t.encode()) for t in cases} == cases
 
 
+WARM = bpe_table(WORDS)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list(" .,;:!?'\n\tabzABZ<|>\u0301é\u00a0"))), max_size=60))
-def test_ids_are_the_tokenizers(text):
-    whole = MODEL
-    assert packing.document_ids(text.encode(), bpe_table(WORDS)).tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END]
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list(" .,;:!?'\n\tabzABZ<|>\u0301\u0307éİıſ&5\u00a0\x1c"))), max_size=40), max_size=6))
+def test_ids_are_the_tokenizers(texts):
+    """Whatever the table has met before."""
+    want = [[*MODEL.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    for table in (bpe_table(WORDS), WARM):
+        assert [x.tolist() for x in packing.documents_ids(pa.array(texts, pa.string()), table)] == want
+
+
+def test_ids_do_not_depend_on_what_was_met_before(monkeypatch):
+    table = bpe_table(WORDS)
+    monkeypatch.setattr(wordpieces, "REMEMBERED", 8)
+    texts = ["İ", "İ.", "e", "é e\u0301 e", "the cat, the dog", "cat. dog's", None, "", "<|endoftext|>A", "the cat sat. <|ENDOFTEXT|>", "x" * 100] * 3
+    for start in range(len(texts)):
+        own = texts[start:]
+        got = [x.tolist() for x in packing.documents_ids(pa.array(own, pa.string()), table)]
+        assert got == [[*MODEL.encode(t or "", add_special_tokens=False).ids, packing.END] for t in own]
+
+
+def test_bytes_that_are_no_utf8_become_replacement_characters():
+    texts = pa.array([b"ab \xff\xfe c", b"plain"]).cast(pa.binary())
+    got = [x.tolist() for x in packing.documents_ids(texts, bpe_table(WORDS))]
+    assert got == [[*MODEL.encode(t, add_special_tokens=False).ids, packing.END] for t in ("ab \ufffd\ufffd c", "plain")]
+
+
+def test_step_groups_are_of_equal_tokens_and_near_in_cost():
+    rng = random.Random(6)
+    steps, out, cost = packing.StepGroups(100), [], {}
+    for n in range(700):
+        size = rng.choice(packing.TIERS)
+        cuts = [0, *sorted(rng.sample(range(1, size), rng.choice([0, 1, 5, 30]))), size]
+        pieces = [(y - x, 0, 0) for x, y in zip(cuts, cuts[1:], strict=False)]
+        cost[n] = (size, sum(p[0] ** 2 for p in pieces))
+        steps.add(size, pieces, [(n,)])
+        if n % 350 == 349:
+            out += steps.take(last=n == 699)
+    assert sorted(x[0] for x in out) == list(range(700))
+    groups = {}
+    for n, group in out:
+        groups.setdefault(group, []).append(cost[n])
+    assert sorted(groups) == list(range(100, 100 + len(groups)))
+    smaller = 0
+    for own in groups.values():
+        assert len({s for s, _ in own}) == 1
+        smaller += sum(s for s, _ in own) != packing.STEP
+    assert smaller <= len(packing.TIERS)
+    for size in packing.TIERS:
+        full = [sum(c for _, c in own) for own in groups.values() if own[0][0] == size and size * len(own) == packing.STEP]
+        assert max(full) <= 1.6 * min(full)
 
 
 def test_packing_is_a_partition_of_the_tokens(spark):
