@@ -10,10 +10,11 @@ estimate is not clearly too low are checked on the full sets.
 Scale: equal sets collapse into one class first, so copies are never compared. Of the
 smallest classes of its buckets, each class is then compared with the one it meets
 most often, and if that leaves them apart with the next, for ``STARS`` rounds; those
-pairs, one for a class and round, join most of a group into one component. Classes
-that still stand outside the component of some bucket's smallest class are checked on
-the full sets against that component, and against each other where they share a
-bucket, in blocks of bounded size that return a forest of links. Two classes that
+pairs, one for a class and round, join most of a group into one component; a class
+that very many meet sends its text to several tasks. Classes that still stand outside
+the component of some bucket's smallest class are compared with the bucket's other
+components in blocks of bounded size, by signature, and those with a likely partner in
+the other block on full sets, which gives a forest of links. Two classes that
 share a bucket therefore end up in one component or have been compared, whatever the
 size of the bucket, and no step makes all pairs of a group into rows. At similarity
 0.75 a pair shares no bucket with probability (1 - 0.75 ** 4) ** 52 < 3e-9, and an
@@ -39,17 +40,22 @@ PERMUTATIONS, ROWS, BITS = 208, 4, 4
 BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
 #: Pairs estimated below this are dropped unchecked: six deviations under 0.75.
 FLOOR = 0.55
-#: Classes that ask and classes asked that one task compares on full sets at once.
-TEXT_BLOCK, TEXT_CHUNK = 64, 256
+#: Classes that ask and classes asked that one task compares on full sets at once, for
+#: classes of at most LENGTH shingles on average; and partners of a class in one task.
+BLOCK, CHUNK, LENGTH, PARTNERS = 64, 256, 4000, 128
 #: Rounds in which a class is compared with one smallest class of its buckets.
 STARS = 3
-_CACHE = 400_000
+_CACHE = 200_000
+#: Most unequal bit groups of a pair whose estimate is FLOOR or more.
+MOST_UNEQUAL = int(PERMUTATIONS * (1 - FLOOR) * (1 - 2.0**-BITS))
 
 _rng = np.random.default_rng(20240607)
 _MUL = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _PLACE = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The lowest bit of each group of BITS.
+_LOW = np.uint64(0x1111111111111111)
 
 
 class _WordHashes(dict):
@@ -139,55 +145,72 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - unequal / F.lit(float(PERMUTATIONS))) - chance) / (1 - chance)
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, last, left = _WordHashes(), None, None
+def _linked(left: np.ndarray, right: np.ndarray) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both > 0 and 100 * both >= 75 * (len(left) + len(right) - both)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each centre, whose texts come first, with the texts that follow."""
+    words, centre, own = _WordHashes(), None, []
     for batch in batches:
-        keep = []
-        pairs = zip(batch.column(2).cast(pa.large_binary()), batch.column(3).cast(pa.large_binary()), strict=True)
-        for i, (x, y) in enumerate(pairs):
-            if (text := x.as_py()) != last or left is None:
-                last, left = text, shingle_hashes(text, words)
-            right = shingle_hashes(y.as_py(), words)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if both and 100 * both >= 75 * (len(left) + len(right) - both):
-                keep.append(i)
-        if keep:
-            yield batch.select([0, 1]).take(pa.array(keep))
+        out = []
+        for a, salt, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.large_binary()), strict=True):
+            if (a, salt) != centre:
+                centre, own = (a, salt), []
+            shingles = shingle_hashes(text.as_py(), words)
+            if a == b:
+                own.append(shingles)
+            elif any(_linked(x, shingles) for x in own):
+                out.append((a, b))
+        yield _pairs(out)
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough; ``texts`` has id and text."""
-    second = pairs.join(texts.toDF("b", "text_b"), "b")
-    return second.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_checked, "a long, b long").distinct()
-
-
-def _shared(askers: list[tuple], held: list[tuple]) -> Iterator[tuple[tuple, np.ndarray]]:
-    """Each asker (id, label, shingles, ...) with which of ``held`` it is similar enough to, on full sets."""
-    known = np.unique(np.concatenate([x[2] for x in askers]))
-    every = np.concatenate([x[2] for x in held])
-    sizes = np.array([len(x[2]) for x in held])
-    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-    at[known[at] != every] = len(known)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    mark = np.zeros(len(known) + 1, np.int32)
-    for x in askers:
-        mark[:] = 0
-        mark[np.searchsorted(known, x[2])] = 1
-        both = np.add.reduceat(mark[at], starts)
-        yield x, np.flatnonzero((both > 0) & (100 * both >= 75 * (len(x[2]) + sizes - both)))
+    """Those of ``pairs`` (a, b), a < b, whose full shingle sets are similar enough; ``texts`` has id and text.
+
+    The partners of a centre a are dealt over tasks, ``PARTNERS`` to each, and stream
+    past its own text, so that neither a centre's pairs nor two texts for each pair
+    come together.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"))
+    others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b", F.lit(4)), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
+    rows = centres.union(others).join(texts, "id").select("a", "salt", "id", "text")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "id").mapInArrow(_stars, "a long, b long").distinct()
+
+
+def _worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of classes those that have a partner in the other, of another component, by the estimate."""
+    rows = pa.Table.from_batches(list(batches))
+    signs = np.stack([np.array(x, np.int64) for x in rows["sign"].to_pylist()]).view(np.uint64)
+    labels, side = rows["component"].to_numpy(), rows["side"].to_numpy()
+    askers, held = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    found = np.zeros(len(rows), bool)
+    for i in askers:
+        x = signs[i] ^ signs[held]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        near = (np.bitwise_count(x & _LOW).sum(axis=1) <= MOST_UNEQUAL) & (labels[held] != labels[i])
+        if near.any():
+            found[i] = True
+            found[held[near]] = True
+    yield from rows.drop_columns(["sign"]).filter(pa.array(found)).combine_chunks().to_batches()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between different components among the classes of two blocks, at most one for a class."""
-    words, rows, same = _WordHashes(), [], True
+    """Links between different components among the classes of two blocks, at most one for a class of the first."""
+    words, rows = _WordHashes(), []
     for batch in batches:
-        same = batch["i"][0].as_py() == batch["j"][0].as_py() if len(batch) else same
-        for x, label, block, text in zip(batch["id"].to_pylist(), batch["component"].to_pylist(), batch["block"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
+        for x, label, side, text in zip(*(batch[c].to_pylist() for c in ("id", "component", "side")), batch["text"].cast(pa.large_binary()), strict=True):
             shingles = shingle_hashes(text.as_py(), words)
             if len(shingles):
-                rows.append((x, label, shingles, block))
-    low = min((r[3] for r in rows), default=0)
-    askers, held = (rows, rows) if same else ([r for r in rows if r[3] == low], [r for r in rows if r[3] != low])
+                rows.append((x, label, shingles, side))
+    askers, held = [r for r in rows if r[3] & 1], [r for r in rows if r[3] & 2]
     parent: dict = {}
 
     def root(label: int) -> int:
@@ -197,62 +220,79 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     out = []
     if askers and held:
-        for x, near in _shared(askers, held):
-            for k in near:
+        known = np.unique(np.concatenate([x[2] for x in askers]))
+        every = np.concatenate([x[2] for x in held])
+        sizes = np.array([len(x[2]) for x in held])
+        at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+        at[known[at] != every] = len(known)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mark = np.zeros(len(known) + 1, np.int32)
+        for x in askers:
+            mark[:] = 0
+            mark[np.searchsorted(known, x[2])] = 1
+            both = np.add.reduceat(mark[at], starts)
+            for k in np.flatnonzero((both > 0) & (100 * both >= 75 * (len(x[2]) + sizes - both))):
                 mine, other = root(x[1]), root(held[k][1])
                 if mine != other:
                     parent[max(mine, other)] = min(mine, other)
                     out.append((x[0], held[k][0]))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    yield _pairs(out)
 
 
-def outside_of(members: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, main, rep, component): classes outside the component of their bucket's smallest class."""
+def unjoined(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of ``members`` in buckets of several components, with component and main, that of the smallest class."""
     comp = members.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    main = comp.where("rep = pivot").select("key", F.col("component").alias("main"))
-    return comp.join(main, "key").where("component != main").select("key", "main", "rep", "component")
+    main = comp.groupBy("key").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    return comp.join(main.select("key", "main"), "key").select("key", "main", "rep", "component", "n_shingles")
 
 
-def links_outside(outside: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of a bucket that are both outside its main component.
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """(unit, i, j, id, component, side): pairs of blocks of classes that are to be compared.
 
-    A bucket's classes are dealt into blocks of ``TEXT_BLOCK``; a task compares two blocks
-    on full sets and returns a forest, not pairs.
+    Classes outside the main component of their bucket are compared with those inside
+    and with each other. Where buckets overlap so much that it is less work, all buckets
+    of one main component are taken as one unit, so that a pair that shares many of them
+    is compared once; else each bucket is a unit of its own.
     """
-    sizes = outside.groupBy("key").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"), F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key", "blocks")
-    placed = outside.join(sizes, "key").withColumn("block", F.pmod(F.abs(F.xxhash64("rep", F.lit(3))), F.col("blocks")).cast("int"))
-    spread = placed.select("key", F.col("rep").alias("id"), "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "block")
-    return paired.join(texts, "id").select("key", "i", "j", "id", "component", "block", "text").groupBy("key", "i", "j").applyInArrow(_forest, "a long, b long")
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A link of each asking class into a part of a component, if there is one, on full sets."""
-    words, sides = _WordHashes(), ([], [])
-    for batch in batches:
-        for asks, x, text in zip(batch["asks"].to_pylist(), batch["id"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
-            shingles = shingle_hashes(text.as_py(), words)
-            if len(shingles):
-                sides[not asks].append((x, None, shingles))
-    out = [(x[0], sides[1][near[0]][0]) for x, near in _shared(*sides) if len(near)] if all(sides) else []
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def cross_links(asked: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) from classes into the components that ``asked`` (id, component) names.
-
-    A component's members are dealt into chunks of ``TEXT_CHUNK``, those that ask for it
-    into blocks of ``TEXT_BLOCK``.
+    inside = F.col("component") == F.col("main")
+    sized = lambda n, w, most: F.greatest(F.ceil(F.sum(n) / most), F.ceil(F.sum(w) / (most * LENGTH))).cast("int")
+    here, there = inside.cast("int"), (~inside).cast("int")
+    count = [
+        F.sum(there).alias("n_out"),
+        F.sum(here).alias("n_in"),
+        sized(there, there * F.col("n_shingles"), BLOCK).alias("blocks"),
+        sized(here, here * F.col("n_shingles"), CHUNK).alias("chunks"),
+    ]
+    work = F.col("n_out") * (F.col("chunks") + F.col("blocks")) + F.col("n_in") * F.col("blocks")
+    by_key = rows.groupBy("main", "key").agg(*count).withColumn("work", work)
+    whole = rows.select("main", "rep", "component", "n_shingles").distinct().groupBy("main").agg(*count).withColumn("work", work)
+    joined = by_key.groupBy("main").agg(F.sum("work").alias("apart")).join(whole, "main").where("work <= apart").select("main", "blocks", "chunks")
+    each = by_key.join(joined, "main", "left_anti").select("main", "key", "blocks", "chunks")
+    placed = (
+        rows.select("main", "rep", "component").distinct().join(joined, "main").select(F.col("main").alias("unit"), "main", "rep", "component", "blocks", "chunks")
+        .union(rows.join(each, ["main", "key"]).select(F.col("key").alias("unit"), "main", "rep", "component", "blocks", "chunks"))
+    )
+    place = F.xxhash64("rep", F.lit(2))
+    block, chunk = F.pmod(place, "blocks").cast("int"), F.pmod(place, "chunks").cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = placed.where(~inside)
+    asking = outer.select("unit", block.alias("i"), upto("chunks").alias("j"), "rep", "component", F.lit(1).alias("side"))
+    asked = placed.where(inside).select("unit", upto("blocks").alias("i"), chunk.alias("j"), "rep", "component", F.lit(2).alias("side"))
+    between = outer.select("unit", block.alias("own"), upto("blocks").alias("other"), "rep", "component")
+    side = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    between = between.select("unit", F.least("own", "other").alias("i"), (-1 - F.greatest("own", "other")).alias("j"), "rep", "component", side.alias("side"))
+    return asking.union(asked).union(between).withColumnRenamed("rep", "id")
+
+
+def links_between(blocks: DataFrame, signs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different components in pairs of blocks.
+
+    Signatures (id, sign) are compared first, and only classes that have a likely
+    partner in the other block send their texts; a task returns a forest, not pairs.
     """
-    wanted = asked.groupBy("component").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
-    roots = wanted.select(F.col("component").alias("id"), "component")
-    members = components.join(wanted, "component").select("id", "component").union(roots)
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TEXT_CHUNK).cast("int").alias("chunks"))
-    grid = wanted.join(sizes, "component")
-    place = F.abs(F.xxhash64("id", F.lit(2)))
-    askers = asked.join(grid, "component").select("id", "component", F.pmod(place, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
-    members = members.join(grid, "component").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(place, "chunks").cast("int").alias("chunk"), F.lit(False).alias("asks"))
-    return askers.union(members).join(texts, "id").groupBy("component", "block", "chunk").applyInArrow(_linked, "a long, b long")
+    place, schema = ["unit", "i", "j"], "unit long, i int, j int, id long, component long, side int"
+    likely = blocks.join(signs, "id").select(*place, "id", "component", "side", "sign").groupBy(*place).applyInArrow(_worth, schema)
+    return stored(likely, "likely").join(texts, "id").select(*place, "id", "component", "side", "text").groupBy(*place).applyInArrow(_forest, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,17 +303,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Nulls: a null, empty or blank text has no shingles and links with nothing. A row
     with a null id is returned with component_id null and kept true and links with
-    nothing. Rows that share an id count as one document: a link of either text is a
-    link of both. Empty tables give empty results; other columns are not read.
+    nothing. Texts of any length are taken whole. Pairs at the limit itself are linked;
+    of equal sets the smallest id is kept. Rows that share an id count as one document:
+    a link of either text is a link of both. Empty tables give empty results; other
+    columns, whatever their names, are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signs = stored(signatures(docs, id_col, text_col), "signatures")
     reps = stored(
-        signs.where("n_shingles > 0 and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by(F.struct("sign", "bands"), "id").alias("x")).select("set_hash", "rep", "x.sign", "x.bands"),
+        signs.where("n_shingles > 0 and id is not null").groupBy("set_hash", "n_shingles").agg(F.min("id").alias("rep"), F.min_by(F.struct("sign", "bands"), "id").alias("x")).select("set_hash", "n_shingles", "rep", "x.sign", "x.bands"),
         "classes",
     )
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    repeated = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    banded = reps.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    repeated = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = stored(banded.join(repeated, "key"), "members")
 
     named = members.select(F.col("rep").alias("id")).distinct()
@@ -293,9 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = star.join(sign.toDF("a", "sign_a"), "a").join(sign.toDF("b", "sign_b"), "b").where(estimate("sign_a", "sign_b") >= FLOOR).select("a", "b")
         links = confirmed(near, texts)
         parts = connected_components(links if parts is None else links.union(parts.toDF("a", "b")))
-    outside = stored(outside_of(members, parts), "outside")
-    asked = stored(outside.select(F.col("rep").alias("id"), F.col("main").alias("component")).distinct(), "asked")
-    found = cross_links(asked, parts, texts).union(links_outside(outside, texts))
+    blocks = blocks_of(stored(unjoined(members, parts), "unjoined"))
+    found = links_between(blocks, sign.withColumnRenamed("rep", "id"), texts)
     # Documents that share an id, or a class, belong together.
     same = signs.where("n_shingles > 0").join(reps.select("set_hash", "rep"), "set_hash").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     parts = connected_components(parts.toDF("a", "b").union(found).union(same))

@@ -68,6 +68,27 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_near(rows)
 
 
+def test_near_duplicates_compared_in_blocks(spark, monkeypatch):
+    """Groups whose links lie across and beside the first comparisons, in blocks of a few."""
+    for name, value in {"STARS": 1, "BLOCK": 3, "CHUNK": 4, "LENGTH": 60, "PARTNERS": 5}.items():
+        monkeypatch.setattr(mh, name, value)
+    rng = random.Random(8)
+    rows, n = [], 0
+    for _ in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+        for _ in range(5):
+            # Each branch is some way from the base, its leaves near the branch.
+            branch = edited(rng, base, 3)
+            for _ in range(6):
+                rows.append((n, " ".join(edited(rng, branch, rng.choice([0, 1, 2])))))
+                n += 1
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {tuple(r) for r in mh.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_near(rows)
+    assert 3 < len({c for _, _, c, _ in got}) < len(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert mh.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(None, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 2), (1, "x " * 50_000, 3)]
