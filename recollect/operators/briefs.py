@@ -13,7 +13,7 @@ from recollect.functions.text import rendered_line, token_estimate
 from recollect.operators.budget import AFFINITY_EXPONENT, DIRECTORY_SHARE, NEXT_CAP, Assembly, Brief, Page, estimate
 from recollect.operators.graph import ancestors
 from recollect.operators.reports import page_inbound
-from recollect.operators.tables import kept
+from recollect.operators.tables import kept, numbered
 
 #: Budgets in tokens, the least budget, and the rows of a directory subject.
 GLOBAL, PROJECT, RECALL, LEAST, SUBJECT = 8000, 4000, 1500, 200, 3
@@ -40,7 +40,7 @@ def page_order(rows: DataFrame, links: DataFrame, pages: DataFrame, affinities:
     scored = pages.join(stats, "page").withColumn("score", score).withColumn("affinity", F.lit(None).cast("double"))
     if affinities is not None:
         scored = scored.drop("affinity").join(affinities.select("page", "affinity"), "page").withColumn("score", F.col("score") * F.col("affinity"))
-    return scored.withColumn("order", F.row_number().over(Window.orderBy(F.desc_nulls_last("affinity"), F.desc("score"), "page")))
+    return numbered(scored, "order", F.desc_nulls_last("affinity"), F.desc("score"), F.asc("page"))
 
 
 def directory(rows: DataFrame, links: DataFrame, edges: DataFrame, covered: list[str], budget: int, opened: list[str] | None = None) -> str:
@@ -143,7 +143,7 @@ def recall(hits: DataFrame, standing: set[str], rows: DataFrame, links: DataFram
 
     ``hits`` has id and score, at most as many as a search returns.
     """
-    found = rows.join(F.broadcast(hits.select("id", "score")), "id").withColumn("rank", F.col("score"))
+    found = rows.join(hits.select("id", "score"), "id").withColumn("rank", F.col("score"))
     affinities = links.join(found.select("id", "rank"), "id").groupBy("page").agg(F.max("rank").alias("affinity"))
     out = brief(found.where(~F.col("id").isin(sorted(standing))) if standing else found, links, pages, "", budget, affinities)
     again = [r["id"] for r in hits.select("id").collect() if r["id"] in standing]

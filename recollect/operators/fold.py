@@ -7,8 +7,13 @@ is rebuilt in parallel; only producing the operations is sequential.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recollect.operators.graph import ancestors, final_of, on_cycles
 
@@ -125,9 +130,60 @@ def overtaking(entries: DataFrame, refs: DataFrame, known: DataFrame) -> DataFra
 
 
 def earlier_digests(entries: DataFrame) -> DataFrame:
-    """``entries`` (session, seq, digest) with the digests of the session's earlier ones, in order."""
-    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("earlier", F.collect_list("digest").over(before))
+    """(session, seq, n_earlier, earlier_md5) of ``entries`` (session, seq, digest).
+
+    The hash is of the session's earlier digests in order, line feeds between them. Rows
+    stream by session with one running hash, so a session may be of any length. A null
+    digest is no digest; null sessions make one.
+    """
+    rows = entries.select("session", F.col("seq").cast("long").alias("seq"), F.col("digest").cast("string").alias("digest"))
+    schema = T.StructType([rows.schema["session"], *(T.StructField(n, t) for n, t in (("seq", T.LongType()), ("n_earlier", T.LongType()), ("earlier_md5", T.StringType())))])
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(_running_digests, schema)
+
+
+def _running_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    session, n, running = object(), 0, hashlib.md5()
+    for batch in batches:
+        counts, hashes = [], []
+        for own, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if own != session:
+                session, n, running = own, 0, hashlib.md5()
+            counts.append(n)
+            hashes.append(running.hexdigest())
+            if digest is not None:
+                running.update((b"\n" if n else b"") + digest.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hashes, pa.string())], names=["session", "seq", "n_earlier", "earlier_md5"])
+
+
+def digest_context(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(session, seq, place, earlier): for entries of ``asked`` (session, seq) the digests before them, from 1."""
+    before = asked.select("session", "seq").join(entries.select("session", F.col("seq").alias("at"), F.col("digest").alias("earlier")), "session").where("at < seq and earlier is not null")
+    return before.withColumn("place", F.row_number().over(Window.partitionBy("session", "seq").orderBy("at"))).select("session", "seq", "place", "earlier")
+
+
+def applied(changes: DataFrame) -> DataFrame:
+    """``changes`` (id, seq, stamp) that take effect, in the log's order for each id.
+
+    A change with a stamp is without effect if one that took effect came after the
+    stamp; one without a stamp always takes effect. Rows stream by id.
+    """
+    rows = changes.select("id", F.col("seq").cast("long").alias("seq"), F.col("stamp").cast("long").alias("stamp"))
+    return rows.repartition("id").sortWithinPartitions("id", "seq").mapInArrow(_applied, rows.schema)
+
+
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, last = None, None
+    for batch in batches:
+        keep = []
+        for id_, seq, stamp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if id_ != at:
+                at, last = id_, None
+            takes = stamp is None or last is None or last <= stamp
+            keep.append(takes)
+            if takes:
+                last = seq
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def proposal_violations(ops: DataFrame, pages: DataFrame, candidates: DataFrame, observations: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.calendar import parsed_date
+from recollect.operators.tables import kept, numbered
 
 # Bands of reach, rows of each, the least directive and how many of those.
 BANDS, PER_BAND, STRONG, N_STRONG = (0.7, 0.4), 3, 0.6, 2
 MAX_PAGE, DEFAULT_PAGE = 100, 40
+#: Pages of one observation up to which their pairs are made.
+CROWD = 256
 
 
 def calibration_sample(ratings: DataFrame) -> DataFrame:
@@ -41,13 +44,29 @@ def present(happened: str, created: str, now: Column) -> Column:
     return F.least(F.coalesce(parsed_date(latest), now), now)
 
 
-def page_inbound(links: DataFrame) -> DataFrame:
-    """(page, observations, inbound) of links (id, page): the other pages that share an observation."""
+def page_inbound(links: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(page, observations, inbound) of links (id, page): the other pages that share an observation.
+
+    Observations on at most ``crowd`` pages give their pairs of pages. The pages of a
+    larger one are a bitmap over numbered pages, and each of them takes the union of its
+    observations' bitmaps, so its pairs are never made.
+    """
     links = links.select("id", "page").distinct()
-    other = links.withColumnRenamed("page", "other")
-    shared = links.join(other, "id").where("page != other").select("page", "other").distinct().groupBy("page").agg(F.count("*").alias("inbound"))
     counts = links.groupBy("page").agg(F.count("*").alias("observations"))
-    return counts.join(shared, "page", "left").select("page", "observations", F.coalesce("inbound", F.lit(0)).alias("inbound"))
+    links = kept(links.join(numbered(counts, "n", "page"), "page").select("id", "page", "n"))
+    sized = links.join(links.groupBy("id").agg(F.count("*").alias("size")), "id")
+    few, many = sized.where(F.col("size") <= crowd), sized.where(F.col("size") > crowd)
+    pairs = few.select("id", "page").join(few.select("id", F.col("page").alias("other"), "n"), "id").where("page != other").select("page", "other", "n").distinct()
+    bucket, bit = F.bitmap_bucket_number("n").alias("bucket"), F.bitmap_construct_agg(F.bitmap_bit_position("n"))
+    sets = many.groupBy("id", bucket).agg(bit.alias("pages"))
+    shared = many.select("id", "page").join(sets, "id").groupBy("page", "bucket").agg(F.bitmap_or_agg("pages").alias("pages"))
+    crowded = kept(shared)
+    alone = pairs.join(crowded.select("page").distinct(), "page", "left_anti").groupBy("page").agg(F.count("*").alias("inbound"))
+    beside = pairs.join(crowded.select("page").distinct(), "page", "left_semi").groupBy("page", bucket).agg(bit.alias("pages"))
+    both = crowded.union(beside).groupBy("page", "bucket").agg(F.bitmap_or_agg("pages").alias("pages"))
+    # A page is in its own observations' bitmaps.
+    inbound = alone.union(both.groupBy("page").agg((F.sum(F.bitmap_count("pages")) - 1).alias("inbound")))
+    return counts.join(inbound, "page", "left").select("page", "observations", F.coalesce("inbound", F.lit(0)).alias("inbound"))
 
 
 def page_of(df: DataFrame, order: list[Column], limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.functions.text import terms
+from recollect.operators.tables import kept
 
 #: Hits of each retriever, the constant of the fusion, hits in all.
 CANDIDATES, RRF_K, MAX_HITS = 100, 60, 40
@@ -85,15 +87,18 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
     id and text. Statistics cover all of ``docs``. A term that more than half of the
     documents hold counts next to nothing. Terms keep their diacritics.
     """
-    # Terms that no query has never leave the scan; lengths are taken before they go.
+    # Each text is cut once: terms that no query has stop at the scan, the empty term,
+    # which no text has, stands for the document itself.
     tokens = docs.select("id", terms(F.col("text")).alias("terms"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms").cast("double")).alias("avg_size"))
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    held = tokens.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    wanted = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    found = tokens.select("id", F.size("terms").alias("size"), F.explode(F.array_append(F.coalesce("terms", F.array().cast("array<string>")), F.lit(""))).alias("term"))
+    postings = kept(found.join(wanted, "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")))
+    stats = postings.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg(F.col("size").cast("double")).alias("avg_size"))
+    held = postings.where("term != ''")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = df.crossJoin(F.broadcast(stats)).select("term", "avg_size", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
+    weighed = df.crossJoin(stats).select("term", "avg_size", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
     hits = asked.join(weighed, "term").join(held, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
@@ -113,8 +118,10 @@ def phrase_hits(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     held = docs.select("id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     df = asked.join(held.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
     rarest = df.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_or(F.col("df").isNull()).alias("absent")).where("not absent")
-    pairs = rarest.join(held, "term").select("query_id", "id")
-    compared = pairs.join(docs.select("id", _padded(F.col("text")).alias("body")), "id").join(phrases.select("query_id", _padded(F.col("text")).alias("phrase")), "query_id")
+    pairs = kept(rarest.join(held, "term").select("query_id", "id"))
+    # Only texts that may hold a phrase are cut again.
+    bodies = docs.join(pairs.select("id").distinct(), "id", "left_semi").select("id", _padded(F.col("text")).alias("body"))
+    compared = pairs.join(bodies, "id").join(phrases.select("query_id", _padded(F.col("text")).alias("phrase")), "query_id")
     return compared.where(F.expr("contains(body, phrase)")).select("query_id", "id").distinct()
 
 
@@ -165,16 +172,23 @@ def search(vector_queries: DataFrame, text_queries: DataFrame, vectors: DataFram
 def to_vector(blob: Column) -> Column:
     """Little-endian 32-bit floats as an array; empty where the size is no multiple of four."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def decode(values):
-        return values.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist() if len(b) % 4 == 0 else [])
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def decode(values: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        whole = pa.array(sizes % 4 == 0)
+        flat = np.frombuffer(b"".join(pc.fill_null(pc.if_else(whole, values, b""), b"").to_pylist()), "<f4")
+        ends = np.cumsum(np.where(sizes % 4 == 0, sizes // 4, 0), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.float32()), mask=values.is_null())
 
     return decode(blob)
 
 
 def to_blob(vector: Column) -> Column:
-    @F.pandas_udf(T.BinaryType())
-    def encode(values):
-        return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+    @F.arrow_udf(T.BinaryType())
+    def encode(values: pa.Array) -> pa.Array:
+        data = pc.fill_null(values.flatten().cast(pa.float32()), float("nan")).to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        ends = np.cumsum(4 * pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False))
+        rows = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.array(rows, pa.binary(), mask=values.is_null().to_numpy(zero_copy_only=False))
 
     return encode(vector)

@@ -26,6 +26,8 @@ PAYLOAD = (
     "kind string, text string, label string, happened string, session string, line string, body string, authority string, "
     "confidence double, pages array<string>, target string, stamp long, patch map<string,string>, folder string, action string"
 )
+#: Digits of an observation's id: 64 bits, so that even billions of them hardly ever meet.
+ID_DIGITS = 16
 #: Fields that an edit may patch.
 FIELDS = ("line", "body", "happened")
 
@@ -117,14 +119,13 @@ class Memory:
         told = self.model.observations(chunks).select("seq", F.col("chunk").alias("n"), "line", F.array("page").alias("pages"))
         notes = entries.where("kind = 'note'").select("seq", F.lit(0).alias("n"), "p.line", "p.pages")
         made = told.unionByName(notes).join(entries.select("seq", "created", "actor", "kind", "p.body", "p.happened", "p.confidence", F.col("p.kind").alias("payload_kind")), "seq")
-        made = made.withColumn("id", F.left(F.sha2(F.concat_ws("/", F.col("seq").cast("string"), F.col("n").cast("string")), 256), F.lit(8)))
+        made = made.withColumn("id", F.left(F.sha2(F.concat_ws("/", F.col("seq").cast("string"), F.col("n").cast("string")), 256), F.lit(ID_DIGITS)))
         prior = scoring.source_prior(scoring.source_kind(F.col("kind"), F.col("actor"), F.col("payload_kind")))
         base = made.select("id", "seq", "line", "body", "happened", F.col("created").alias("entered"), F.coalesce("confidence", F.lit(0.9)).alias("confidence"), prior.alias("source_prior"), "pages")
 
         edits = entries.where("kind = 'edit'").select("seq", F.col("p.target").alias("id"), "p.stamp", "p.patch")
-        known = base.select("id", F.col("seq").alias("touched")).union(edits.select("id", "seq"))
-        late = edits.join(known, "id").where("touched > stamp and touched < seq").select("seq").distinct()
-        patches = edits.join(late, "seq", "left_anti").select("id", "seq", *(F.try_element_at("patch", F.lit(f)).alias(f"new_{f}") for f in FIELDS))
+        changes = base.select("id", "seq", F.lit(None).cast("long").alias("stamp")).union(edits.select("id", "seq", "stamp"))
+        patches = edits.join(fold.applied(changes).select("id", "seq"), ["id", "seq"], "left_semi").select("id", "seq", *(F.try_element_at("patch", F.lit(f)).alias(f"new_{f}") for f in FIELDS))
         last = patches.groupBy("id").agg(F.max("seq").alias("edited"), F.count("*").alias("edits"), *(F.max_by(f"new_{f}", F.when(F.col(f"new_{f}").isNotNull(), F.col("seq"))).alias(f"new_{f}") for f in FIELDS))
         patched = base.join(last, "id", "left").withColumns({f: F.coalesce(f"new_{f}", f) for f in FIELDS})
         patched = patched.withColumn("source_prior", F.when(F.col("edits") > 0, 1.0).otherwise(F.col("source_prior"))).withColumn("sources", 1 + F.coalesce("edits", F.lit(0)))

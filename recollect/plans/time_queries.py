@@ -70,7 +70,7 @@ def session_prev_next(spark, d):
 
 def session_earlier_digests(spark, d):
     entries = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("digest"))
-    return earlier_digests(entries).select("seq", F.size("earlier").alias("n_earlier"), F.md5(F.array_join("earlier", "\n")).alias("earlier_md5"))
+    return earlier_digests(entries).select("seq", F.col("n_earlier").cast("int").alias("n_earlier"), "earlier_md5")
 
 
 QUERIES = {f.__name__: f for f in (period_rollup, bounds_of_periods, due_periods, timeline_cover, top_reach_per_period, previous_day, session_prev_next, session_earlier_digests)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.operators.tables import numbered
+
 # Fixed values of the data contract.
 ENTRY_KINDS = ("source", "note", "edit", "forget", "focus")
 ACTORS = ("user", "agent", "system")
@@ -36,10 +38,10 @@ def appended(log: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = F.coalesce(F.col("old_payload"), F.col("lead_payload")) != F.col("payload")
     judged = joined.withColumn("conflict", ~F.coalesce(legal, F.lit(False)) | F.coalesce(other, F.lit(False)))
     fresh = judged.where("lead and old_seq is null and not conflict")
+    # One row, so its join is with a constant.
     last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last_seq"))
-    # A batch of synced units; its numbering is one ordered pass over the new keys.
-    numbered = fresh.crossJoin(F.broadcast(last)).withColumn("seq", F.col("last_seq") + F.row_number().over(Window.orderBy("order")))
-    rows = numbered.select("seq", "kind", "actor", "created", "payload", "hash")
+    placed = numbered(fresh, "n", "order").crossJoin(last).withColumn("seq", F.col("last_seq") + F.col("n"))
+    rows = placed.select("seq", "kind", "actor", "created", "payload", "hash")
     places = judged.join(rows.select("hash", F.col("seq").alias("new_seq")), "hash", "left")
     reused = ~F.col("conflict") & (F.col("old_seq").isNotNull() | ~F.col("lead"))
     outcome = places.select("order", F.when(~F.col("conflict"), F.coalesce("old_seq", "new_seq")).alias("seq"), reused.alias("reused"), "conflict")
