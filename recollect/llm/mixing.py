@@ -32,7 +32,9 @@ def n_words(text: Column) -> Column:
 def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """``sources`` (source, source_size, weight) with target.
 
-    The table has a row for each source, so its global window is small.
+    The table has a row for each source, so its global window is small. Sizes and weights
+    are not null; a null source is one like any other; sources of equal ratio go by name.
+    A source of size 0 gets nothing, no sources give no rows.
     """
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     through = by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,27 +64,22 @@ def weighted_sources(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Da
 
 
 def _bin(seed: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("mark").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
 
 
-def mixed(docs: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, times), one row for each row of ``docs``.
+def _sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, mark, size): the mark tells rows without an id apart, by their texts."""
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("mark")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", mark, n_words(F.col("text")).alias("size"))
 
-    ``times`` is how often the mix takes the document. Reruns agree, whatever the
-    partitions.
 
-    Nulls: a null text has size 0; null sources make a source of their own, the last
-    in order; null ids are hashed as an empty string. Rows with equal hashes are
-    ordered by id, then size; rows alike in all three are interchangeable. A source of
-    size 0 has target 0. Empty tables give empty results; other columns are not read.
-    """
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
+def _taken(sizes: DataFrame, share: float, max_epochs: float, weights: tuple[int, ...], seed: str) -> DataFrame:
+    """The rows of ``sizes`` with source_size, target and times."""
     plan = stored(
         water_fill(weighted_sources(sizes, weights), share, max_epochs).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("epochs", F.floor("rate")).withColumn("goal", F.col("target") - F.col("epochs") * F.col("source_size")),
         "plan",
     )
     hashed = sizes.withColumn("hash", _bin(seed)).withColumn("bin", F.floor(F.col("hash") / F.lit(2**32 // BINS)).cast("int"))
-    same = lambda x, y: x["source"].eqNullSafe(y["source"])
     bins = hashed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     running = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = bins.withColumn("before", F.sum("bin_size").over(running) - F.col("bin_size"))
@@ -94,14 +91,34 @@ def mixed(docs: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
     # Taken once more where that brings the sum nearer to the goal than leaving it out.
     edge = edge.withColumn("extra", (2 * F.col("goal") >= 2 * F.col("end") - F.col("size")).cast("int")).drop("end")
     rest = placed.where("bin != cut_bin").withColumn("extra", (F.col("bin") < F.col("cut_bin")).cast("int"))
-    return edge.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).cast("long").alias("times"))
+    times = (F.col("epochs") + F.col("extra")).cast("long").alias("times")
+    return edge.unionByName(rest).select("doc_id", "source", "mark", "size", "source_size", "target", times)
+
+
+def mixed(docs: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, times), one row for each row of ``docs``.
+
+    ``times`` is how often the mix takes the document. Reruns agree, whatever the
+    partitions.
+
+    Nulls: a null or empty text has size 0; null sources make a source of their own, the
+    last in order; null ids are hashed by their texts. Texts of any length are counted
+    whole. Rows with equal hashes are ordered by id, then size; rows alike in all three
+    are interchangeable. A source of size 0 has target 0. Empty tables give empty
+    results; other columns, whatever their names, are not read.
+    """
+    return _taken(stored(_sizes(docs), "sizes"), share, max_epochs, weights, seed).drop("mark")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` takes it; options are those of ``mixed``.
+def mix(docs: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; options are those of ``mixed``.
 
-    Rows that share a doc_id are taken as often as the one of them taken most.
+    Rows of a source that share a doc_id are taken together and equally often, and count
+    with their common size. Nulls, long texts and empty tables are treated as by
+    ``mixed``; all columns are carried along.
     """
-    times = mixed(docs, **options).groupBy("doc_id").agg(F.max("times").alias("__times")).where(F.col("__times") > 0).withColumnRenamed("doc_id", "__id")
-    taken = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    units = _sizes(docs).groupBy("doc_id", "source", "mark").agg(F.sum("size").alias("size"))
+    times = _taken(stored(units, "units"), share, max_epochs, weights, seed).where("times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), F.col("times").alias("__times"))
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & mark.eqNullSafe(F.col("__mark"))
+    return docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
