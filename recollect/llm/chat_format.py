@@ -123,6 +123,8 @@ def read_back(pieces: DataFrame) -> DataFrame:
     """Digests of conversations that ``format_conversations`` made with ``TEMPLATE``.
 
     Pieces have to come as they were made, a conversation's together and in order;
-    turns are found by their marks, learned text by its spans alone.
+    turns are found by their marks, learned text by its spans alone. A null conv_id is a
+    conversation like any other; texts of any length stream by pieces; an empty table
+    gives no rows; other columns are not read.
     """
     return pieces.select("conv_id", "text", "start", "spans").mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

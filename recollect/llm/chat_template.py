@@ -3,17 +3,21 @@
 Templates are parsed into a syntax tree, constant parts are folded, and what is left
 becomes Python closures. There are ``{{ value }}``, ``{% for x in list %}``,
 ``{% if %} / {% elif %} / {% else %}``, ``{% set name = value %}`` and
-``{% generation %}``, which marks what the model is to learn. Values are literals,
-names, fields (``m.role``, ``m['role']``), comparisons, ``and``, ``or``, ``not``, ``+``,
-``a if b else c`` and filters. There are no calls and no attributes of Python
-objects: fields are looked up in dicts only, so a template reaches nothing but what
-it is given. A loop over an iterator takes one item at a time, one ahead for
+``{% generation %}``, which marks what the model is to learn; ``{# #}`` is a comment, and
+a hyphen inside a tag's end takes the white space beside it. Values are literals,
+names, fields (``m.role``, ``m['role']``, ``m[0]``, ``m[1:]``), comparisons, ``in``, ``is
+defined`` and other tests, ``and``, ``or``, ``not``, ``+ - * // % ~``, ``a if b else c``
+and filters. There are no calls but ``raise_exception``, and no attributes of Python
+objects: fields are looked up in dicts and lists only, so a template reaches nothing but
+what it is given. A loop over an iterator takes one item at a time, one ahead for
 ``loop.last``, and rendering yields pieces as they come, so conversations of any
 length are rendered in bounded memory.
 """
 
 from __future__ import annotations
 
+import json
+import operator
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,9 +48,25 @@ FILTERS: dict[str, Callable] = {
     "upper": lambda x: _text(x).upper(),
     "lower": lambda x: _text(x).lower(),
     "length": len,
+    "list": list,
+    "string": lambda x: _text(x),
+    "tojson": lambda x: json.dumps(x, ensure_ascii=False),
 }
-_TAG = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.DOTALL)
-_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[<>+|.\[\]()=]))")
+TESTS: dict[str, Callable] = {
+    "none": lambda x: x is None,
+    "string": lambda x: isinstance(x, str),
+    "number": lambda x: isinstance(x, (int, float)) and not isinstance(x, bool),
+    "mapping": lambda x: isinstance(x, dict),
+    "sequence": lambda x: isinstance(x, (str, list, tuple)),
+    "iterable": lambda x: isinstance(x, (str, list, tuple, dict)),
+    "true": lambda x: x is True,
+    "false": lambda x: x is False,
+    "odd": lambda x: x % 2 == 1,
+    "even": lambda x: x % 2 == 0,
+}
+_INSIDE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?"""
+_TAG = re.compile(rf"\{{#.*?#\}}|\{{\{{{_INSIDE}\}}\}}|\{{%{_INSIDE}%\}}", re.DOTALL)
+_TOKEN = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|//|[<>+|.\[\]()=*%~:-]))")
 _STRING_ESCAPES = {"n": "\n", "t": "\t"}
 
 
@@ -117,17 +137,40 @@ class _Expression:
             self.take()
             return ("not", self.negated())
         node = self.joined()
-        if self.peek("==", "!=", "<", ">", "<=", ">="):
-            node = ("compare", self.take()[1], node, self.joined())
+        if self.peek("==", "!=", "<", ">", "<=", ">=", "in"):
+            return ("compare", self.take()[1], node, self.joined())
+        if self.peek("not"):
+            self.take()
+            self.take("in")
+            return ("not", ("compare", "in", node, self.joined()))
+        if self.peek("is"):
+            self.take()
+            denied = self.peek("not") and bool(self.take())
+            name = self.name()
+            if name not in TESTS and name not in ("defined", "undefined"):
+                raise TemplateError(f"no test {name}")
+            node = ("defined", node) if name in ("defined", "undefined") else ("test", name, node)
+            return ("not", node) if denied != (name == "undefined") else node
         return node
 
     def joined(self) -> tuple:
-        node = self.filtered()
-        while self.peek("+"):
-            self.take()
-            node = ("add", node, self.filtered())
+        node = self.product()
+        while self.peek("+", "-", "~"):
+            node = ("sum", self.take()[1], node, self.product())
         return node
 
+    def product(self) -> tuple:
+        node = self.signed()
+        while self.peek("*", "//", "%"):
+            node = ("sum", self.take()[1], node, self.signed())
+        return node
+
+    def signed(self) -> tuple:
+        if self.peek("-"):
+            self.take()
+            return ("sum", "-", ("const", 0), self.signed())
+        return self.filtered()
+
     def filtered(self) -> tuple:
         node = self.field()
         while self.peek("|"):
@@ -144,7 +187,12 @@ class _Expression:
             if self.take()[1] == ".":
                 node = ("field", node, ("const", self.name()))
             else:
-                node = ("field", node, self.choice())
+                first = ("const", None) if self.peek(":") else self.choice()
+                if self.peek(":"):
+                    self.take()
+                    node = ("slice", node, first, ("const", None) if self.peek("]") else self.choice())
+                else:
+                    node = ("field", node, first)
                 self.take("]")
         return node
 
@@ -154,6 +202,11 @@ class _Expression:
             return ("const", re.sub(r"\\(.)", lambda m: _STRING_ESCAPES.get(m[1], m[1]), text[1:-1], flags=re.DOTALL))
         if kind == "int":
             return ("const", int(text))
+        if kind == "name" and text == "raise_exception":
+            self.take("(")
+            node = ("raise", self.choice())
+            self.take(")")
+            return node
         if kind == "name":
             return ("const", {"true": True, "false": False, "none": None}[text]) if text in ("true", "false", "none") else ("name", text)
         if text == "(":
@@ -163,9 +216,43 @@ class _Expression:
         raise TemplateError(f"unexpected {text!r}")
 
 
-def parse(source: str) -> list[tuple]:
+def _cut(source: str, trim: bool) -> list[str]:
+    """Texts and tags in turn, comments left out and white space taken where tags say so.
+
+    With ``trim`` statements and comments also take the line feed after them and the
+    blanks before them on their line.
+    """
+    parts, at, take = [""], 0, False
+
+    def plain(text: str) -> str:
+        if take:
+            text = text.lstrip()
+        if "{{" in text or "{%" in text or "{#" in text:
+            raise TemplateError("a tag has no end")
+        return text
+
+    for m in _TAG.finditer(source):
+        text, tag = plain(source[at : m.start()]), m[0]
+        block = tag[1] != "{"
+        if tag[2] == "-":
+            text, tag = text.rstrip(), tag[:2] + tag[3:]
+        elif trim and block:
+            text = re.sub(r"(^|\n)[ \t]*$", r"\1", text) if parts[-1] == "" or "\n" in text else text
+        at, take = m.end(), tag[-3] == "-" and len(tag) > 4
+        if take:
+            tag = tag[:-3] + tag[-2:]
+        elif trim and block and source.startswith("\n", at):
+            at += 1
+        parts[-1] += text
+        if tag[1] != "#":
+            parts += [tag, ""]
+    parts[-1] += plain(source[at:])
+    return parts
+
+
+def parse(source: str, trim: bool = False) -> list[tuple]:
     """The syntax tree of a template: a list of statements."""
-    parts, at = _TAG.split(source), 0
+    parts, at = _cut(source, trim), 0
 
     def block(*until: str) -> tuple[list[tuple], str]:
         nonlocal at
@@ -214,7 +301,35 @@ def parse(source: str) -> list[tuple]:
     return block()[0]
 
 
-_COMPARE = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
+_COMPARE = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "in": lambda a, b: a in b}
+
+
+def _added(a: object, b: object) -> object:
+    return a + b if isinstance(a, int) and isinstance(b, int) else _text(a) + _text(b)
+
+
+_SUM = {"+": _added, "~": lambda a, b: _text(a) + _text(b), "-": operator.sub, "*": operator.mul, "//": operator.floordiv, "%": operator.mod}
+
+
+def _number(f: Callable) -> Callable:
+    """Arithmetic on whole numbers only, so that no text is repeated or formatted."""
+
+    def run(a: object, b: object) -> object:
+        if not isinstance(a, int) or not isinstance(b, int):
+            raise TemplateError("whole numbers only")
+        return f(a, b)
+
+    return run
+
+
+def _guarded(f: Callable) -> Callable:
+    def run(*values: object) -> object:
+        try:
+            return f(*values)
+        except (TypeError, ZeroDivisionError) as error:
+            raise TemplateError(str(error)) from error
+
+    return run
 
 
 def _value(node: tuple) -> Callable[[dict], object]:
@@ -233,16 +348,40 @@ def _value(node: tuple) -> Callable[[dict], object]:
     if kind == "field":
 
         def field(env: dict, whole=_value(node[1]), key=_value(node[2])) -> object:
-            holder = whole(env)
-            if not isinstance(holder, dict):
-                raise TemplateError("only dicts have fields")
-            return holder.get(key(env))
+            holder, at = whole(env), key(env)
+            if isinstance(holder, dict):
+                return holder.get(at)
+            if isinstance(holder, (list, tuple)) and isinstance(at, int):
+                return holder[at] if -len(holder) <= at < len(holder) else None
+            raise TemplateError("only dicts and lists have fields")
 
         return field
-    if kind == "filter":
-        return lambda env, f=FILTERS[node[1]], x=_value(node[2]): f(x(env))
-    if kind == "compare":
-        return lambda env, f=_COMPARE[node[1]], a=_value(node[2]), b=_value(node[3]): f(a(env), b(env))
+    if kind == "slice":
+
+        def cut(env: dict, whole=_value(node[1]), first=_value(node[2]), last=_value(node[3])) -> object:
+            holder, a, b = whole(env), first(env), last(env)
+            if not isinstance(holder, (str, list, tuple)) or not all(x is None or isinstance(x, int) for x in (a, b)):
+                raise TemplateError("only lists and texts have slices")
+            return holder[a:b]
+
+        return cut
+    if kind == "defined":
+
+        def defined(env: dict, inner: tuple = node[1], value=_value(node[1])) -> bool:
+            return inner[1] in env if inner[0] == "name" else value(env) is not None
+
+        return defined
+    if kind == "raise":
+
+        def stop(env: dict, said=_value(node[1])) -> object:
+            raise TemplateError(_text(said(env)))
+
+        return stop
+    if kind in ("filter", "test"):
+        return lambda env, f=_guarded((FILTERS if kind == "filter" else TESTS)[node[1]]), x=_value(node[2]): f(x(env))
+    if kind in ("compare", "sum"):
+        f = _COMPARE[node[1]] if kind == "compare" else _SUM[node[1]] if node[1] in "+~" else _number(_SUM[node[1]])
+        return lambda env, f=_guarded(f), a=_value(node[2]), b=_value(node[3]): f(a(env), b(env))
     parts = [_value(x) for x in node[1:]]
     if kind == "not":
         return lambda env, x=parts[0]: not x(env)
@@ -252,13 +391,6 @@ def _value(node: tuple) -> Callable[[dict], object]:
         return lambda env, a=parts[0], b=parts[1]: a(env) or b(env)
     if kind == "choice":
         return lambda env, t=parts[0], a=parts[1], b=parts[2]: a(env) if t(env) else b(env)
-    if kind == "add":
-
-        def add(env: dict, a=parts[0], b=parts[1]) -> object:
-            x, y = a(env), b(env)
-            return x + y if isinstance(x, int) and isinstance(y, int) else _text(x) + _text(y)
-
-        return add
     raise TemplateError(kind)
 
 
@@ -268,7 +400,7 @@ def _fold_value(node: tuple) -> tuple:
         return node
     folded = tuple(_fold_value(x) if isinstance(x, tuple) else x for x in node)
     inner = [x for x in folded[1:] if isinstance(x, tuple)]
-    if node[0] != "field" and inner and all(x[0] == "const" for x in inner):
+    if node[0] not in ("field", "slice", "raise", "defined") and inner and all(x[0] == "const" for x in inner):
         return ("const", _value(folded)({}))
     if folded[0] == "choice" and folded[1][0] == "const":
         return folded[2] if folded[1][1] else folded[3]
@@ -368,7 +500,11 @@ def _statement(node: tuple) -> _Render:
     return loop
 
 
-def compile_template(source: str) -> Callable[..., Iterator[tuple[str, bool]]]:
-    """A function of the template's names that yields (text, learned) pieces."""
-    body = _body(fold(parse(source)))
+def compile_template(source: str, trim: bool = False) -> Callable[..., Iterator[tuple[str, bool]]]:
+    """A function of the template's names that yields (text, learned) pieces.
+
+    ``trim`` is for templates written for readers: statements stand on lines of their own
+    that leave nothing behind.
+    """
+    body = _body(fold(parse(source, trim)))
     return lambda **names: body(dict(names), False)

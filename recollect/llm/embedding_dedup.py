@@ -226,7 +226,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     component_id and is kept. Vectors of another length than the sample's most
     common one have a cell for each length and are compared with all of that length.
     Equal vectors are rows of their own and link with each other; an id should name
-    one vector. Empty tables give empty results; other columns are not read.
+    one vector. Pairs at the limit itself are linked; very long vectors are compared
+    whole. Empty tables give empty results; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))

@@ -153,6 +153,11 @@ def shard_by_kd_tree(docs: DataFrame, n_shards: int | None = 16, target_bytes: i
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes ``docs`` with their shard and slot as Parquet, a folder for each shard, by slot."""
-    joined = docs.drop("shard", "slot").join(shards.select(id_col, "shard", "slot"), id_col)
+    """Writes ``docs`` with their shard and slot as Parquet, a folder for each shard, by slot.
+
+    ``shards`` are those of the same documents, whose ids are to be unique; one of them
+    may be null. Columns named shard or slot are replaced; an empty table writes no rows.
+    """
+    placed = shards.select(F.col(id_col).alias("__id"), "shard", "slot")
+    joined = docs.drop("shard", "slot").join(placed, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id")
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -40,6 +40,18 @@ def test_token_counts_match_direct_encoding(spark, tmp_path):
     assert token_files.token_counts(empty, RANKS, public_tokenizers.PATTERN, 50256).collect() == []
 
 
+def test_token_files_of_few_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PER_FILE", 4)
+    path = str(tmp_path / "docs")
+    docs(spark, TEXTS * 3).repartition(2).write.parquet(path)
+    table = spark.read.parquet(path)
+    encoding = token_files.rank_encoding(RANKS, public_tokenizers.PATTERN)
+    want = Counter((r["doc_id"], len(encoding.encode_ordinary(r["text"] or ""))) for r in table.collect())
+    got = token_files.token_counts(table, RANKS, public_tokenizers.PATTERN, 50256, block=50).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+    assert max(r["ordinal"] for r in got) == 3
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 5, 100])
 def test_separator_scan(spark, tmp_path, block):
     rng = random.Random(block)
@@ -243,6 +255,44 @@ def test_template_language():
     assert [x for x in compile_template(TEMPLATE)(messages=[{"role": "assistant", "text": "t"}]) if x[1]] == [("t", True)]
 
 
+PUBLISHED_STYLE = """
+{#- Marks turns as most published templates do. -#}
+{%- if messages[0]['role'] == 'system' -%}
+    {%- set system = messages[0]['content'] -%}
+    {%- set turns = messages[1:] -%}
+{%- else -%}
+    {%- set turns = messages -%}
+{%- endif -%}
+{{ bos_token if bos_token is defined else '' }}
+{%- for m in turns -%}
+    {%- if (m.role == 'user') != (loop.index0 % 2 == 0) -%}
+        {{ raise_exception('turns must alternate, not ' ~ m.role) }}
+    {%- endif -%}
+    {%- if m.role == 'user' -%}
+        {{ '[I] ' + (system + '\n' if loop.first and system is defined else '') + m.content | trim + ' [/I]' }}
+    {%- elif m.role in 'assistant model' -%}
+        {% generation %} {{ m['content'] }}</s>{% endgeneration %}
+    {%- endif -%}
+{%- endfor -%}
+{%- if add_generation_prompt is defined and add_generation_prompt and turns[-1].role is not none %}{{ '}}' }}{% endif %}"""
+
+
+def test_templates_in_published_style():
+    turns = [{"role": "user", "content": " hi "}, {"role": "assistant", "content": "yo"}, {"role": "user", "content": "so"}]
+    assert render(PUBLISHED_STYLE, messages=turns) == "[I] hi [/I] yo</s>[I] so [/I]"
+    assert render(PUBLISHED_STYLE, messages=[{"role": "system", "content": "S"}, *turns], bos_token="<s>", add_generation_prompt=True) == "<s>[I] S\nhi [/I] yo</s>[I] so [/I]}}"
+    with pytest.raises(TemplateError, match="alternate, not user"):
+        render(PUBLISHED_STYLE, messages=[turns[0], turns[0]])
+    assert render("a {{- 1 -}} b{# no #}c") == "a1bc"
+    lines = "x\n  {% if true %}\n  y\n  {% endif %}\nz"
+    assert "".join(t for t, _ in compile_template(lines, trim=True)()) == "x\n  y\nz"
+    assert render("{{ 7 // 2 }}{{ 7 % 4 - 1 }}{{ -2 * 3 }}{{ [] is none if false else 'n' }}".replace("[] is none if false else ", "")) == "32-6n"
+    assert render("{{ 3 is odd }}{{ x is mapping }}{{ 'b' not in 'abc' }}{{ y is not defined }}{{ x | tojson }}", x={"k": "é"}) == 'TrueTrueFalseTrue{"k": "é"}'
+    for wrong in ("{{ 'a' < 1 }}", "{{ 5 | length }}", "{{ 'a' * 9 }}", "{{ 1 // 0 }}", "{{ 'a", "{% if 1", "{{ raise_exception }}", "{{ x is nothing }}"):
+        with pytest.raises(TemplateError):
+            render(wrong, x=1)
+
+
 @pytest.mark.parametrize("source", ["{% for x in y %}", "{{ a. }}", "{{ x() }}", "{{ a | nope }}", "{% endif %}", "{{ 'a }}", "{% include 'x' %}"])
 def test_templates_that_are_none(source):
     with pytest.raises(TemplateError):
