@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.wordpieces import WordTable, chunks, piece_table
@@ -160,6 +161,21 @@ def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int
     return run
 
 
+def fitted_bands(judged: DataFrame, tail: float = 0.001, margin: float = 0.1, least: int = 1000) -> dict[str, Band]:
+    """Bands from the measures of a table, as ``quality`` returns them.
+
+    Of the rows that pass the base rules a share of ``tail`` lies below, or above, each
+    limit before it is moved outwards by ``margin`` of itself. Quantiles are over all
+    rows; languages and scripts of fewer than ``least`` rows keep the band they have.
+    """
+    passed = judged.where("not base_failed and chars_per_token is not null")
+    cuts = [F.percentile_approx(c, F.array(F.lit(tail), F.lit(1 - tail)), 100_000).alias(c) for c in ("chars_per_token", "byte_share", "token_entropy")]
+    # A row for each band, so a dozen or so.
+    rows = passed.groupBy("band").agg(F.count("*").alias("n"), *cuts).where(F.col("n") >= least).collect()
+    less, more = 1 - margin, 1 + margin
+    return BANDS | {r["band"]: Band(less * r["chars_per_token"][0], more * r["chars_per_token"][1], min(1.0, more * r["byte_share"][1] + 0.01), less * r["token_entropy"][0]) for r in rows}
+
+
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_per_token", "byte_share", "token_entropy", "base_failed", "kept", "band", "reason"]
 _KINDS = [T.LongType()] * 5 + [T.DoubleType()] * 3 + [T.BooleanType()] * 2 + [T.StringType()] * 2
 
@@ -172,9 +188,10 @@ def quality(docs: DataFrame, vocabulary: str, carry: list[str], text_col: str =
     language or script; reason names the first band missed.
 
     Nulls: a null or empty text has no words and fails; without tokens the three
-    fertility measures are null. A null or unknown language falls back to the script.
-    Carried columns that bear a measure's name are dropped. Repeated rows are judged
-    alike; an empty table stays empty.
+    fertility measures are null. A null or unknown language falls back to the script; of
+    scripts with equally many letters the first of ``SCRIPTS`` counts. Texts of any length
+    are measured whole. Carried columns that bear a measure's name are dropped. Repeated
+    rows are judged alike; an empty table stays empty.
     """
     carry = [c for c in carry if c not in NAMES]
     needed = [c for c in (text_col, lang_col) if c in docs.columns]
