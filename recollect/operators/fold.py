@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.operators.graph import ancestors, final_of, on_cycles
+from recollect.operators.tables import kept
 
 MAX_ATTEMPTS = 3
 
@@ -61,6 +62,35 @@ def merged_pages(links: DataFrame, edges: DataFrame, names: DataFrame, merges: D
     return moved, parents.select("node", "parent"), named
 
 
+def creation_order(pages: DataFrame) -> DataFrame:
+    """(page, parent, step) of new pages (page, parent): a page is made after its parent, steps from 0.
+
+    Without a parent a page hangs below root. Parents that are not new exist already.
+    Pages whose parents run in a circle are an error.
+    """
+    edges = kept(pages.select(F.col("page").alias("node"), F.coalesce("parent", F.lit("root")).alias("parent")))
+    ring = on_cycles(edges).first()
+    if ring is not None:
+        raise ValueError(f"parents run in a circle at {ring['node']}")
+    new = edges.select(F.col("node").alias("ancestor"))
+    steps = ancestors(edges).join(new, "ancestor", "left_semi").groupBy("node").agg(F.max("depth").alias("step"))
+    return edges.join(steps, "node").select(F.col("node").alias("page"), "parent", "step")
+
+
+def reused_pages(pages: DataFrame, proposals: DataFrame) -> DataFrame:
+    """``pages`` (page, line, parent, aliases, seq) with what ``proposals``, shaped alike, say of them.
+
+    A proposal's line and parent replace the page's where they are given, its aliases
+    are added; the sequence number moves on only if that changes anything.
+    """
+    told = proposals.select("page", *(F.col(c).alias(f"new_{c}") for c in ("line", "parent", "aliases", "seq")))
+    line, parent = F.coalesce("new_line", "line"), F.coalesce("new_parent", "parent")
+    aliases = F.array_union("aliases", F.coalesce("new_aliases", F.array().cast("array<string>")))
+    same = line.eqNullSafe(F.col("line")) & parent.eqNullSafe(F.col("parent")) & (F.size(aliases) == F.size("aliases"))
+    seq = F.when(~same, F.col("new_seq")).otherwise(F.col("seq"))
+    return pages.join(told, "page", "left").select("page", line.alias("line"), parent.alias("parent"), aliases.alias("aliases"), seq.alias("seq"))
+
+
 def patched(target: dict[str, Column], patch: dict[str, Column]) -> dict[str, Column]:
     """Fields of a target with those of a patch laid over; null leaves a field alone."""
     return {name: F.coalesce(patch[name], value) if name in patch else value for name, value in target.items()}

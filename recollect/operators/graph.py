@@ -42,9 +42,36 @@ def ancestors(edges: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def descendants(edges: DataFrame, roots: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """(root, node, depth): what lies below each of ``roots`` (node), all nodes by default."""
-    closure = ancestors(edges, limit).select(F.col("ancestor").alias("root"), "node", "depth")
-    return closure if roots is None else closure.join(roots.select(F.col("node").alias("root")), "root", "left_semi")
+    """(root, node, depth): what lies below each of ``roots`` (node), all nodes by default.
+
+    From given roots only what lies below them is walked, a level a step.
+    """
+    if roots is None:
+        return ancestors(edges, limit).select(F.col("ancestor").alias("root"), "node", "depth")
+    up = kept(edges.select("node", "parent").where("node is not null and parent is not null and node != parent").distinct())
+    known = edges.select("node").union(edges.select("parent")).where("node is not null").distinct()
+    new = kept(roots.select("node").distinct().join(known, "node", "left_semi").select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")))
+    found = new
+    while not new.isEmpty():
+        below = new.join(up.toDF("below", "node"), "node").select("root", F.col("below").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        new = kept(below.join(found, ["root", "node"], "left_anti"))
+        if limit is not None and not new.where(F.col("depth") > limit).isEmpty():
+            raise ValueError(f"the tree is deeper than {limit} levels")
+        found = found.union(new)
+    return found
+
+
+def predecessors(redirects: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, predecessor): all that was replaced, at once or by way of others, by each of ``asked`` (node)."""
+    return descendants(redirects, asked).where("depth > 0").select(F.col("root").alias("node"), F.col("node").alias("predecessor"))
+
+
+def cited(views: DataFrame, records: DataFrame) -> DataFrame:
+    """(view, id and the columns of ``records``): what each of ``views`` (view, citations) cites, once each.
+
+    Ids without a record are passed over. What a cited record cites itself is not opened.
+    """
+    return views.select("view", F.explode("citations").alias("id")).distinct().join(records, "id").where("view != id")
 
 
 def on_cycles(edges: DataFrame, limit: int | None = None) -> DataFrame:

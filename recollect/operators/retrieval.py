@@ -169,6 +169,43 @@ def search(vector_queries: DataFrame, text_queries: DataFrame, vectors: DataFram
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def chunks_on_pages(evidence: DataFrame, observations: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """(chunk): chunks of ``evidence`` (chunk, observation) for a current observation on one of ``pages`` (page)."""
+    on = links.join(pages.select("page"), "page", "left_semi").select("id").distinct()
+    live = observations.where("replaced_by is null and forgotten is null").join(on, "id", "left_semi").select(F.col("id").alias("observation"))
+    return evidence.join(live, "observation", "left_semi").select("chunk").distinct()
+
+
+def layered(rankings: DataFrame, bonus: DataFrame | None = None, k: int = RRF_K) -> DataFrame:
+    """(search_id, layer, id, rrf, relevance) of rankings (search_id, layer, id, rank), several for a search.
+
+    ``bonus`` (search_id, layer, id, pages) adds 1 / (k + 1) for each named page. The
+    best of a search over all layers has relevance 1.
+    """
+    found = rankings.groupBy("search_id", "layer", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"))
+    if bonus is not None:
+        both = found.join(bonus, ["search_id", "layer", "id"], "full")
+        found = both.select("search_id", "layer", "id", (F.coalesce("rrf", F.lit(0.0)) + F.coalesce("pages", F.lit(0)) / F.lit(float(k + 1))).alias("rrf"))
+    best = found.groupBy("search_id").agg(F.max("rrf").alias("best"))
+    return found.join(best, "search_id").select("search_id", "layer", "id", "rrf", (F.col("rrf") / F.col("best")).alias("relevance"))
+
+
+def search_layers(queries: DataFrame, layers: dict[str, tuple[DataFrame, DataFrame]], named: DataFrame | None = None) -> DataFrame:
+    """(search_id, layer, id, rrf, relevance): both retrievers over all layers and queries of a search.
+
+    ``queries`` has search_id, query_id, text and vector, null where there is none;
+    ``layers`` a layer's vectors (id, vector) and texts (id, text). ``named`` is a bonus
+    as for ``layered``.
+    """
+    asked = kept(queries)
+    rankings = None
+    for layer, (vectors, docs) in layers.items():
+        ranked = nearest(asked.select("query_id", "vector"), vectors).select("query_id", "id", "rank").union(bm25(asked.select("query_id", "text"), docs).select("query_id", "id", "rank"))
+        placed = ranked.join(asked.select("query_id", "search_id"), "query_id").select("search_id", F.lit(layer).alias("layer"), "id", "rank")
+        rankings = placed if rankings is None else rankings.union(placed)
+    return layered(rankings, named)
+
+
 def to_vector(blob: Column) -> Column:
     """Little-endian 32-bit floats as an array; empty where the size is no multiple of four."""
 

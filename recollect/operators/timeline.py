@@ -68,6 +68,35 @@ def previous_day(days: DataFrame, value: str) -> DataFrame:
     return days.join(earlier, "day", "left")
 
 
+def done_through(states: DataFrame) -> DataFrame:
+    """(seq): the last finished entry of states (seq, status), 0 without one."""
+    return states.agg(F.coalesce(F.max(F.when(F.col("status") == "done", F.col("seq"))), F.lit(0)).cast("long").alias("seq"))
+
+
+def build_input(entries: DataFrame, extractions: DataFrame, states: DataFrame, observations: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(level, period, n_sources, reach, last_seq, n_observations, sources): what a period's view is made from.
+
+    ``entries`` has seq and day, ``extractions`` seq and digest, ``states`` seq and
+    status, ``observations`` seq, id and line, ``ratings`` id, line and reach. Sources
+    are finished extractions; a day names them. Observations count with the reach of
+    their present line, unrated ones with none.
+    """
+    finished = extractions.join(states.where("status = 'done'").select("seq"), "seq", "left_semi").select("seq", F.lit(1).alias("told"))
+    rated = observations.join(ratings.select("id", "line", "reach"), ["id", "line"], "left")
+    told = rated.groupBy("seq").agg(F.sum(F.coalesce("reach", F.lit(0.0))).alias("reach"), F.count("*").alias("n"))
+    each = entries.join(finished, "seq", "left").join(told, "seq", "left")
+    spread = periods_of(each.select("seq", "day", "told", "reach", "n"), "day")
+    named = F.when(F.col("level") == "day", F.when(F.col("told") == 1, F.concat(F.lit("src:"), F.col("seq").cast("string"))))
+    rolled = spread.groupBy("level", "period").agg(
+        F.coalesce(F.sum("told"), F.lit(0)).alias("n_sources"),
+        F.coalesce(F.sum("reach"), F.lit(0.0)).alias("reach"),
+        F.max("seq").alias("last_seq"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_observations"),
+        F.sort_array(F.collect_list(named)).alias("sources"),
+    )
+    return rolled
+
+
 def valid_compositions(views: DataFrame, observations: DataFrame) -> DataFrame:
     """``views`` (id, kind, seq, input_ids) with valid: no input is missing or was gone after the view's seq.
 
@@ -80,6 +109,16 @@ def valid_compositions(views: DataFrame, observations: DataFrame) -> DataFrame:
     return views.join(bad, "id", "left").withColumn("valid", F.col("bad").isNull()).drop("bad")
 
 
+def stored_composition(views: DataFrame, observations: DataFrame, scope: str, exclude: DataFrame | None = None) -> DataFrame:
+    """The newest valid composition of a scope with a text, as at most one row; none if it rests on an excluded id."""
+    valid = valid_compositions(views.where((F.col("kind") == "composition") & (F.col("scope") == scope) & (F.trim(F.coalesce("text", F.lit(""))) != "")), observations)
+    newest = valid.where("valid").orderBy(F.desc("seq"), "id").limit(1)
+    if exclude is None:
+        return newest
+    inputs = newest.select("id", F.explode("input_ids").alias("input")).join(exclude.select(F.col("id").alias("input")), "input", "left_semi")
+    return newest.join(inputs.select("id").distinct(), "id", "left_anti")
+
+
 def composition_due(views: DataFrame, changes: DataFrame, least: int = 20) -> DataFrame:
     """(scope): scopes whose view is missing, invalid or blank, or behind ``least`` changes.
 
