@@ -40,9 +40,11 @@ PERMUTATIONS, ROWS, BITS = 208, 4, 4
 BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
 #: Pairs estimated below this are dropped unchecked: six deviations under 0.75.
 FLOOR = 0.55
-#: Classes that ask and classes asked that one task compares on full sets at once, for
-#: classes of at most LENGTH shingles on average; and partners of a class in one task.
-BLOCK, CHUNK, LENGTH, PARTNERS = 64, 256, 4000, 128
+#: Classes, and shingles of theirs, on either side of what one task compares at once; and
+#: partners of a class in one task.
+BLOCK, MASS, PARTNERS = 2048, 2_000_000, 128
+#: Most keys that are broadcast: those of more than one in HOT of a table's rows.
+HOT = 2000
 #: Rounds in which a class is compared with one smallest class of its buckets.
 STARS = 3
 _CACHE = 200_000
@@ -170,6 +172,18 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _met(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` joined with ``side``, which has a row for each key, without dealing hot keys to one task.
+
+    ``counts`` has the key and n, its rows. Keys of more than one row in HOT, of which
+    there are at most HOT, meet their row of ``side`` by a broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") > total // HOT).select(key))
+    often = rows.join(F.broadcast(side.join(hot, key, "left_semi")), key)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(side, key))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b), a < b, whose full shingle sets are similar enough; ``texts`` has id and text.
 
@@ -177,9 +191,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     past its own text, so that neither a centre's pairs nor two texts for each pair
     come together.
     """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    salts = stored(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")), "centres")
     centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"))
-    others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b", F.lit(4)), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
+    others = _met(pairs, salts.select("a", "salts"), "a", salts).select("a", F.pmod(F.xxhash64("b", F.lit(4)), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
     rows = centres.union(others).join(texts, "id").select("a", "salt", "id", "text")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "id").mapInArrow(_stars, "a long, b long").distinct()
 
@@ -255,14 +269,9 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     is compared once; else each bucket is a unit of its own.
     """
     inside = F.col("component") == F.col("main")
-    sized = lambda n, w, most: F.greatest(F.ceil(F.sum(n) / most), F.ceil(F.sum(w) / (most * LENGTH))).cast("int")
+    sized = lambda n: F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(n * F.col("n_shingles")) / MASS)).cast("int")
     here, there = inside.cast("int"), (~inside).cast("int")
-    count = [
-        F.sum(there).alias("n_out"),
-        F.sum(here).alias("n_in"),
-        sized(there, there * F.col("n_shingles"), BLOCK).alias("blocks"),
-        sized(here, here * F.col("n_shingles"), CHUNK).alias("chunks"),
-    ]
+    count = [F.sum(there).alias("n_out"), F.sum(here).alias("n_in"), sized(there).alias("blocks"), sized(here).alias("chunks")]
     work = F.col("n_out") * (F.col("chunks") + F.col("blocks")) + F.col("n_in") * F.col("blocks")
     by_key = rows.groupBy("main", "key").agg(*count).withColumn("work", work)
     whole = rows.select("main", "rep", "component", "n_shingles").distinct().groupBy("main").agg(*count).withColumn("work", work)
@@ -332,7 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         star = often.groupBy("rep").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("a")).select("a", F.col("rep").alias("b"))
         star = stored(star, "pairs")
         tried = star if tried is None else tried.union(star)
-        near = star.join(sign.toDF("a", "sign_a"), "a").join(sign.toDF("b", "sign_b"), "b").where(estimate("sign_a", "sign_b") >= FLOOR).select("a", "b")
+        met = _met(star.join(sign.toDF("b", "sign_b"), "b"), sign.toDF("a", "sign_a"), "a", star.groupBy("a").agg(F.count("*").alias("n")))
+        near = stored(met.where(estimate("sign_a", "sign_b") >= FLOOR).select("a", "b"), "near")
         links = confirmed(near, texts)
         parts = connected_components(links if parts is None else links.union(parts.toDF("a", "b")))
     blocks = blocks_of(stored(unjoined(members, parts), "unjoined"))

@@ -70,7 +70,7 @@ def test_near_duplicates_match_brute_force(spark):
 
 def test_near_duplicates_compared_in_blocks(spark, monkeypatch):
     """Groups whose links lie across and beside the first comparisons, in blocks of a few."""
-    for name, value in {"STARS": 1, "BLOCK": 3, "CHUNK": 4, "LENGTH": 60, "PARTNERS": 5}.items():
+    for name, value in {"STARS": 1, "BLOCK": 3, "MASS": 250, "PARTNERS": 5, "HOT": 4}.items():
         monkeypatch.setattr(mh, name, value)
     rng = random.Random(8)
     rows, n = [], 0
