@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring
-from recollect.functions.text import rendered_line, token_estimate
+from recollect.functions.text import rendered_line, token_estimate, without_brackets
 from recollect.operators.budget import AFFINITY_EXPONENT, DIRECTORY_SHARE, NEXT_CAP, Assembly, Brief, Page, estimate
 from recollect.operators.graph import ancestors
 from recollect.operators.reports import page_inbound
@@ -138,6 +138,71 @@ def since(observations: DataFrame, pages: DataFrame, seq: int, budget: int) -> t
     return shown, upto if skipped is None else min(upto, max(seq, skipped - 1))
 
 
+# Tokens of the timeline's parts.
+HISTORY, RECENT, OPEN = 1000, 800, 400
+
+
+def timeline(views: DataFrame, observations: DataFrame, latest: int, excluded: set[str] | None = None, history: int = HISTORY, recent: int = RECENT, open_: int = OPEN) -> tuple[str, str, list[str], bool]:
+    """History, recent days, the ids that open days show, and whether anything was left out.
+
+    ``views`` (id, kind, text, headline, start) are those that cover the past, at most a
+    calendar of them. Months and years tell their text, the oldest only their headline
+    where the budget asks for it, or nothing; days and weeks tell headlines. Current
+    ``observations`` (id, line, seq, day) after ``latest`` are taken newest first as far
+    as they fit, and read only as far as one could fit.
+    """
+    rows = views.where("trim(coalesce(text, '')) != ''").select("id", "kind", without_brackets(F.col("text")).alias("text"), without_brackets(F.coalesce("headline", F.lit(""))).alias("headline")).orderBy("start", "id").collect()
+    old, new = ([r for r in rows if (r["kind"] in ("month", "year")) == far] for far in (True, False))
+    lines = [f"- {r['id']} {r['text']}" for r in old]
+    size = lambda head, parts: estimate("\n".join([head, *parts]))
+    for i, r in enumerate(old):
+        if size("## History", lines) <= history:
+            break
+        lines[i] = f"- {r['id']} {r['headline']}"
+    left_out = False
+    while lines and size("## History", lines) > history:
+        lines, left_out = lines[1:], True
+    told = "\n".join(["## History", *lines]) if lines else ""
+
+    shown: list[str] = []
+    opened = "### Open days"
+    fresh = observations.where(F.col("seq") > latest)
+    fresh = fresh.where(~F.col("id").isin(sorted(excluded))) if excluded else fresh
+    line = F.concat(F.lit("\n- "), "id", F.lit(" "), "line", F.coalesce(F.concat(F.lit(" ("), F.col("day").cast("string"), F.lit(")")), F.lit("")))
+    sized = kept(fresh.select("id", "seq", line.alias("shown"), token_estimate(line).alias("size")).where(F.col("size") <= open_))
+    least = sized.agg(F.min("size")).first()[0]
+    n = sized.count() if least is not None else 0
+    for r in sized.orderBy(F.desc("seq"), "id").toLocalIterator() if n else ():
+        if estimate(opened) + least > open_:
+            break
+        if estimate(opened) + r["size"] <= open_ and estimate("## Recent\n" + opened + r["shown"]) <= recent:
+            opened += r["shown"]
+            shown.append(r["id"])
+    left_out = left_out or len(shown) < fresh.count()
+    heads = [f"- {r['id']} {r['headline']}" for r in new]
+    tail = [opened] if shown else []
+    while heads and size("## Recent", [*heads, *tail]) > recent:
+        heads, left_out = heads[1:], True
+    return told, "\n".join(["## Recent", *heads, *tail]) if heads or tail else "", shown, left_out
+
+
+def with_passages(out: Brief, passages: list[tuple[str, str]], budget: int, notice: str = "") -> Brief:
+    """A recall with a notice and, as far as they fit, the source passages (id, line), best first.
+
+    The first passage that does not fit ends them.
+    """
+    for i, text in enumerate([notice and f"\n\n{notice}", *(("\n\n## Source passages" if k == 0 else "") + f"\n- {id_} {line}" for k, (id_, line) in enumerate(passages))]):
+        if not text:
+            continue
+        if out.tokens + estimate(text) > budget:
+            out.truncated = True
+            if i:
+                break
+            continue
+        out.text, out.tokens = out.text + text, out.tokens + estimate(text)
+    return out
+
+
 def recall(hits: DataFrame, standing: set[str], rows: DataFrame, links: DataFrame, pages: DataFrame, budget: int = RECALL) -> Brief:
     """Found observations that the standing brief does not show yet, on pages ordered by their best hit.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recollect.functions.text import normalized
 from recollect.operators.graph import ancestors, final_of, on_cycles
 from recollect.operators.tables import kept
 
@@ -216,12 +217,49 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def page_violations(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule, item): what is wrong with proposed pages, given those that exist.
+
+    ``pages`` has slug, action (reuse or create), parent, aliases and merge_from (arrays
+    or null); ``known`` slug, parent and aliases. A name belongs to one page after the
+    merges, whatever its case and punctuation, and parents may run in no circle then.
+    """
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    merges = pages.select("slug", "action", F.explode(listed(F.col("merge_from"))).alias("gone"))
+    exist = known.select("slug")
+    made = pages.where("action = 'create'").select("slug")
+    ends = merges.where("gone != slug").select(F.col("gone").alias("page"), F.col("slug").alias("to")).distinct()
+    every = known.select("slug", "aliases").union(pages.select("slug", "aliases")).select(F.col("slug").alias("page"), F.explode(F.array_union(F.array("slug"), listed(F.col("aliases")))).alias("name"))
+    owned = every.join(ends, "page", "left").select(F.coalesce("to", "page").alias("page"), normalized(F.col("name")).alias("name")).where("name != ''").distinct()
+    told = pages.where("parent is not null").groupBy(F.col("slug").alias("node")).agg(F.min("parent").alias("new"))
+    tree = known.select(F.col("slug").alias("node"), "parent").join(told, "node", "full").select("node", F.coalesce("new", "parent").alias("parent"))
+    tree = tree.join(ends.toDF("node", "to"), "node", "left").where("to is null").drop("to").join(ends.toDF("parent", "to"), "parent", "left").select("node", F.coalesce("to", "parent").alias("parent"))
+    parts = {
+        "reused page does not exist": pages.where("action = 'reuse'").join(exist, "slug", "left_anti").select("slug"),
+        "created page exists": made.join(exist, "slug", "left_semi"),
+        "unknown parent": pages.select(F.col("parent").alias("slug")).where("slug is not null and slug != 'root'").join(exist.union(made), "slug", "left_anti"),
+        "only reused pages merge others": merges.where("action != 'reuse'").select("slug"),
+        "root is not merged": merges.where("gone = 'root'").select("slug"),
+        "page merged into itself": merges.where("gone = slug").select("slug"),
+        "page merged twice": merges.groupBy("gone").count().where("count > 1").select("gone"),
+        "merged page does not exist": merges.select(F.col("gone").alias("slug")).where("slug != 'root'").join(exist, "slug", "left_anti"),
+        "name belongs to two pages": owned.groupBy("name").agg(F.countDistinct("page").alias("n")).where("n > 1").select("name"),
+        "parents run in a circle": on_cycles(tree.where("parent is null or parent != 'root'")),
+    }
+    found = None
+    for rule, items in parts.items():
+        rows = items.toDF("item").select(F.lit(rule).alias("rule"), "item")
+        found = rows if found is None else found.union(rows)
+    return found.distinct()
+
+
 def proposal_violations(ops: DataFrame, pages: DataFrame, candidates: DataFrame, observations: DataFrame) -> DataFrame:
     """(rule, item): what is wrong with a proposal; no rows if nothing is.
 
     ``ops`` has number, op, candidates, targets and page_keys (arrays) and line;
     ``pages`` key, slug, action, category, line and parent; ``candidates`` candidate and
-    ``observations`` target, the ids that may be used.
+    ``observations`` target, the ids that may be used. What needs the pages that exist
+    is checked by ``page_violations``.
     """
 
     def found(rule: str, df: DataFrame, column: str) -> DataFrame:

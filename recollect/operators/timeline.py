@@ -68,6 +68,12 @@ def previous_day(days: DataFrame, value: str) -> DataFrame:
     return days.join(earlier, "day", "left")
 
 
+def pending_days(entries: DataFrame, states: DataFrame) -> DataFrame:
+    """(day): days of entries (seq, day) of which one at least is not done in states (seq, status)."""
+    done = states.where("status = 'done'").select("seq")
+    return entries.join(done, "seq", "left_anti").select("day").distinct()
+
+
 def done_through(states: DataFrame) -> DataFrame:
     """(seq): the last finished entry of states (seq, status), 0 without one."""
     return states.agg(F.coalesce(F.max(F.when(F.col("status") == "done", F.col("seq"))), F.lit(0)).cast("long").alias("seq"))

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import scoring
-from recollect.operators import briefs, fold, reports, retrieval
-from recollect.operators.budget import Brief
+from recollect.functions.text import citations, observation_text
+from recollect.operators import briefs, fold, reports, retrieval, timeline
+from recollect.operators.budget import DIRECTORY_SHARE, NEXT_CAP, Brief, estimate
+from recollect.operators.graph import cited as graph_cited
+from recollect.operators.graph import descendants, predecessors
 from recollect.operators.model import Model, Offline, with_text
 from recollect.operators.tables import kept
 from recollect.operators.validation import SOURCE_KINDS, rated
@@ -24,12 +27,16 @@ from recollect.sources.log import appended, dedup_key
 LOG = "seq long, kind string, actor string, created timestamp, payload string, hash string"
 PAYLOAD = (
     "kind string, text string, label string, happened string, session string, line string, body string, authority string, "
-    "confidence double, pages array<string>, target string, stamp long, patch map<string,string>, folder string, action string"
+    "confidence double, pages array<string>, target string, stamp long, patch map<string,string>, folder string, action string, "
+    "page string, parent string, merge_into string, supersede boolean"
 )
 #: Digits of an observation's id: 64 bits, so that even billions of them hardly ever meet.
 ID_DIGITS = 16
 #: Fields that an edit may patch.
 FIELDS = ("line", "body", "happened")
+VIEW = "id string, kind string, scope string, seq long, text string, headline string, start date, input_ids array<string>, citations array<string>"
+#: How many times its budget a brief may take that a composition is to be made from.
+COMPOSE_FACTOR = 4
 
 
 class Conflict(ValueError):
@@ -45,21 +52,31 @@ class State:
     pages: DataFrame
     chunks: DataFrame
     hidden: DataFrame
+    evidence: DataFrame
+    names: DataFrame
 
 
 class Memory:
     def __init__(self, spark: SparkSession, root: str, model: Model | None = None, now: str | None = None):
         self.spark, self.path, self.model = spark, f"{root.rstrip('/')}/log", model or Offline()
+        self.views_path = f"{root.rstrip('/')}/views"
         # The time is fixed once, so that all of a command's steps agree on it.
         self.now = F.lit(now or spark.sql("select current_timestamp()").first()[0]).cast("timestamp")
 
-    def log(self) -> DataFrame:
+    def _table(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(path)
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return self.spark.createDataFrame([], LOG)
+            return self.spark.createDataFrame([], schema)
+
+    def log(self) -> DataFrame:
+        return self._table(self.path, LOG)
+
+    def views(self) -> DataFrame:
+        """Stored compositions and summaries of periods."""
+        return self._table(self.views_path, VIEW)
 
     def entries(self) -> DataFrame:
         """The log with its payloads' fields as p."""
@@ -89,6 +106,15 @@ class Memory:
             raise ValueError("a source needs a known kind, a text and a label")
         return self._one("source", "user", {"kind": kind, "text": text, "label": label, "happened": happened, "session": session}, text)
 
+    def ingest_dialogue(self, dialogue: str, label: str, happened: str | None = None, session: str | None = None) -> int:
+        """A conversation from JSON: an array of messages (role, content), or an object with one as messages."""
+        told = json.loads(dialogue)
+        messages = told.get("messages") if isinstance(told, dict) else told
+        if not isinstance(messages, list) or not all(isinstance(m, dict) and isinstance(m.get("role"), str) and isinstance(m.get("content"), str) for m in messages):
+            raise ValueError("a dialogue is an array of messages with role and content")
+        text = "\n\n".join(f"{m['role']}:\n{m['content']}" for m in messages)
+        return self.ingest("conversation", text, label, happened, session)
+
     def note(self, line: str, pages: list[str], actor: str = "user", **fields) -> int:
         """An observation told directly; unless said otherwise a fact of confidence 1, its authority the actor."""
         if not line.strip() or not pages:
@@ -96,11 +122,39 @@ class Memory:
         payload = {"kind": "fact", "confidence": 1.0, "authority": actor, "line": line, "pages": pages} | fields
         return self._one("note", actor, payload, json.dumps([line, pages]))
 
-    def edit(self, target: str, stamp: int, **patch: str) -> int:
-        """Patches fields of an observation; without effect if it changed after ``stamp``."""
+    def edit(self, target: str, stamp: int, supersede: bool = False, **patch: str) -> int:
+        """Patches fields of an observation; without effect if it changed after ``stamp``.
+
+        With ``supersede`` the patched observation is a new one that replaces the target.
+        """
         if set(patch) - set(FIELDS):
             raise ValueError(f"unknown fields: {sorted(set(patch) - set(FIELDS))}")
-        return self._one("edit", "user", {"target": target, "stamp": stamp, "patch": patch}, json.dumps([target, stamp, patch], sort_keys=True))
+        payload = {"target": target, "stamp": stamp, "patch": patch, "supersede": supersede}
+        return self._one("edit", "user", payload, json.dumps(payload, sort_keys=True))
+
+    def edit_page(self, page: str, stamp: int, line: str | None = None, parent: str | None = None, merge_into: str | None = None) -> int:
+        """Gives a page a line or a parent, or merges it into another; without effect if it changed after ``stamp``.
+
+        A page can't come below itself, nor be merged into itself.
+        """
+        s = self.state()
+        known = {page, parent, merge_into} - {None, "root"}
+        missing = known - {r["page"] for r in s.pages.where(F.col("page").isin(sorted(known))).select("page").collect()}
+        if missing:
+            raise ValueError(f"no pages {sorted(missing)}")
+        asked = self.spark.createDataFrame([(page,)], "node string")
+        below = descendants(s.pages.select(F.col("page").alias("node"), "parent"), asked)
+        if merge_into == page or parent is not None and below.where(F.col("node") == parent).limit(1).count():
+            raise ValueError(f"{page} would come below itself")
+        payload = {"page": page, "stamp": stamp, "patch": {"line": line} if line is not None else {}, "parent": parent, "merge_into": merge_into}
+        return self._one("edit", "user", payload, json.dumps(payload, sort_keys=True))
+
+    def store_view(self, kind: str, scope: str, text: str, input_ids: list[str] | None = None, headline: str | None = None, start: str | None = None) -> None:
+        """Keeps a composition (scope global or project:folder) or a period's summary, as of now."""
+        last = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        row = [(f"{kind}:{scope}", kind, scope, last, text, headline, start, input_ids or [])]
+        df = self.spark.createDataFrame(row, "id string, kind string, scope string, seq long, text string, headline string, start string, input_ids array<string>")
+        df.withColumn("start", F.col("start").cast("date")).withColumn("citations", citations(F.col("text"))).select(*(f.split()[0] for f in VIEW.split(", "))).write.mode("append").parquet(self.views_path)
 
     def forget(self, target: str) -> int:
         return self._one("forget", "user", {"target": target}, target)
@@ -123,55 +177,191 @@ class Memory:
         prior = scoring.source_prior(scoring.source_kind(F.col("kind"), F.col("actor"), F.col("payload_kind")))
         base = made.select("id", "seq", "line", "body", "happened", F.col("created").alias("entered"), F.coalesce("confidence", F.lit(0.9)).alias("confidence"), prior.alias("source_prior"), "pages")
 
-        edits = entries.where("kind = 'edit'").select("seq", F.col("p.target").alias("id"), "p.stamp", "p.patch")
-        changes = base.select("id", "seq", F.lit(None).cast("long").alias("stamp")).union(edits.select("id", "seq", "stamp"))
-        patches = edits.join(fold.applied(changes).select("id", "seq"), ["id", "seq"], "left_semi").select("id", "seq", *(F.try_element_at("patch", F.lit(f)).alias(f"new_{f}") for f in FIELDS))
-        last = patches.groupBy("id").agg(F.max("seq").alias("edited"), F.count("*").alias("edits"), *(F.max_by(f"new_{f}", F.when(F.col(f"new_{f}").isNotNull(), F.col("seq"))).alias(f"new_{f}") for f in FIELDS))
-        patched = base.join(last, "id", "left").withColumns({f: F.coalesce(f"new_{f}", f) for f in FIELDS})
-        patched = patched.withColumn("source_prior", F.when(F.col("edits") > 0, 1.0).otherwise(F.col("source_prior"))).withColumn("sources", 1 + F.coalesce("edits", F.lit(0)))
-        whole = patched.select("id", F.greatest("seq", "edited").alias("seq"), "line", "body", F.col("happened").try_cast("timestamp").alias("happened"), "entered", "confidence", "source_prior", "sources", "pages", F.lit(None).cast("string").alias("replaced_by"), F.lit(30.0).alias("durability"))
+        edits = kept(entries.where("kind = 'edit' and p.target is not null").select("seq", F.col("p.target").alias("id"), "p.stamp", F.coalesce("p.supersede", F.lit(False)).alias("supersede"), *(F.try_element_at("p.patch", F.lit(f)).alias(f"new_{f}") for f in FIELDS)))
+        patched = self._patched(base, edits)
+        whole = patched.select("id", "seq", "line", "body", F.col("happened").try_cast("timestamp").alias("happened"), "entered", "confidence", "source_prior", "sources", "pages", "replaced_by", F.lit(30.0).alias("durability"))
         gone = entries.where("kind = 'forget'").select(F.col("p.target").alias("id"), "seq")
         full = kept(rated(fold.with_tombstones(whole, gone), self.model.ratings(whole.select("id", "line"))))
-        links = full.select("id", F.explode("pages").alias("page"))
-        pages = links.groupBy("page").agg(F.lit("topic").alias("category"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("parent")).join(links.join(full.select("id", "seq"), "id").groupBy("page").agg(F.max("seq").alias("seq")), "page")
+        links, pages, names = self._pages(full, entries)
         acts = entries.where("kind = 'focus'").select("p.folder", F.col("p.target").alias("id"), "seq", "p.action")
-        return State(full, links, pages, chunks, fold.focus_state(acts))
+        evidence = made.where("kind = 'source'").select(F.concat(F.lit("src:"), F.col("seq").cast("string"), F.lit("/"), F.col("n").cast("string")).alias("chunk"), F.col("id").alias("observation"))
+        return State(full.drop("pages"), links, pages, chunks, fold.focus_state(acts), kept(evidence), names)
 
-    def brief(self, budget: int = briefs.GLOBAL, folder: str | None = None, state: State | None = None) -> Brief:
+    @staticmethod
+    def _patched(base: DataFrame, edits: DataFrame) -> DataFrame:
+        """Observations after their edits; each round follows what superseding edits made in the round before."""
+        level, out = base.withColumn("sources", F.lit(1).cast("long")), None
+        while True:
+            own = edits.join(level.select("id"), "id", "left_semi")
+            changes = level.select("id", "seq", F.lit(None).cast("long").alias("stamp")).union(own.select("id", "seq", "stamp"))
+            taken = own.join(fold.applied(changes).select("id", "seq"), ["id", "seq"], "left_semi")
+            end = taken.where("supersede").groupBy("id").agg(F.min("seq").alias("end"))
+            taken = kept(taken.join(end, "id", "left").where("end is null or seq <= end"))
+            last = taken.where("not supersede").groupBy("id").agg(F.max("seq").alias("edited"), F.count("*").alias("edits"), *(F.max_by(f"new_{f}", F.when(F.col(f"new_{f}").isNotNull(), F.col("seq"))).alias(f"new_{f}") for f in FIELDS))
+            now = level.join(last, "id", "left").withColumns({f: F.coalesce(f"new_{f}", f) for f in FIELDS})
+            now = now.withColumns({"source_prior": F.when(F.col("edits") > 0, 1.0).otherwise(F.col("source_prior")), "sources": F.col("sources") + F.coalesce("edits", F.lit(0)), "seq": F.greatest("seq", "edited")})
+            id_ = F.left(F.sha2(F.concat_ws("/", F.col("end").cast("string"), F.lit("0")), 256), F.lit(ID_DIGITS))
+            heirs = taken.where("supersede and seq = end").select("id", "end", id_.alias("heir"), *(F.col(f"new_{f}").alias(f"heir_{f}") for f in FIELDS))
+            now = kept(now.select(*level.columns).join(heirs, "id", "left"))
+            old = now.withColumn("seq", F.greatest("seq", "end")).select(*level.columns, F.col("heir").alias("replaced_by"))
+            out = old if out is None else out.unionByName(old)
+            made = now.where("heir is not null").withColumns({f: F.coalesce(f"heir_{f}", f) for f in FIELDS})
+            if made.isEmpty():
+                return out
+            level = made.withColumns({"id": F.col("heir"), "seq": F.col("end"), "source_prior": F.lit(1.0), "sources": F.col("sources") + 1}).select(*level.columns)
+
+    def _pages(self, full: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links (id, page), pages (page, category, line, parent, seq) and their names (page, name)."""
+        links = full.select("id", "seq", F.explode("pages").alias("page"))
+        born = links.groupBy("page").agg(F.min("seq").alias("seq"))
+        told = kept(entries.where("kind = 'edit' and p.page is not null").select("seq", F.col("p.page").alias("page"), "p.stamp", F.try_element_at("p.patch", F.lit("line")).alias("line"), "p.parent", "p.merge_into"))
+        changes = born.select(F.col("page").alias("id"), "seq", F.lit(None).cast("long").alias("stamp")).union(told.select(F.col("page").alias("id"), "seq", "stamp"))
+        taken = kept(told.join(fold.applied(changes).select(F.col("id").alias("page"), "seq"), ["page", "seq"], "left_semi"))
+        latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+        last = taken.groupBy("page").agg(latest("line"), latest("parent"), F.max("seq").alias("edited"))
+        edges = born.join(last, "page", "left").select(F.col("page").alias("node"), F.when(F.col("parent") != "root", F.col("parent")).alias("parent"))
+        merges = taken.where("merge_into is not null").groupBy(F.col("page").alias("node")).agg(F.max_by("merge_into", "seq").alias("parent"))
+        names = born.select("page", F.col("page").alias("name"))
+        moved, parents, named = fold.merged_pages(links.select("id", "page"), edges, names, merges)
+        moved, parents = kept(moved.select("id", "page")), kept(parents)
+        changed = moved.join(full.select("id", "seq"), "id").groupBy("page").agg(F.max("seq").alias("seq"))
+        pages = changed.join(last.select("page", "line", "edited"), "page", "left").join(parents.withColumnRenamed("node", "page"), "page", "left")
+        pages = kept(pages.select("page", F.lit("topic").alias("category"), "line", "parent", F.greatest("seq", "edited").alias("seq")))
+        return moved, pages, kept(named.select("page", "name"))
+
+    def brief(self, budget: int = briefs.GLOBAL, folder: str | None = None, state: State | None = None, page: str | None = None, with_global: bool = True) -> Brief:
+        """The standing brief, that of a folder, after the standing one unless told otherwise, or that of a page and all below it.
+
+        A stored composition that is still valid stands in place of a choice of lines.
+        """
         s = state or self.state()
         rows = briefs.ranked(fold.current(s.observations), self.now)
-        if folder is not None:
-            rows = fold.without_hidden(rows, s.links, s.hidden.where(F.col("folder") == folder))
-        return briefs.brief(rows, s.links, s.pages, "# Memory\n", budget, edges=s.pages.select(F.col("page").alias("node"), "parent"))
+        edges = s.pages.select(F.col("page").alias("node"), "parent")
+        if page is not None:
+            below = kept(descendants(edges, self.spark.createDataFrame([(page,)], "node string")).select(F.col("node").alias("page")))
+            links = s.links.join(below, "page", "left_semi")
+            return briefs.brief(rows.join(links.select("id").distinct(), "id", "left_semi"), links, s.pages, f"# {page}\n", budget)
+        if folder is None:
+            return self._standing(s, rows, edges, budget)
+        own = fold.without_hidden(rows, s.links, s.hidden.where(F.col("folder") == folder))
+        if not with_global:
+            return self._project(s, own, edges, folder, budget, set())
+        share = budget * briefs.GLOBAL // (briefs.GLOBAL + briefs.PROJECT)
+        out = self._standing(s, own, edges, share)
+        more = self._project(s, own, edges, folder, budget - share, set(out.shown))
+        out.text, out.shown = f"{out.text}\n\n{more.text}", out.shown + more.shown
+        out.tokens, out.truncated, out.next = estimate(out.text), out.truncated or more.truncated, (out.next + more.next)[:NEXT_CAP]
+        return out
+
+    def _stored(self, s: State, scope: str) -> Brief | None:
+        since_gone = s.observations.withColumn("seq", F.greatest("seq", "forgotten"))
+        found = timeline.stored_composition(self.views(), since_gone, scope).select("text", "citations").first()
+        return None if found is None else Brief(found["text"], estimate(found["text"]), list(found["citations"]))
+
+    def _project(self, s: State, rows: DataFrame, edges: DataFrame, folder: str, budget: int, shown: set[str]) -> Brief:
+        title = f"# Project: {folder.rstrip('/').rsplit('/', 1)[-1]}\n"
+        stored = self._stored(s, f"project:{folder}")
+        if stored is not None:
+            stored.text = f"{title}\n{stored.text}"
+            return stored
+        return briefs.brief(rows, s.links, s.pages, title, budget, edges=edges, hidden=shown)
+
+    def _standing(self, s: State, rows: DataFrame, edges: DataFrame, budget: int) -> Brief:
+        """History, the standing part and recent days, under the day it tells of."""
+        stored = self._stored(s, "global")
+        cited = set(stored.shown) if stored is not None else set()
+        periods = kept(self.views().where("kind != 'composition'"))
+        history, recent, open_ids, cut = "", "", [], False
+        if not periods.isEmpty():
+            latest = periods.where("kind = 'day'").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            live = fold.current(s.observations).select("id", "line", "seq", F.to_date("happened").alias("day"))
+            history, recent, open_ids, cut = briefs.timeline(periods, live, latest, cited)
+        shown = cited | set(open_ids)
+        if stored is not None:
+            out = stored
+            out.text += briefs.directory(rows, s.links, edges, sorted(shown), int(budget * DIRECTORY_SHARE))
+        else:
+            out = briefs.brief(rows, s.links, s.pages, "", budget, edges=edges, hidden=shown)
+        day = rows.select(F.date_format(self.now, "yyyy-MM-dd")).first()
+        head = f"# Memory (as of {day[0]})" if day else "# Memory"
+        out.text = "\n\n".join([head, *(x.strip() for x in (history, out.text, recent) if x.strip())])
+        out.tokens, out.truncated, out.shown = estimate(out.text), out.truncated or cut, [*out.shown, *open_ids]
+        return out
+
+    def compose_input(self, budget: int = briefs.GLOBAL) -> Brief:
+        """The wider choice of lines that a composition is to be made from."""
+        s = self.state()
+        return briefs.brief(briefs.ranked(fold.current(s.observations), self.now), s.links, s.pages, "", COMPOSE_FACTOR * budget)
 
     def since(self, seq: int, budget: int = briefs.RECALL) -> tuple[list[str], int]:
         s = self.state()
         return briefs.since(s.observations, s.pages.withColumn("line", F.coalesce("line", "page")), seq, budget)
 
-    def search(self, query: str, state: State | None = None) -> DataFrame:
-        """(id, score) of current observations, both retrievers fused."""
+    def search(self, query: str | list[str], state: State | None = None, pages: list[str] | None = None) -> DataFrame:
+        """(id, layer, line, score) of current observations and of chunks, at most ``MAX_HITS``.
+
+        Both retrievers over both layers are fused over all queries; observations on pages
+        that a query names count more. ``pages`` limits both layers to what lies on them.
+        """
         s = state or self.state()
-        rows = kept(fold.current(s.observations).withColumn("key", F.abs(F.xxhash64("id"))))
-        asked = self.spark.createDataFrame([(0, query)], "query_id long, text string")
-        vectors = rows.select(F.col("key").alias("id"), self.model.embedded(F.col("line")).alias("vector"))
-        docs = rows.select(F.col("key").alias("id"), F.concat_ws("\n", "line", "body").alias("text"))
-        found = retrieval.search(asked.select("query_id", self.model.embedded(F.col("text")).alias("vector")), asked, vectors, docs)
-        hits = found.withColumnRenamed("id", "key").join(rows, "key")
-        score = scoring.score("situational", relevance=F.col("relevance") * scoring.SITUATIONAL_BOOST, reach=F.col("reach"), confidence=F.col("confidence"), source_prior=F.col("source_prior"))
-        return hits.select("id", score.alias("score"))
-
-    def recall(self, query: str, budget: int = briefs.RECALL) -> Brief:
+        queries = [query] if isinstance(query, str) else query
+        if not queries or not all(q.strip() for q in queries):
+            raise ValueError("queries must not be empty")
+        numbered = lambda df: df.withColumn("key", F.abs(F.xxhash64("id")))
+        live = fold.current(s.observations)
+        chunks = s.chunks.withColumn("id", F.concat(F.lit("src:"), F.col("seq").cast("string"), F.lit("/"), F.col("chunk").cast("string")))
+        if pages is not None:
+            asked_pages = self.spark.createDataFrame([(p,) for p in pages], "page string")
+            on = retrieval.chunks_on_pages(s.evidence, s.observations, s.links, asked_pages)
+            chunks = chunks.join(on.withColumnRenamed("chunk", "id"), "id", "left_semi")
+            live = live.join(s.links.join(asked_pages, "page", "left_semi").select("id").distinct(), "id", "left_semi")
+        rows, chunks = kept(numbered(live)), kept(numbered(chunks))
+        asked = self.spark.createDataFrame([(0, i, q) for i, q in enumerate(queries)], "search_id long, query_id long, text string")
+        asked = asked.withColumn("vector", self.model.embedded(F.col("text")))
+        layers = {
+            name: (df.select(F.col("key").alias("id"), self.model.embedded(text).alias("vector")), df.select(F.col("key").alias("id"), text.alias("text")))
+            for name, df, text in (("observation", rows, observation_text(F.col("line"), F.col("body"))), ("chunk", chunks, F.concat_ws("\n", "context", "text")))
+        }
+        named = retrieval.named_pages(asked.select("query_id", "text"), s.names).select("page").distinct()
+        bonus = s.links.join(named, "page").join(rows.select("id", "key"), "id").groupBy("key").agg(F.count("*").alias("pages")).select(F.lit(0).cast("long").alias("search_id"), F.lit("observation").alias("layer"), F.col("key").alias("id"), "pages")
+        found = kept(retrieval.search_layers(asked, layers, bonus).withColumnRenamed("id", "key"))
+        ranked = scoring.score("situational", relevance=F.col("relevance") * scoring.SITUATIONAL_BOOST, reach=F.col("reach"), confidence=F.col("confidence"), source_prior=F.col("source_prior"))
+        hits = found.where("layer = 'observation'").join(rows, "key").select("id", "layer", "line", ranked.alias("score"))
+        backed = reports.chunk_evidence(chunks.select("id"), s.evidence, fold.current(s.observations))
+        kinds = self.entries().select("seq", scoring.source_prior(scoring.source_kind(F.col("kind"), F.col("actor"), F.col("p.kind"))).alias("source_prior"))
+        passage = scoring.score("chunk", relevance=F.col("relevance"), reach=F.col("reach"), source_prior=F.col("source_prior"))
+        passages = found.where("layer = 'chunk'").join(chunks, "key").join(backed, "id").join(kinds, "seq").select("id", "layer", F.col("context").alias("line"), passage.alias("score"))
+        return hits.union(passages).orderBy(F.desc("score"), "id").limit(retrieval.MAX_HITS)
+
+    def recall(self, query: str | list[str], budget: int = briefs.RECALL, pages: list[str] | None = None, folder: str | None = None) -> Brief:
+        """What the standing brief does not show of what a search finds, then source passages."""
         s = self.state()
-        standing = set(self.brief(state=s).shown)
+        standing = set(self.brief(folder=folder, state=s).shown)
         rows = briefs.ranked(fold.current(s.observations), self.now)
-        return briefs.recall(kept(self.search(query, s)), standing, rows, s.links, s.pages, budget)
+        hits = kept(self.search(query, s, pages))
+        out = briefs.recall(hits.where("layer = 'observation'"), standing, rows, s.links, s.pages, budget)
+        passages = [(r["id"], r["line"]) for r in hits.where("layer = 'chunk'").orderBy(F.desc("score"), "id").collect()]
+        return briefs.with_passages(out, passages, budget)
 
     def open(self, target: str) -> DataFrame:
         """An observation or page by its id, with what belongs to it."""
         s = self.state()
         own = s.observations.where(F.col("id") == target)
         on_page = s.observations.join(s.links.where(F.col("page") == target).select("id"), "id", "left_semi")
-        return own.unionByName(on_page).drop("replaced_by", "durability")
+        return own.unionByName(on_page).drop("durability").orderBy(F.desc("reach"), F.desc("entered"), "id")
+
+    def history(self, target: str) -> DataFrame:
+        """(id, role): what an observation was replaced by, in turn, and all that it replaced."""
+        edges = kept(self.state().observations.where("replaced_by is not null").select(F.col("id").alias("node"), F.col("replaced_by").alias("parent")))
+        asked = self.spark.createDataFrame([(target,)], "node string")
+        before = predecessors(edges, asked).select(F.col("predecessor").alias("id"), F.lit("predecessor").alias("role"))
+        after = predecessors(edges.toDF("parent", "node"), asked).select(F.col("predecessor").alias("id"), F.lit("successor").alias("role"))
+        return before.union(after)
+
+    def cited(self, view: str) -> DataFrame:
+        """The observations that a stored view cites."""
+        views = self.views().where(F.col("id") == view).select(F.col("id").alias("view"), "citations")
+        return graph_cited(views, self.state().observations.select("id", "line", "seq"))
 
     def browse(self, limit: int = reports.DEFAULT_PAGE, offset: int = 0) -> DataFrame:
         return reports.page_of(fold.current(self.state().observations).select("id", "line", "reach", "entered"), [F.desc("reach"), F.desc("entered"), F.asc("id")], limit, offset)

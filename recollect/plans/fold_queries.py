@@ -33,7 +33,7 @@ def tombstones_current(spark, d):
 def _chains(spark, d):
     """Every entry of a user is replaced by the user's next one of the same type."""
     per = Window.partitionBy("user_id", "event_type").orderBy("seq")
-    return _ops(spark, d).select(F.col("seq").alias("node"), F.lead("seq").over(per).alias("parent"), "user_id", "event_type").where("parent % 5 != 0")
+    return _ops(spark, d).select(F.col("seq").alias("node"), F.lead("seq").over(per).alias("parent"), "user_id", "event_type").where("parent is not null")
 
 
 def replacement_chain(spark, d):
@@ -120,7 +120,7 @@ QUERIES = {
 _OPS = """ops AS (
   SELECT event_id AS seq, user_id || '/' || (CAST(json_extract(props, '$.k') AS INTEGER) % 10) AS id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k, ts FROM events
 )"""
-_CHAINS = "chains AS (SELECT * FROM (SELECT seq AS node, lead(seq) OVER (PARTITION BY user_id, event_type ORDER BY seq) AS parent FROM ops) WHERE parent % 5 <> 0)"
+_CHAINS = "chains AS (SELECT * FROM (SELECT seq AS node, lead(seq) OVER (PARTITION BY user_id, event_type ORDER BY seq) AS parent FROM ops) WHERE parent IS NOT NULL)"
 _FINAL = f"""WITH RECURSIVE {_OPS}, {_CHAINS}, walk(node, tip) AS (
   SELECT node, parent FROM chains
   UNION ALL

@@ -64,7 +64,7 @@ def folder_affinity(spark, d):
     """Part names as pages below their brand's page, matched with a folder's path."""
     parts = table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("page"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     scores = graph.folder_scores(F.lit(FOLDER), parts.select("page", "name"))
-    edges = parts.select(F.col("brand").alias("node"), F.col("page").alias("parent")).where("parent like '%0'").groupBy("node").agg(F.min("parent").alias("parent"))
+    edges = parts.select(F.col("brand").alias("node"), F.col("page").alias("parent")).groupBy("node").agg(F.min("parent").alias("parent"))
     return graph.affinity(scores, edges.unionByName(parts.select(F.col("page").alias("node"), F.lit(None).cast("string").alias("parent")))).select("page", F.round("affinity", 6).alias("affinity"))
 
 
@@ -99,7 +99,7 @@ m AS (
   FROM parts, s
 ), scores AS (
   SELECT page, max(w * CASE WHEN short < 3 THEN 0 WHEN prefix >= 5 AND prefix >= 0.6 * short THEN greatest(base, 0.8::DOUBLE) ELSE base END) AS score FROM m GROUP BY page
-), e AS (SELECT brand AS node, min(page) AS parent FROM parts WHERE page LIKE '%0' GROUP BY brand),
+), e AS (SELECT brand AS node, min(page) AS parent FROM parts GROUP BY brand),
 closure AS (SELECT page AS node, page AS ancestor, 0 AS depth FROM parts UNION ALL SELECT node, node, 0 FROM e UNION ALL SELECT node, parent, 1 FROM e)
 SELECT node AS page, round(max(score / (depth + 1)), 6) AS affinity FROM closure JOIN scores ON page = ancestor WHERE score >= 0.7 GROUP BY node""",
 }

@@ -119,6 +119,20 @@ def reused_pages(spark, d):
     return fold.reused_pages(pages, proposals).select("page", "line", "parent", F.array_join("aliases", ",").alias("aliases"), "seq")
 
 
+def page_proposals(spark, d):
+    """Nations as pages that exist below their regions, and what customers' segments and suppliers propose."""
+    page = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
+    none = F.array().cast("array<string>")
+    nations = table(spark, d, "nation").select(page("n_nationkey").alias("slug"), F.lit("root").alias("parent"), F.array("n_name").alias("aliases"))
+    least = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s"))
+    gone = F.when(F.col("s") % 3 == 0, F.array(page("s"))).when(F.col("s") % 3 == 1, F.array(F.lit("N1"))).otherwise(none)
+    parent = F.when(F.col("s") % 2 == 0, F.concat(F.lit("N"), ((F.col("s_nationkey") + 1) % 25).cast("string")))
+    reused = least.select(page("s_nationkey").alias("slug"), F.lit("reuse").alias("action"), parent.alias("parent"), none.alias("aliases"), gone.alias("merge_from"))
+    new = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.min("c_nationkey").alias("n"))
+    made = new.select(F.lower("c_mktsegment").alias("slug"), F.lit("create").alias("action"), F.concat(F.lit("X"), F.col("n").cast("string")).alias("parent"), F.array("c_mktsegment", page("n")).alias("aliases"), none.alias("merge_from"))
+    return fold.page_violations(reused.union(made), nations)
+
+
 def _views(spark, d):
     """Orders as views whose inputs are their parts."""
     inputs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("input_ids"))
@@ -161,6 +175,14 @@ def finished_through(spark, d):
     return timeline.done_through(orders)
 
 
+def pending_days(spark, d):
+    """Days of orders that are not all finished; orders in progress have no state yet."""
+    orders = table(spark, d, "orders")
+    states = orders.where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("failed").alias("status"))
+    pending = timeline.pending_days(orders.select(F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("date").alias("day")), states)
+    return pending.select(F.col("day").cast("string").alias("day"))
+
+
 def forgotten_views(spark, d):
     """The tree's nodes as views of nested periods; suppliers of a low balance are forgotten."""
     views = _edges(spark, d).select(F.col("node").alias("id"))
@@ -312,8 +334,8 @@ def extraction_checks(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        after_cutoff, sync_counts, pending_order, session_transcripts, prefix_increments, import_dry_run, page_creation_order, reused_pages,
-        valid_compositions, composition_due, build_input, finished_through, forgotten_views, retried_entries, predecessors, cited_records,
+        after_cutoff, sync_counts, pending_order, session_transcripts, prefix_increments, import_dry_run, page_creation_order, reused_pages, page_proposals,
+        valid_compositions, composition_due, build_input, pending_days, finished_through, forgotten_views, retried_entries, predecessors, cited_records,
         chunk_scope, chunk_evidence, linked_lists, layered_search, vectors_as_blobs, local_days, standing_ids, dialogue_speakers,
         message_contents, retired_keys, payload_problems, unresolved_references, batch_answers, extraction_checks,
     )
@@ -346,6 +368,24 @@ p AS (SELECT p_partkey AS page, CASE WHEN x.q > 25 THEN 'supplied by ' || x.s EL
   p_brand || CASE WHEN x.q > 40 THEN ',large' ELSE '' END AS aliases, CASE WHEN x.q > 25 OR x.q < 10 THEN x.seq ELSE 0 END AS seq
   FROM part LEFT JOIN (SELECT l_partkey, {'q': x.q, 's': x.s, 'seq': seq} AS x FROM x) ON l_partkey = p_partkey)
 SELECT * FROM p""",
+    "page_proposals": """WITH RECURSIVE nations AS (SELECT 'N' || n_nationkey AS slug, n_name AS alias FROM nation),
+r AS (SELECT s_nationkey AS k, min(s_suppkey) AS s FROM supplier GROUP BY s_nationkey),
+c AS (SELECT lower(c_mktsegment) AS slug, c_mktsegment AS alias, 'N' || min(c_nationkey) AS other, 'X' || min(c_nationkey) AS parent FROM customer GROUP BY c_mktsegment),
+m AS (SELECT 'N' || k AS slug, CASE s % 3 WHEN 0 THEN 'N' || s ELSE 'N1' END AS gone FROM r WHERE s % 3 < 2),
+ends AS (SELECT DISTINCT gone AS page, slug AS target FROM m WHERE gone <> slug),
+named AS (SELECT slug AS page, lower(x) AS name FROM nations, unnest([slug, alias]) t(x) UNION SELECT 'N' || k, lower('N' || k) FROM r UNION SELECT slug, lower(x) FROM c, unnest([slug, alias, other]) t(x)),
+owned AS (SELECT DISTINCT coalesce(target, page) AS page, regexp_replace(name, '[^a-z0-9]+', ' ', 'g') AS name FROM named LEFT JOIN ends USING (page)),
+p AS (SELECT slug AS node, CASE WHEN s % 2 = 0 THEN 'N' || ((k + 1) % 25) END AS parent FROM nations LEFT JOIN r ON slug = 'N' || k UNION SELECT slug, parent FROM c),
+tree AS (SELECT node, coalesce(e.target, parent) AS parent FROM p LEFT JOIN ends e ON e.page = parent WHERE node NOT IN (SELECT page FROM ends)),
+walk(node, tip, n) AS (SELECT node, parent, 1 FROM tree WHERE parent IS NOT NULL UNION SELECT walk.node, tree.parent, n + 1 FROM walk JOIN tree ON tree.node = walk.tip WHERE tree.parent IS NOT NULL AND n < 40)
+SELECT DISTINCT * FROM (
+  SELECT 'unknown parent' AS rule, parent AS item FROM c
+  UNION ALL SELECT 'page merged into itself', slug FROM m WHERE gone = slug
+  UNION ALL SELECT 'page merged twice', gone FROM m GROUP BY gone HAVING count(*) > 1
+  UNION ALL SELECT 'merged page does not exist', gone FROM m WHERE gone NOT IN (SELECT slug FROM nations)
+  UNION ALL SELECT 'name belongs to two pages', name FROM owned GROUP BY name HAVING count(DISTINCT page) > 1
+  UNION ALL SELECT 'parents run in a circle', node FROM walk WHERE node = tip
+)""",
     "valid_compositions": f"""WITH {_VIEWS}, {_PARTS}
 SELECT views.id, kind, kind = 'day' OR bool_and(parts.id IS NOT NULL AND (NOT (replaced OR forgotten) OR seq <= views.id)) AS valid FROM views LEFT JOIN parts ON parts.id = input GROUP BY views.id, kind""",
     "composition_due": """WITH v AS (SELECT o_custkey AS scope, min(o_orderkey) AS seq, arg_min(o_orderstatus, o_orderkey) AS text FROM orders GROUP BY o_custkey)
@@ -356,6 +396,7 @@ o AS (SELECT o_orderkey AS seq, CAST(o_orderdate AS DATE) AS day, o_orderstatus
 p AS (SELECT o.*, r.n, r.reach, unnest({_PERIODS}) AS p FROM o LEFT JOIN r USING (seq))
 SELECT p.level AS level, p.period AS period, count(*) FILTER (told) AS n_sources, round(coalesce(sum(reach), 0), 4) AS reach, max(seq) AS last_seq, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_observations,
   coalesce(string_agg('src:' || seq, ',' ORDER BY 'src:' || seq) FILTER (told AND p.level = 'day'), '') AS sources FROM p GROUP BY p.level, p.period""",
+    "pending_days": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus <> 'F'",
     "finished_through": "SELECT CAST(coalesce(max(o_orderkey), 0) AS BIGINT) AS seq FROM orders WHERE o_orderstatus = 'F'",
     "forgotten_views": f"""WITH RECURSIVE {_EDGES} SELECT node AS id FROM edges WHERE node NOT IN (SELECT ancestor FROM up JOIN supplier ON node = 'S' || s_suppkey WHERE s_acctbal < 2000)""",
     "retried_entries": "SELECT o_orderkey AS seq, CAST(NULL AS VARCHAR) AS error, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 3 END AS attempts FROM orders",
