@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 SLOTS, KICKS, LOAD = 4, 500, 0.8
+#: Spreads a fingerprint over the buckets.
+MIX = 0x5BD1E995
 
 
 class Full(Exception):
@@ -32,8 +34,7 @@ class CuckooFilter:
         while True:
             made = cls.sized(n)
             try:
-                for key in keys:
-                    made.insert(key)
+                made.insert(*keys)
                 return made
             except Full:
                 n = 2 * n + 8
@@ -53,30 +54,38 @@ class CuckooFilter:
         return prints, first, first ^ self._shift(prints)
 
     def _shift(self, prints: np.ndarray) -> np.ndarray:
-        return (prints.astype(np.uint64) * np.uint64(0x5BD1E995)) & self.mask
+        return (prints.astype(np.uint64) * np.uint64(MIX)) & self.mask
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         """keys: n rows of 16 bytes."""
         prints, first, second = self._places(keys)
         return ((self.cells[first] == prints[:, None]) | (self.cells[second] == prints[:, None])).any(axis=1)
 
-    def insert(self, key: bytes) -> None:
-        prints, first, second = self._places(np.frombuffer(key, np.uint8).reshape(1, 16).copy())
-        mark, at = prints[0], int(first[0])
-        for place in (at, int(second[0])):
-            free = np.flatnonzero(self.cells[place] == 0)
-            if len(free):
-                self.cells[place, free[0]] = mark
-                return
-        for kick in range(KICKS):
-            slot = kick % SLOTS
-            mark, self.cells[at, slot] = self.cells[at, slot], mark
-            at = int(np.uint64(at) ^ self._shift(np.array([mark], np.uint16))[0])
-            free = np.flatnonzero(self.cells[at] == 0)
-            if len(free):
-                self.cells[at, free[0]] = mark
-                return
-        raise Full
+    def insert(self, *keys: bytes) -> None:
+        """Inserts all keys, or raises Full and leaves the filter as it is."""
+        prints, firsts, seconds = (x.tolist() for x in self._places(np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16).copy()))
+        cells, mask = self.cells.ravel().tolist(), int(self.mask)
+        for mark, first, second in zip(prints, firsts, seconds, strict=True):
+            if self._put(cells, mark, first) or self._put(cells, mark, second):
+                continue
+            at = first
+            for kick in range(KICKS):
+                slot = at * SLOTS + kick % SLOTS
+                mark, cells[slot] = cells[slot], mark
+                at ^= (mark * MIX) & mask
+                if self._put(cells, mark, at):
+                    break
+            else:
+                raise Full
+        self.cells = np.array(cells, np.uint16).reshape(-1, SLOTS)
+
+    @staticmethod
+    def _put(cells: list[int], mark: int, bucket: int) -> bool:
+        for slot in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
+            if not cells[slot]:
+                cells[slot] = mark
+                return True
+        return False
 
     def delete(self, key: bytes) -> None:
         prints, first, second = self._places(np.frombuffer(key, np.uint8).reshape(1, 16).copy())

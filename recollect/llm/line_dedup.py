@@ -8,10 +8,13 @@ or deleting documents changes rows of the exact table, and the keys that thereby
 cross the limit are inserted into or deleted from the filters, so every insertion
 can be undone.
 
-Scale: lines travel as 16-byte hashes. A shard's filter is sent to ``SPREAD`` tasks
-that share the shard's lines, so a line that a third of all documents hold is dealt
-over as many tasks; a task holds one filter at a time and streams the lines. Counts
-are pre-aggregated before the shuffle. Texts move once, to meet their own drops.
+Scale: lines travel as 16-byte hashes. A shard's lines are dealt by document over as many
+tasks as they are millions, ``SPREAD`` at least, and each gets the shard's filter, so a
+line that a third of all documents hold is dealt as well; a task holds one filter at a
+time and streams the lines. What is let through meets its exact count by its key; the
+at most ``HOT`` keys that hold more than one in ``HOT`` of all lines do so by a
+broadcast, so no task gets more of one key than that. Counts are pre-aggregated before
+the shuffle. Texts move once, to meet their own drops.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from recollect.llm.cuckoo import CuckooFilter, Full
 from recollect.llm.shared import stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Repeated keys for each shard's filter, and tasks that share a shard's lines.
-PER_SHARD, SPREAD = 200_000, 8
+#: Repeated keys for each shard's filter, the least tasks that share a shard's lines and
+#: the lines for each, and the most keys that are broadcast.
+PER_SHARD, SPREAD, PER_TASK, HOT = 200_000, 8, 1_000_000, 10_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -75,8 +79,7 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for key in gone:
                 made.delete(key)
-            for key in added:
-                made.insert(key)
+            made.insert(*added)
         except Full:
             full = True
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None if full else made.dump()], pa.binary())], names=["shard", "filter"])
@@ -130,10 +133,10 @@ class LineIndex:
 
     def __init__(self, refs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filters: DataFrame | None = None, n_shards: int = 1):
         self.refs, self.min_chars, self.min_docs = refs, min_chars, min_docs
+        self._repeated: DataFrame | None = None
         if filters is None:
-            repeated = stored(self.repeated(), "repeated")
-            n_shards = max(1, -(-repeated.count() // PER_SHARD))
-            changes = repeated.select(_shard(n_shards).alias("shard"), "key", F.lit(True).alias("added"))
+            n_shards = max(1, -(-self.repeated().count() // PER_SHARD))
+            changes = self.repeated().select(_shard(n_shards).alias("shard"), "key", F.lit(True).alias("added"))
             filters = _built(changes, None)
         self.filters, self.n_shards = filters, n_shards
 
@@ -146,7 +149,10 @@ class LineIndex:
         return self.refs.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last"))
 
     def repeated(self) -> DataFrame:
-        return self.counts().where(F.col("n_docs") >= self.min_docs)
+        """The keys of enough documents with their counts; written once."""
+        if self._repeated is None:
+            self._repeated = stored(self.counts().where(F.col("n_docs") >= self.min_docs), "repeated")
+        return self._repeated
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with these documents too; ids already present gain their lines."""
@@ -169,8 +175,10 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """(doc_id, key): lines to drop from each document."""
-        lines = self.refs.select(_shard(self.n_shards).alias("shard"), F.lit(None).cast("binary").alias("filter"), "key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("salt"))
-        heads = self.filters.select("shard", "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+        n_refs = self.refs.count()
+        spread = max(SPREAD, -(-n_refs // (self.n_shards * PER_TASK)))
+        lines = self.refs.select(_shard(self.n_shards).alias("shard"), F.lit(None).cast("binary").alias("filter"), "key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int").alias("salt"))
+        heads = self.filters.select("shard", "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
         asked = (
             lines.union(heads)
             .repartition("shard", "salt")
@@ -178,7 +186,14 @@ class LineIndex:
             .select("shard", "filter", "key", "doc_id")
             .mapInArrow(_let_through, "key binary, doc_id long")
         )
-        return asked.join(self.repeated(), "key").where("doc_id != last").select("doc_id", "key")
+        # Each hot key holds more than a HOT-th of the lines, so there are at most HOT of them.
+        hot = self.repeated().where(F.col("n_docs") > n_refs // HOT).select("key", F.col("last").alias("hot_last"))
+        marked = asked.join(F.broadcast(hot), "key", "left")
+        # What is settled goes on under a key of its own that matches nothing.
+        met = F.when(F.col("hot_last").isNull(), F.col("key")).otherwise(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("met")
+        known = self.repeated().where(F.col("n_docs") <= n_refs // HOT).select(F.col("key").alias("met"), "last")
+        settled = marked.select("key", "doc_id", "hot_last", met).join(known, "met", "left")
+        return settled.where("doc_id != coalesce(hot_last, last)").select("doc_id", "key")
 
 
 def _built(changes: DataFrame, filters: DataFrame | None) -> DataFrame:
@@ -203,8 +218,10 @@ def without_repeated_lines(docs: DataFrame, index: LineIndex | None = None, min_
 
     Nulls: a null or empty text is one empty line and stays as it is. A row with a
     null doc_id neither counts nor loses lines. Rows that share a doc_id count as one
-    document and lose the same lines. Columns named n_lines or n_dropped are
-    replaced; all others are carried along.
+    document and lose the same lines. A line that a document holds several times counts
+    once and goes or stays with all of them. Texts of any length are split whole. An empty
+    table stays empty. Columns named n_lines or n_dropped are replaced; all others are
+    carried along.
     """
     index = index or LineIndex.of(docs, min_chars, min_docs)
     drops = index.drops().groupBy("doc_id").agg(F.collect_list("key").alias("__drops"))
