@@ -12,7 +12,9 @@ line separator is the end identifier, so files appear through the same commit
 protocol as any table, on any file system that Spark reaches.
 
 Scale: no shuffle but the blocks' summaries and the final join of (file, ordinal) to
-document ids. A block has ``BLOCK`` identifiers, whatever the length of a document.
+document ids. A block has ``BLOCK`` identifiers, whatever the length of a document. Files
+are read once, end with ``PER_FILE`` documents, and must stay below Spark's 2 GB for a
+value, which takes documents of 16,000 identifiers on average.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from recollect.llm.shared import shared_folder
 
 WIDTH, BLOCK = 2, 1 << 20
+#: Documents in a token file; a file is read whole by one task.
+PER_FILE = 1 << 16
 
 
 def rank_encoding(path: str, pattern: str):
@@ -53,10 +57,10 @@ def _encoded(path: str, pattern: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end: int, text_col: str = "text") -> None:
-    """Writes a file for each partition of ``docs``, in the order of its rows."""
+    """Writes a file for each partition of ``docs`` and ``PER_FILE`` rows, in the order of its rows."""
     ids = docs.select(text_col).mapInArrow(_encoded(vocabulary, pattern), "ids binary")
     separator = int(end).to_bytes(WIDTH, "little").decode("latin-1")
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(folder)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", PER_FILE).text(folder)
 
 
 def _ends(end: int):
@@ -97,16 +101,12 @@ def scan_token_files(spark: SparkSession, folder: str, end: int, block: int = BL
         (F.col("block") == F.max("block").over(whole)).alias("is_last"),
         (base + F.col("n")).alias("upto"),
     )
-    closed = carried.select("file", "base", "before", "last_end", "ends", F.posexplode("ends").alias("i", "at")).select(
-        "file",
-        (F.col("before") + F.col("i")).alias("ordinal"),
-        F.when(F.col("i") == 0, F.col("last_end") + 1).otherwise(F.col("base") + F.element_at("ends", F.greatest("i", F.lit(1))) + 1).alias("first"),
-        (F.col("base") + F.col("at")).alias("stop"),
-        F.lit(True).alias("terminated"),
-    )
-    own = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1)).otherwise(F.col("last_end")) + 1
-    tail = carried.where("is_last").select("file", (F.col("before") + F.size("ends")).alias("ordinal"), own.alias("first"), F.col("upto").alias("stop"), F.lit(False).alias("terminated")).where("stop > first")
-    return closed.union(tail).select("file", F.col("ordinal").cast("long").alias("ordinal"), "first", (F.col("stop") - F.col("first")).alias("n_tokens"), "terminated")
+    # Where each document of the block stops: at the ends found, and a file's last at its end.
+    starts = F.concat(F.array(F.col("last_end") + 1), F.transform("ends", lambda at: F.col("base") + at + 1))
+    stops = F.concat(F.transform("ends", lambda at: F.struct((F.col("base") + at).alias("stop"), F.lit(True).alias("terminated"))), F.when(F.col("is_last"), F.array(F.struct(F.col("upto").alias("stop"), F.lit(False).alias("terminated")))).otherwise(F.array()))
+    placed = carried.select("file", "before", starts.alias("starts"), F.posexplode(stops).alias("i", "s"))
+    documents = placed.select("file", (F.col("before") + F.col("i")).cast("long").alias("ordinal"), F.element_at("starts", F.col("i") + 1).alias("first"), "s.stop", "s.terminated")
+    return documents.where("terminated or stop > first").select("file", "ordinal", "first", (F.col("stop") - F.col("first")).alias("n_tokens"), "terminated")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str, end: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -117,13 +117,18 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, end: int, id_co
     numbered in a second reading, in the same partitions and order as the files.
 
     Nulls: a null or empty text has no tokens and still an end; a null id is carried.
-    Repeated rows are counted each. An empty table gives no rows; other columns are
-    not read.
+    Texts of any length are counted whole. Repeated rows are counted each. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/recollect-{uuid.uuid4().hex[:12]}/tokens"
     write_token_files(docs, folder, vocabulary, pattern, end, text_col)
     numbered = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("place"))
-    numbered = numbered.select(id_col, F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1).alias("ordinal"))
-    counted = scan_token_files(spark, folder, end, block).withColumn("part", F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"))
-    return numbered.join(counted, ["part", "ordinal"]).select(id_col, "n_tokens", "file", "ordinal", "first")
+    row = F.col("place").bitwiseAND((1 << 33) - 1)
+    numbered = numbered.select(id_col, F.shiftright("place", 33).alias("part"), F.floor(row / F.lit(PER_FILE)).cast("long").alias("piece"), F.pmod(row, F.lit(PER_FILE)).alias("ordinal"), F.lit(True).alias("read"))
+    place = lambda n: F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", n).cast("long")
+    counted = scan_token_files(spark, folder, end, block).withColumn("part", place(1)).withColumn("piece", place(2))
+    # A row without its tokens, or tokens without a row, would mean that the two readings differ.
+    both = numbered.join(counted, ["part", "piece", "ordinal"], "full")
+    checked = F.when(F.col("read").isNull() | F.col("n_tokens").isNull(), F.raise_error("the table was read in other partitions than its token files")).otherwise(F.col("n_tokens"))
+    return both.select(id_col, checked.alias("n_tokens"), "file", "ordinal", "first")
