@@ -1,7 +1,7 @@
 """op4_url_filter over all pages."""
 
 from recollect.llm.shared import table
-from recollect.llm.url_filter import Rule, judge_urls
+from recollect.llm.url_filter import NO_PROSE, NO_TEXT, SPAM_WORDS, Rule, default_globs, judge_urls
 
 RULES = [
     Rule("allow", "org"),
@@ -14,13 +14,15 @@ RULES = [
 
 def op4_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(pages, RULES, block_globs=default_globs()).select("page_id", "host", "path", "rule", "verdict")
 
 
+_BLOCKED = "|".join([f"^([^/]*[.-])?({'|'.join(SPAM_WORDS)})[.-]", f"/(?s:.*)\\.({'|'.join(NO_TEXT)})$", *NO_PROSE])
+
 QUERIES = {"op4_url_filter": op4_url_filter}
 
 ORACLE_SQL = {
-    "op4_url_filter": r"""
+    "op4_url_filter": rf"""
 WITH parts AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
@@ -34,7 +36,7 @@ WITH parts AS (
   FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
   GROUP BY page_id
 )
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host || path, '{_BLOCKED}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM split LEFT JOIN best USING (page_id)
 """
 }

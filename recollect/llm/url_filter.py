@@ -124,14 +124,15 @@ def _judged(rules: list[Rule], block_globs: list[str], default: str):
         automaton = ShiftAnd([*globs, *map(parse_glob, block_globs)])
         # Longest first, so that the first that fits wins; ties go to the earlier rule.
         order = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))
+        ranked = [rules[i] for i in order]
         for batch in batches:
             parts = [host_and_path(u) for u in batch.column(batch.schema.names.index("__url")).to_pylist()]
             hits = automaton.run([h + p for h, p in parts])
-            names, verdicts = [], []
-            for row in hits:
-                won = next((i for i in order if row[2 * i] or row[2 * i + 1]), None)
-                names.append(None if won is None else rules[won].name)
-                verdicts.append(("block" if row[len(globs) :].any() else default) if won is None else rules[won].verdict)
+            fits = (hits[:, 0 : len(globs) : 2] | hits[:, 1 : len(globs) : 2])[:, order]
+            won = np.where(fits.any(axis=1), fits.argmax(axis=1), len(rules)) if rules else np.zeros(len(hits), np.int64)
+            blocked = hits[:, len(globs) :].any(axis=1)
+            names = [ranked[i].name if i < len(rules) else None for i in won]
+            verdicts = [ranked[i].verdict if i < len(rules) else "block" if b else default for i, b in zip(won, blocked, strict=True)]
             kept = [i for i, x in enumerate(batch.schema.names) if x != "__url"]
             added = [pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(names, pa.string()), pa.array(verdicts, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *added], names=[*(batch.schema.names[i] for i in kept), "host", "path", "rule", "verdict"])
@@ -139,6 +140,20 @@ def _judged(rules: list[Rule], block_globs: list[str], default: str):
     return run
 
 
+#: Words that, between dots or hyphens of a host, tell of a site that sells or streams
+#: what no corpus wants.
+SPAM_WORDS = ("bets", "casino", "jackpot", "payday", "pills", "poker", "porn", "torrents", "viagra", "xxx")
+#: Endings of paths that lead to no text, and parts of paths that lead to forms and lists.
+NO_TEXT = ("7z", "apk", "avi", "bin", "css", "exe", "gif", "gz", "ico", "iso", "jpeg", "jpg", "js", "mov", "mp3", "mp4", "png", "rar", "svg", "tar", "wav", "webp", "woff", "zip")
+NO_PROSE = ("/cart/", "/checkout/", "/login/", "/search/", "/signup/", "/tag/", "/wp-admin/", "/wp-login")
+
+
+def default_globs() -> list[str]:
+    """The method's own rules, over host and path: spam hosts, files without text, forms."""
+    hosts = [f"{before}{word}{after}*" for word in SPAM_WORDS for before in ("", "+.", "+-") for after in ".-"]
+    return [*hosts, *(f"*/*.{end}" for end in NO_TEXT), *(f"*{part}*" for part in NO_PROSE)]
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", block_globs: list[str] | None = None, default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict of the URL.
 
@@ -146,7 +161,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", block_
     host and path) blocks, and what is left gets ``default``.
 
     Nulls: a null URL, or one without ``://``, has an empty host and path, which only
-    globs can match. Repeated rows are judged alike; an empty table stays empty.
+    globs can match. URLs of any length are read to their end. Of rules of equal length
+    the first wins. Repeated rows are judged alike; an empty table stays empty.
     Columns named host, path, rule or verdict are replaced, all others are carried.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from recollect.llm import kd_sharding, mixing
 from recollect.llm.query_urls import RULES
-from recollect.llm.url_filter import Rule, ShiftAnd, host_and_path, judge_urls, parse_glob
+from recollect.llm.url_filter import Rule, ShiftAnd, default_globs, host_and_path, judge_urls, parse_glob
 
 
 def test_urls(spark):
@@ -28,6 +28,17 @@ def test_urls(spark):
     assert {r["verdict"] for r in judge_urls(df, [], block_globs=["*"]).collect()} == {"block"}
 
 
+def test_own_url_rules(spark):
+    blocked = ["http://cheap-pills.example.com/en/1", "http://www.free-bets.net", "http://Casino.example.com/", "https://a.com/x/y.zip", "https://a.com/photo.jpg?x=1", "https://a.com/de/login/now", "https://a.com/wp-login.php", "http://xxx-tube.org/"]
+    allowed = ["http://alphabets.example.com/en/1", "http://pillsbury.com/", "https://a.com/casino.html", "https://a.com/zip", "https://a.com/x.zip/readme", "https://a.zip", "https://a.com/loginhelp", "http://bets", None, ""]
+    df = spark.createDataFrame([(u,) for u in blocked + allowed], "url string")
+    got = judge_urls(df, [], block_globs=default_globs()).collect()
+    assert {r["url"] for r in got if r["verdict"] == "block"} == set(blocked) and len(got) == len(df.collect())
+    kept = judge_urls(df, [Rule("allow", "com"), Rule("block", "com", "/x")], block_globs=default_globs()).collect()
+    assert {r["url"]: r["verdict"] for r in kept}["https://a.com/x/y.zip"] == "block"
+    assert {r["url"]: r["verdict"] for r in kept}["http://cheap-pills.example.com/en/1"] == "allow"
+
+
 @given(st.lists(st.text(alphabet="ab/*+", max_size=8), min_size=1, max_size=30), st.lists(st.text(alphabet="abc/", max_size=12), min_size=1, max_size=20))
 def test_automaton_matches_regular_expressions(globs, urls):
     hits = ShiftAnd([parse_glob(g) for g in globs]).run(urls)
