@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from recollect.llm.shared import stored
 
 BINS, TOLERANCE, PER_BUCKET = 1 << 13, 1e-3, 10_000
+#: Most shards: of each node a few numbers reach the driver and every task, under 10 MB in all.
+MOST = 100_000
 _SCALE = 2**31 - 1
 
 
@@ -44,7 +46,7 @@ def _numbers(df: DataFrame, dims: list[str]) -> list[Column]:
 
 
 def _values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A table of longs, a row for each node of the level; never more rows than shards."""
+    """A table of longs, a row for each node of the level; never more rows than shards, so never more than MOST."""
     listed = ", ".join("(" + ", ".join(f"{int(v)}L" for v in row) + ")" for row in rows)
     return F.broadcast(spark.sql(f"VALUES {listed}").toDF(*names))
 
@@ -115,7 +117,9 @@ def shard_by_kd_tree(docs: DataFrame, n_shards: int | None = 16, target_bytes: i
 
     Nulls: a null text counts as empty; a null in a dimension, or a dimension that is
     not a column, is the least value. Rows alike in id, text and dimensions can't be
-    told apart and stay in one shard. An empty table gives no rows.
+    told apart and stay in one shard; other ties are broken by a hash. Texts of any length
+    are measured whole. An empty table gives no rows; columns named like those that are
+    returned are not carried.
     """
     dims = tuple(d for d in dims if d in docs.columns) or (id_col,)
     numbers = _numbers(docs, list(dims))
@@ -131,6 +135,8 @@ def shard_by_kd_tree(docs: DataFrame, n_shards: int | None = 16, target_bytes: i
     n_rows, total = ranges["rows"], ranges["size"] or 0
     if target_bytes:
         n_shards = max(1, -(-total // target_bytes))
+    if n_shards > MOST:
+        raise ValueError(f"{n_shards} shards are more than {MOST}")
 
     def scaled(i: int) -> Column:
         lo, hi = ranges[f"lo{i}"], ranges[f"hi{i}"]
