@@ -1,7 +1,9 @@
 """The registered queries of this subpackage against their SQL, or against plain Python where there is none."""
 
 import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -9,10 +11,11 @@ import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from recollect.llm import queries
+from recollect.llm import quality, queries
 
 SF = "/root/testdata/sf0.001"
 TOLD = sorted(queries.ORACLE_SQL)
@@ -73,8 +76,8 @@ def test_sharding_query(spark):
 def test_pipeline_stages_of_odd_tables(spark, tmp_path):
     """Null and repeated ids, null texts, an empty table, and columns named like what stages add."""
     rng = random.Random(9)
-    parts = ("river", "house", "walking", "green", "mountain", "people", "story", "under", "over", "morning", "letter", "bridge", "garden", "window")
-    text = " ".join(rng.choice(parts) + rng.choice(["", "", ".", ","]) for _ in range(150))
+    vocabulary = [f"{a}{b}" for a in ("house", "river", "moun", "walk", "green") for b in ("", "s", "tain", "ing", "er", "ly")]
+    text = " ".join(rng.choice(vocabulary) for _ in range(300))
     rows = [(1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "x"), (None, text + " More.", "en", None, 5, "x"), (3, None, None, "b", 0, "x"), (4, "", "en", "b", 0, "x"), (5, "short", "xx", "c", 5, "x")]
     shape = "doc_id long, text string, lang string, source string, n_chars long, kept string"
     for data in (rows, []):
@@ -87,3 +90,38 @@ def test_pipeline_stages_of_odd_tables(spark, tmp_path):
         got = found.collect()
         assert bool(got) == bool(data)
         assert {r["doc_id"] for r in got} <= {1, None}
+
+
+def test_quality_query_measures_and_verdicts(spark):
+    """Fertility of a text's words, and the bands' verdict, written out plainly."""
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {d["doc_id"]: (d["text"] or "", d["lang"]) for d in documents()}
+    rows = queries.QUERIES["op8_quality_rules"](spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for r in rows:
+        text, lang = texts[r["doc_id"]]
+        ids = model.encode(" ".join(re.findall(r"[^\x20\x09-\x0D]+", text)))
+        if not ids:
+            assert r["chars_per_token"] is None and not r["kept"]
+            continue
+        counts = np.array(list(Counter(ids).values())) / len(ids)
+        want = (sum(map(str.isalnum, text)) / len(ids), sum(map(model.IsByte, ids)) / len(ids), float(-(counts * np.log2(counts)).sum()))
+        assert np.allclose((r["chars_per_token"], r["byte_share"], r["token_entropy"]), want)
+        words = text.split()
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        again = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+        failed = len(words) < 50 or 2 * len(again) > len(words)
+        band = quality.BANDS[r["band"]]
+        assert r["band"] == lang or lang not in quality.BANDS
+        inside = band.least_chars <= want[0] <= band.most_chars and want[1] <= band.most_bytes and want[2] >= band.least_entropy
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and inside)
+
+
+def test_bands_fitted_to_a_table(spark):
+    judged = spark.range(4000).selectExpr("if(id % 2 = 0, 'en', 'rare') as band", "false as base_failed", "1.0 + id / 4000 as chars_per_token", "0.0D as byte_share", "5.0D + id / 4000 as token_entropy").where("band = 'en' or chars_per_token < 1.1")
+    bands = quality.fitted_bands(judged, tail=0.01, margin=0.1)
+    assert bands.keys() == quality.BANDS.keys(), "too few rows of the other"
+    en = bands["en"]
+    assert en.least_chars == pytest.approx(0.9 * 1.01, abs=0.002) and en.most_chars == pytest.approx(1.1 * 1.99, abs=0.002)
+    assert en.least_entropy == pytest.approx(0.9 * 5.01, abs=0.002) and en.most_bytes == pytest.approx(0.01)
+    assert quality.fitted_bands(judged.where("false")) == quality.BANDS
