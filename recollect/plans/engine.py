@@ -60,6 +60,7 @@ class Memory:
     def __init__(self, spark: SparkSession, root: str, model: Model | None = None, now: str | None = None):
         self.spark, self.path, self.model = spark, f"{root.rstrip('/')}/log", model or Offline()
         self.views_path = f"{root.rstrip('/')}/views"
+        self._derived: tuple[int | None, State] | None = None
         # The time is fixed once, so that all of a command's steps agree on it.
         self.now = F.lit(now or spark.sql("select current_timestamp()").first()[0]).cast("timestamp")
 
@@ -166,7 +167,13 @@ class Memory:
         return self._one("focus", "user", {"folder": folder, "target": target, "action": action}, json.dumps([folder, target, action, last]))
 
     def state(self) -> State:
-        """Everything derived from the log."""
+        """Everything derived from the log; made anew only where the log has grown."""
+        last = self.log().agg(F.max("seq")).first()[0]
+        if self._derived is None or self._derived[0] != last:
+            self._derived = last, self._derive()
+        return self._derived[1]
+
+    def _derive(self) -> State:
         entries = kept(self.entries())
         sources = entries.where("kind = 'source'").select("seq", "created", "p.text", "p.label", "p.happened", F.col("p.kind").alias("source_kind"))
         chunks = kept(with_text(self.model.chunks(sources), sources))
@@ -191,6 +198,8 @@ class Memory:
     def _patched(base: DataFrame, edits: DataFrame) -> DataFrame:
         """Observations after their edits; each round follows what superseding edits made in the round before."""
         level, out = base.withColumn("sources", F.lit(1).cast("long")), None
+        if edits.isEmpty():
+            return level.withColumn("replaced_by", F.lit(None).cast("string"))
         while True:
             own = edits.join(level.select("id"), "id", "left_semi")
             changes = level.select("id", "seq", F.lit(None).cast("long").alias("stamp")).union(own.select("id", "seq", "stamp"))
@@ -222,7 +231,9 @@ class Memory:
         edges = born.join(last, "page", "left").select(F.col("page").alias("node"), F.when(F.col("parent") != "root", F.col("parent")).alias("parent"))
         merges = taken.where("merge_into is not null").groupBy(F.col("page").alias("node")).agg(F.max_by("merge_into", "seq").alias("parent"))
         names = born.select("page", F.col("page").alias("name"))
-        moved, parents, named = fold.merged_pages(links.select("id", "page"), edges, names, merges)
+        moved, parents, named = links.select("id", "page").distinct(), edges, names
+        if not merges.isEmpty():
+            moved, parents, named = fold.merged_pages(moved, edges, names, merges)
         moved, parents = kept(moved.select("id", "page")), kept(parents)
         changed = moved.join(full.select("id", "seq"), "id").groupBy("page").agg(F.max("seq").alias("seq"))
         pages = changed.join(last.select("page", "line", "edited"), "page", "left").join(parents.withColumnRenamed("node", "page"), "page", "left")
