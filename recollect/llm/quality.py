@@ -1,12 +1,12 @@
 """Quality rules with tokeniser fertility.
 
 Besides simple counts of words, symbols, repeated lines and repeated three-word
-windows, each text is measured with a public vocabulary: letters and digits for each
+windows, each text is measured with a public vocabulary: characters of its words for each
 token, the share of tokens that are fallback bytes, and the entropy of the tokens in
-bits. Marks and symbols cost tokens and add no characters, so texts full of them fall
-short just as texts that the vocabulary does not know.
+bits. A further measure beside these counts letters and digits alone for each token, of
+which texts full of marks and symbols have few.
 A language, or where that is unknown the text's main script, has bands for the
-three, Latin with many marks its own since marks cost tokens; a text outside its bands
+four, Latin with many marks its own since marks cost tokens; a text outside its bands
 is rejected. The vocabulary is read by every worker from ``vocabulary``; words are
 encoded once while they are remembered.
 
@@ -36,26 +36,27 @@ MARKED = 10
 
 @dataclass(frozen=True)
 class Band:
-    """Least and most letters and digits a token, most share of bytes, least entropy in bits."""
+    """Least and most characters a token, most share of bytes, least entropy in bits, least letters and digits a token."""
 
     least_chars: float
     most_chars: float
     most_bytes: float
     least_entropy: float
+    least_letters: float
 
 
 BANDS = {
-    "en": Band(1.65, 6.5, 0.2, 4.0),
-    "de": Band(1.85, 6.5, 0.2, 4.0),
-    "fr": Band(1.5, 6.5, 0.2, 4.0),
-    "es": Band(1.65, 6.5, 0.2, 4.0),
-    "Latin": Band(1.3, 7.0, 0.3, 4.0),
-    "marked Latin": Band(0.65, 7.0, 0.3, 4.0),
-    "Greek": Band(0.6, 4.0, 0.6, 4.0),
-    "Cyrillic": Band(0.8, 5.0, 0.4, 4.0),
-    "Arabic": Band(0.5, 4.0, 0.6, 4.0),
-    "Han": Band(0.3, 2.0, 0.9, 4.0),
-    "other": Band(0.2, 8.0, 1.0, 3.0),
+    "en": Band(1.8, 6.5, 0.2, 4.0, 1.65),
+    "de": Band(1.84, 6.5, 0.2, 4.0, 1.85),
+    "fr": Band(1.51, 6.5, 0.2, 4.0, 1.5),
+    "es": Band(1.62, 6.5, 0.2, 4.0, 1.65),
+    "Latin": Band(1.3, 7.0, 0.3, 4.0, 1.3),
+    "marked Latin": Band(0.65, 7.0, 0.3, 4.0, 0.65),
+    "Greek": Band(0.6, 4.0, 0.6, 4.0, 0.6),
+    "Cyrillic": Band(0.8, 5.0, 0.4, 4.0, 0.8),
+    "Arabic": Band(0.5, 4.0, 0.6, 4.0, 0.5),
+    "Han": Band(0.3, 2.0, 0.9, 4.0, 0.3),
+    "other": Band(0.2, 8.0, 1.0, 3.0, 0.2),
 }
 #: First and last code points of the scripts' blocks; letters outside them are of another script.
 SCRIPTS = {
@@ -115,23 +116,23 @@ def repeated_words(places: np.ndarray) -> int:
 
 
 def measures(texts: pa.Array, table: WordTable, is_byte: np.ndarray) -> Iterator[tuple[bytes, tuple]]:
-    """Each text with its n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars a token, byte share and entropy."""
+    """Each text with its n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars a token, byte share, entropy and letters a token."""
     for _, run in chunks(texts):
         words = table.words(run)
         for i, text in enumerate(run.cast(pa.large_binary()).to_pylist()):
             places, ids = words.places_of(i), words.ids_of(i)
             n_symbols = len(text) - len(text.translate(None, SYMBOLS))
             if not len(places):
-                yield text, (0, 0, n_symbols, 0, 0, None, None, None)
+                yield text, (0, 0, n_symbols, 0, 0, None, None, None, None)
                 continue
             lines = [x for x in text.split(b"\n") if x.strip()]
             base = (len(places), int(table.points[places].sum()), n_symbols, len(lines) - len(set(lines)), repeated_words(places))
             if not len(ids):
-                yield text, (*base, None, None, None)
+                yield text, (*base, None, None, None, None)
                 continue
             _, counts = np.unique(ids, return_counts=True)
             share = counts / len(ids)
-            yield text, (*base, int(table.letters[places].sum()) / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum())))
+            yield text, (*base, base[1] / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum())), int(table.letters[places].sum()) / len(ids))
 
 
 def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int | None, carried: int):
@@ -152,9 +153,11 @@ def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int
                         reason = "byte_share"
                     elif m[7] < band.least_entropy:
                         reason = "token_entropy"
+                    elif m[8] < band.least_letters:
+                        reason = "letters_per_token"
                 rows.append((*m, failed, not failed and reason is None, name, reason))
             columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2 + [pa.string()] * 2
+            kinds = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.bool_()] * 2 + [pa.string()] * 2
             out = [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *out], names=[*batch.schema.names[:carried], *NAMES])
 
@@ -169,15 +172,15 @@ def fitted_bands(judged: DataFrame, tail: float = 0.001, margin: float = 0.1, le
     rows; languages and scripts of fewer than ``least`` rows keep the band they have.
     """
     passed = judged.where("not base_failed and chars_per_token is not null")
-    cuts = [F.percentile_approx(c, F.array(F.lit(tail), F.lit(1 - tail)), 100_000).alias(c) for c in ("chars_per_token", "byte_share", "token_entropy")]
+    cuts = [F.percentile_approx(c, F.array(F.lit(tail), F.lit(1 - tail)), 100_000).alias(c) for c in ("chars_per_token", "byte_share", "token_entropy", "letters_per_token")]
     # A row for each band, so a dozen or so.
     rows = passed.groupBy("band").agg(F.count("*").alias("n"), *cuts).where(F.col("n") >= least).collect()
     less, more = 1 - margin, 1 + margin
-    return BANDS | {r["band"]: Band(less * r["chars_per_token"][0], more * r["chars_per_token"][1], min(1.0, more * r["byte_share"][1] + 0.01), less * r["token_entropy"][0]) for r in rows}
+    return BANDS | {r["band"]: Band(less * r["chars_per_token"][0], more * r["chars_per_token"][1], min(1.0, more * r["byte_share"][1] + 0.01), less * r["token_entropy"][0], less * r["letters_per_token"][0]) for r in rows}
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_per_token", "byte_share", "token_entropy", "base_failed", "kept", "band", "reason"]
-_KINDS = [T.LongType()] * 5 + [T.DoubleType()] * 3 + [T.BooleanType()] * 2 + [T.StringType()] * 2
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_per_token", "byte_share", "token_entropy", "letters_per_token", "base_failed", "kept", "band", "reason"]
+_KINDS = [T.LongType()] * 5 + [T.DoubleType()] * 4 + [T.BooleanType()] * 2 + [T.StringType()] * 2
 
 
 def quality(docs: DataFrame, vocabulary: str, carry: list[str], text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, Band] | None = None) -> DataFrame:
@@ -187,7 +190,7 @@ def quality(docs: DataFrame, vocabulary: str, carry: list[str], text_col: str =
     of them in repeated windows. kept: not base_failed and inside the bands of the
     language or script; reason names the first band missed.
 
-    Nulls: a null or empty text has no words and fails; without tokens the three
+    Nulls: a null or empty text has no words and fails; without tokens the
     fertility measures are null. A null or unknown language falls back to the script; of
     scripts with equally many letters the first of ``SCRIPTS`` counts. Texts of any length
     are measured whole. Carried columns that bear a measure's name are dropped. Repeated

@@ -105,20 +105,20 @@ def test_quality_query_measures_and_verdicts(spark):
             assert r["chars_per_token"] is None and not r["kept"]
             continue
         counts = np.array(list(Counter(ids).values())) / len(ids)
-        want = (sum(map(str.isalnum, text)) / len(ids), sum(map(model.IsByte, ids)) / len(ids), float(-(counts * np.log2(counts)).sum()))
-        assert np.allclose((r["chars_per_token"], r["byte_share"], r["token_entropy"]), want)
+        want = (sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", text))) / len(ids), sum(map(model.IsByte, ids)) / len(ids), float(-(counts * np.log2(counts)).sum()), sum(map(str.isalnum, text)) / len(ids))
+        assert np.allclose((r["chars_per_token"], r["byte_share"], r["token_entropy"], r["letters_per_token"]), want)
         words = text.split()
         windows = Counter(zip(words, words[1:], words[2:], strict=False))
         again = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
         failed = len(words) < 50 or 2 * len(again) > len(words)
         band = quality.BANDS[r["band"]]
         assert r["band"] == lang or lang not in quality.BANDS
-        inside = band.least_chars <= want[0] <= band.most_chars and want[1] <= band.most_bytes and want[2] >= band.least_entropy
+        inside = band.least_chars <= want[0] <= band.most_chars and want[1] <= band.most_bytes and want[2] >= band.least_entropy and want[3] >= band.least_letters
         assert (r["base_failed"], r["kept"]) == (failed, not failed and inside)
 
 
 def test_bands_fitted_to_a_table(spark):
-    judged = spark.range(4000).selectExpr("if(id % 2 = 0, 'en', 'rare') as band", "false as base_failed", "1.0 + id / 4000 as chars_per_token", "0.0D as byte_share", "5.0D + id / 4000 as token_entropy").where("band = 'en' or chars_per_token < 1.1")
+    judged = spark.range(4000).selectExpr("if(id % 2 = 0, 'en', 'rare') as band", "false as base_failed", "1.0 + id / 4000 as chars_per_token", "0.0D as byte_share", "5.0D + id / 4000 as token_entropy", "1.0D as letters_per_token").where("band = 'en' or chars_per_token < 1.1")
     bands = quality.fitted_bands(judged, tail=0.01, margin=0.1)
     assert bands.keys() == quality.BANDS.keys(), "too few rows of the other"
     en = bands["en"]
