@@ -180,6 +180,19 @@ def _placed(index: MultiIndex):
     return run
 
 
+def _visited(visits: pa.ListArray, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Of each pair of a row and a cell whether the cell is in the row's list."""
+    asked = np.unique(rows)
+    lists = visits.take(pa.array(asked))
+    held = lists.flatten().to_numpy()
+    known, place = np.unique(held, return_inverse=True)
+    pairs = np.repeat(np.arange(len(asked)), np.asarray(lists.value_lengths())) * len(known) + place
+    at = np.minimum(np.searchsorted(known, cells), max(len(known) - 1, 0))
+    if not len(known):
+        return np.zeros(len(rows), bool)
+    return (known[at] == cells) & np.isin(np.searchsorted(asked, rows) * len(known) + at, pairs)
+
+
 def _joined(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = pa.Table.from_batches(list(batches))
@@ -190,9 +203,7 @@ def _joined(least: float):
         rows, cols = np.nonzero(units[q] @ units[m].T >= least)
         left, right = q[rows], m[cols]
         # A pair that meets in both directions counts where the smaller one asks.
-        visits = data["visits"].to_pylist()
-        seen = {int(j): set(visits[j]) for j in np.unique(right)}
-        both = np.fromiter((int(homes[i]) in seen[int(j)] for i, j in zip(left, right, strict=True)), bool, len(left))
+        both = _visited(data["visits"].combine_chunks(), right, homes[left])
         counts = (ids[left] != ids[right]) & (~both | (ids[left] < ids[right]))
         left, right = ids[left[counts]], ids[right[counts]]
         size = dict(zip(ids.tolist(), copies.tolist(), strict=True))
