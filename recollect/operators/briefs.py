@@ -5,6 +5,8 @@ Spark ranks; rows stream to the driver, best first, until nothing more can fit.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,14 @@ def directory(rows: DataFrame, links: DataFrame, edges: DataFrame, covered: list
         marked = marked.join(on_opened, "id", "left").withColumn("covered", F.col("covered") | F.coalesce("opened", F.lit(False)))
     rolled = links.join(marked.select("id", "rank", "covered"), "id").join(tops, "page").groupBy("subject")
     rolled = rolled.agg(F.countDistinct("id").alias("n"), F.max("rank").alias("best"), F.bool_or("covered").alias("covered"))
+    line = F.concat(F.lit("- "), F.col("subject"), F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"))
+    told = rolled.where(f"not covered and n >= {SUBJECT}").select("subject", "best", line.alias("line")).withColumn("size", token_estimate(F.col("line")))
+    # Of lines of equal size the n-th fits only after those before it, so the others stay in Spark.
+    place = F.row_number().over(Window.partitionBy("size").orderBy(F.desc("best"), "subject"))
     text, used = "", 0
-    # Subjects that could fit: each takes a few tokens at least.
-    for r in rolled.where(f"not covered and n >= {SUBJECT}").orderBy(F.desc("best"), "subject").limit(budget + 1).collect():
-        line = f"- {r['subject']} ({r['n']})\n"
-        if used + estimate(line) + (estimate("\n## More\n") if not text else 0) <= budget:
-            text, used = (text or "\n## More\n") + line, used + estimate(line)
+    for r in told.where(F.col("size") <= budget).withColumn("m", place).where(F.col("m") * F.col("size") <= budget).orderBy(F.desc("best"), "subject").collect():
+        if used + r["size"] + (estimate("\n## More\n") if not text else 0) <= budget:
+            text, used = (text or "\n## More\n") + r["line"], used + r["size"]
     return text
 
 
@@ -120,22 +124,51 @@ def brief(rows: DataFrame, links: DataFrame, pages: DataFrame, title: str, budge
     return work.render(tail, parents, left, n_pages)
 
 
-def since(observations: DataFrame, pages: DataFrame, seq: int, budget: int) -> tuple[list[str], int]:
-    """Changes after ``seq`` in the log's order, first fit, and where to go on from.
+@dataclass
+class Changes:
+    """Lines that tell of changes, their tokens, where to go on from, and what did not fit: the first ids and how many."""
+
+    lines: list[str]
+    tokens: int
+    upto: int
+    left: list[str]
+    n_left: int
+
+
+def changes(observations: DataFrame, pages: DataFrame, seq: int, budget: int, last: int | None = None) -> Changes:
+    """Changes after ``seq`` in the log's order, first fit.
 
-    ``observations`` has id, line and seq, ``pages`` page, line and seq. If something did
-    not fit, the place to go on from is before it.
+    ``observations`` has id, line and seq and may have replaced_by and forgotten, which
+    are told; ``pages`` has page, line and seq. One goes on from before the first change
+    that did not fit, else from ``last``, the last that is told unless given. Every change
+    is tried: those too long for the whole budget are only counted, by Spark, the others
+    stream until not even the shortest fits.
     """
-    changes = observations.select("id", "line", "seq").union(pages.select("page", "line", "seq")).where(F.col("seq") > seq)
-    shown, used, upto, skipped = [], 0, seq, None
-    for r in changes.orderBy("seq", "id").limit(4 * budget).collect():
-        text = f"- {r['id']} {r['line']}\n"
-        if used + estimate(text) <= budget:
-            shown, used = [*shown, text], used + estimate(text)
-            upto = max(upto, r["seq"])
-        elif skipped is None:
-            skipped = r["seq"]
-    return shown, upto if skipped is None else min(upto, max(seq, skipped - 1))
+    marks = [F.concat(F.lit(text), value) if value is not None else F.lit(text) for text, value in ((" → ", F.col("replaced_by")), (" (forgotten)", None))]
+    gone = [F.when(F.col(c).isNotNull(), mark) for c, mark in zip(("replaced_by", "forgotten"), marks, strict=True) if c in observations.columns]
+    tail = F.concat(*(F.coalesce(x, F.lit("")) for x in gone)) if gone else F.lit("")
+    line = lambda name, mark: F.concat(F.lit("- "), F.col(name), mark, F.coalesce(F.concat(F.lit(" "), F.col("line")), F.lit("")), F.lit("\n"))
+    told = observations.select("id", "seq", line("id", tail).alias("text")).union(pages.select("page", "seq", line("page", F.lit("")).alias("text")))
+    rows = kept(told.where(F.col("seq") > seq).withColumn("size", token_estimate(F.col("text"))))
+    least, n = rows.where(F.col("size") <= budget).agg(F.min("size"), F.count("*")).first()
+    lines, ids, used, upto = [], [], 0, seq
+    for r in rows.where(F.col("size") <= budget).orderBy("seq", "id").toLocalIterator() if n else ():
+        if used + least > budget:
+            break
+        if used + r["size"] <= budget:
+            lines, ids, used, upto = [*lines, r["text"]], [*ids, (r["seq"], r["id"])], used + r["size"], max(upto, r["seq"])
+    shown = rows.sparkSession.createDataFrame(ids, "seq long, id string")
+    rest = rows.join(F.broadcast(shown), ["seq", "id"], "left_anti")
+    n_left, first = rest.agg(F.count("*"), F.min("seq")).first()
+    left = [r["id"] for r in rest.orderBy("seq", "id").limit(NEXT_CAP).collect()]
+    upto = upto if last is None else max(upto, last)
+    return Changes(lines, used, upto if first is None else min(upto, max(seq, first - 1)), left, n_left)
+
+
+def since(observations: DataFrame, pages: DataFrame, seq: int, budget: int) -> tuple[list[str], int]:
+    """The lines of ``changes`` and where to go on from."""
+    told = changes(observations, pages, seq, budget)
+    return told.lines, told.upto
 
 
 # Tokens of the timeline's parts.

@@ -1,29 +1,42 @@
 """Packing ranked rows into token budgets.
 
 These are sequential by nature: whether a row fits depends on all before it. Each
-group's rows are folded in order inside one aggregate, so groups are independent and
-a group has to fit a task; callers limit what they pack by rank first.
+group's rows stream in order past a few numbers of state, so groups are independent and
+one may be of any length.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _folded(df: DataFrame, group: list[str], order: list[Column], size: str, start: Column, step) -> DataFrame:
-    """Rows of each group, in order, with what the running state says of each."""
-    rest = [c for c in df.columns if c not in group]
-    items = F.array_sort(F.collect_list(F.struct(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("key"), F.struct(*rest).alias("row"))))
-    grouped = df.groupBy(*group).agg(items.alias("items"))
-    sizes = F.transform("items", lambda x: x["row"][size].cast("long"))
-    walked = F.aggregate(sizes, F.struct(start.alias("state"), F.array().cast("array<long>").alias("out")), step, lambda s: s["out"])
-    placed = grouped.select(*group, F.explode(F.arrays_zip(F.col("items").alias("items"), walked.alias("out"))).alias("z"))
-    return placed.select(*group, "z.items.row.*", F.col("z.out").alias("__out"))
+def _streamed(df: DataFrame, group: list[str], order: list[Column], size: str, name: str, start: Callable[[], Callable[[int], int | None]]) -> DataFrame:
+    """``df`` with ``name``: what the function that ``start`` makes for each group says of its rows' sizes, in order.
+
+    A null size counts as nothing.
+    """
+    rows = df.select(*group, *(c for c in df.columns if c not in group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, say = None, None
+        for batch in batches:
+            out = []
+            for now, n in zip(zip(*(batch[c].to_pylist() for c in group), strict=True), batch["__size"].to_pylist(), strict=True):
+                if say is None or now != key:
+                    key, say = now, start()
+                out.append(say(n or 0))
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.int64())], names=[*batch.schema.names[:-1], name])
+
+    dealt = rows.withColumn("__size", F.col(size).cast("long")).repartition(*group).sortWithinPartitions(*group, *order)
+    return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def windows(df: DataFrame, group: list[str], order: list[Column], size: str, limit: int) -> DataFrame:
@@ -32,15 +45,20 @@ def windows(df: DataFrame, group: list[str], order: list[Column], size: str, lim
     A row larger than the limit has a window of its own. Windows count from 0.
     """
 
-    def step(s: Column, n: Column) -> Column:
-        opens = (s["state"]["used"] > 0) & (s["state"]["used"] + n > limit)
-        number = F.when(opens, s["state"]["number"] + 1).otherwise(s["state"]["number"])
-        used = F.when(opens, n).otherwise(s["state"]["used"] + n)
-        state = F.struct(number.cast("long").alias("number"), used.cast("long").alias("used"))
-        return F.struct(state.alias("state"), F.concat(s["out"], F.array(number.cast("long"))).alias("out"))
+    def start() -> Callable[[int], int]:
+        number = used = 0
+
+        def say(n: int) -> int:
+            nonlocal number, used
+            if used > 0 and used + n > limit:
+                number, used = number + 1, n
+            else:
+                used += n
+            return number
 
-    start = F.struct(F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("used"))
-    return _folded(df, group, order, size, start, step).withColumnRenamed("__out", "window")
+        return say
+
+    return _streamed(df, group, order, size, "window", start)
 
 
 def first_fit(df: DataFrame, group: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
@@ -49,12 +67,19 @@ def first_fit(df: DataFrame, group: list[str], order: list[Column], size: str, b
     A row that does not fit is skipped and later ones still tried.
     """
 
-    def step(s: Column, n: Column) -> Column:
-        fits = s["state"] + n <= budget
-        state = F.when(fits, s["state"] + n).otherwise(s["state"])
-        return F.struct(state.alias("state"), F.concat(s["out"], F.array(F.when(fits, state))).alias("out"))
+    def start() -> Callable[[int], int | None]:
+        used = 0
+
+        def say(n: int) -> int | None:
+            nonlocal used
+            if used + n > budget:
+                return None
+            used += n
+            return used
+
+        return say
 
-    return _folded(df, group, order, size, F.lit(0).cast("long"), step).withColumnRenamed("__out", "used")
+    return _streamed(df, group, order, size, "used", start)
 
 
 # Shares of a brief's budget, the decay of a page's further lines, the

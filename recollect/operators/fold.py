@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from recollect.functions.text import normalized
 from recollect.operators.graph import ancestors, final_of, on_cycles
-from recollect.operators.tables import kept
+from recollect.operators.tables import kept, numbered
 
 MAX_ATTEMPTS = 3
 
@@ -160,6 +160,30 @@ def overtaking(entries: DataFrame, refs: DataFrame, known: DataFrame) -> DataFra
     return marked.withColumn("phase", F.when(ready, 0).otherwise(1)).select(*entries.columns, "phase")
 
 
+def dependency_order(entries: DataFrame, refs: DataFrame, makes: DataFrame, known: DataFrame) -> DataFrame:
+    """``entries`` (seq, kind) with phase and turn, by which, and then by seq, they are folded; null while something they name is missing.
+
+    Sources are folded in the log's order, the n-th opening phase n. Any other entry goes
+    ahead of all that wait as soon as the ids it names (``refs``: seq, ref) are ``known``
+    (id) or made (``makes``: seq, id) by what was folded before: in the phase in which the
+    last of them comes to be, a turn after the entry that makes it. Each round places what
+    the round before unblocked, so there are as many as the longest chain has entries.
+    """
+    named = kept(refs.select("seq", F.col("ref").alias("id")).distinct().join(known.select("id").distinct(), "id", "left_anti"))
+    sources = numbered(entries.where("kind = 'source'").select("seq"), "phase", "seq").select("seq", F.col("phase").cast("long").alias("phase"), F.lit(0).alias("turn"))
+    others = entries.where("kind != 'source'").select("seq")
+    free = others.join(named.select("seq").distinct(), "seq", "left_anti").select("seq", F.lit(0).cast("long").alias("phase"), F.lit(1).alias("turn"))
+    placed = kept(sources.union(free))
+    waiting = named.join(others, "seq", "left_semi")
+    while True:
+        there = placed.join(makes.select("seq", "id"), "seq").groupBy("id").agg(F.min(F.struct("phase", "turn")).alias("at"))
+        met = waiting.join(placed.select("seq"), "seq", "left_anti").join(there, "id", "left").groupBy("seq").agg(F.bool_and(F.col("at").isNotNull()).alias("whole"), F.max("at").alias("at"))
+        new = kept(met.where("whole").select("seq", "at.phase", (F.col("at.turn") + 1).cast("int").alias("turn")))
+        if new.isEmpty():
+            return entries.join(placed, "seq", "left")
+        placed = kept(placed.union(new))
+
+
 def earlier_digests(entries: DataFrame) -> DataFrame:
     """(session, seq, n_earlier, earlier_md5) of ``entries`` (session, seq, digest).
 

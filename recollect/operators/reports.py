@@ -47,26 +47,34 @@ def present(happened: str, created: str, now: Column) -> Column:
 def page_inbound(links: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(page, observations, inbound) of links (id, page): the other pages that share an observation.
 
-    Observations on at most ``crowd`` pages give their pairs of pages. The pages of a
-    larger one are a bitmap over numbered pages, and each of them takes the union of its
-    observations' bitmaps, so its pairs are never made.
+    Observations on at most ``crowd`` pages give their pairs of pages. Those on more are
+    crowded: pages of the same set of them reach the same pages, so the union is made once
+    for each set, of bitmaps over numbered pages, and for a set of one not even that. A
+    page reached through a pair counts beside its set unless it shares a crowded
+    observation too.
     """
-    links = links.select("id", "page").distinct()
+    links = kept(links.select("id", "page").distinct())
     counts = links.groupBy("page").agg(F.count("*").alias("observations"))
-    links = kept(links.join(numbered(counts, "n", "page"), "page").select("id", "page", "n"))
-    sized = links.join(links.groupBy("id").agg(F.count("*").alias("size")), "id")
-    few, many = sized.where(F.col("size") <= crowd), sized.where(F.col("size") > crowd)
-    pairs = few.select("id", "page").join(few.select("id", F.col("page").alias("other"), "n"), "id").where("page != other").select("page", "other", "n").distinct()
-    bucket, bit = F.bitmap_bucket_number("n").alias("bucket"), F.bitmap_construct_agg(F.bitmap_bit_position("n"))
-    sets = many.groupBy("id", bucket).agg(bit.alias("pages"))
-    shared = many.select("id", "page").join(sets, "id").groupBy("page", "bucket").agg(F.bitmap_or_agg("pages").alias("pages"))
-    crowded = kept(shared)
-    alone = pairs.join(crowded.select("page").distinct(), "page", "left_anti").groupBy("page").agg(F.count("*").alias("inbound"))
-    beside = pairs.join(crowded.select("page").distinct(), "page", "left_semi").groupBy("page", bucket).agg(bit.alias("pages"))
-    both = crowded.union(beside).groupBy("page", "bucket").agg(F.bitmap_or_agg("pages").alias("pages"))
-    # A page is in its own observations' bitmaps.
-    inbound = alone.union(both.groupBy("page").agg((F.sum(F.bitmap_count("pages")) - 1).alias("inbound")))
-    return counts.join(inbound, "page", "left").select("page", "observations", F.coalesce("inbound", F.lit(0)).alias("inbound"))
+    sizes = kept(links.groupBy("id").agg(F.count("*").alias("size")))
+    few = links.join(sizes.where((F.col("size") > 1) & (F.col("size") <= crowd)).select("id"), "id", "left_semi")
+    pairs = few.select("id", "page").join(few.select("id", F.col("page").alias("other")), "id").where("page != other").select("page", "other").distinct()
+    crowded = sizes.where(F.col("size") > crowd)
+    if crowded.isEmpty():
+        inbound = pairs.groupBy("page").agg(F.count("*").alias("inbound"))
+        return counts.join(inbound, "page", "left").select("page", "observations", F.coalesce("inbound", F.lit(0)).alias("inbound"))
+    many = kept(links.join(crowded, "id"))
+    sets = kept(many.groupBy("page").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.max("size").alias("size")))
+    several = kept(sets.where(F.size("ids") > 1).select("ids").distinct().withColumn("set", F.monotonically_increasing_id()))
+    places = numbered(sets.join(several, "ids", "left_semi").select("page").union(many.join(several.select(F.explode("ids").alias("id")).distinct(), "id", "left_semi").select("page")).distinct(), "n", "page")
+    bitmaps = many.join(places, "page").groupBy("id", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("pages"))
+    unions = several.select("set", F.explode("ids").alias("id")).join(bitmaps, "id").groupBy("set", "bucket").agg(F.bitmap_or_agg("pages").alias("pages"))
+    reached = several.join(unions.groupBy("set").agg(F.sum(F.bitmap_count("pages")).alias("reached")), "set").select("ids", "reached")
+    # A page is among those that its own set reaches.
+    through = sets.join(reached, "ids", "left").select("page", (F.coalesce("reached", "size") - 1).alias("through"))
+    both = pairs.join(sets.select("page", "ids"), "page", "left").join(sets.select(F.col("page").alias("other"), F.col("ids").alias("others")), "other", "left")
+    beside = both.where(~F.coalesce(F.arrays_overlap("ids", "others"), F.lit(False))).groupBy("page").agg(F.count("*").alias("beside"))
+    found = counts.join(through, "page", "left").join(beside, "page", "left")
+    return found.select("page", "observations", (F.coalesce("through", F.lit(0)) + F.coalesce("beside", F.lit(0))).alias("inbound"))
 
 
 def page_of(df: DataFrame, order: list[Column], limit: int = DEFAULT_PAGE, offset: int = 0) -> DataFrame:

@@ -51,13 +51,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, scope:
 
     ``queries`` has query_id and vector, ``vectors`` id and vector, both further the
     columns ``scope``, in which a query and its hits agree. Vectors that are null or
-    zero, or of another length than the query, are no hits. Queries meet vectors in
+    zero, hold a null, NaN or infinite number, or have another length than the query, are no hits. Queries meet vectors in
     blocks of ``BLOCK``, each task keeps its k best, and the best of those are ranked.
     """
     scope = scope or []
 
     def valid(df: DataFrame) -> DataFrame:
-        return df.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull()))
+        return df.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
 
     sides = [valid(queries.select(*scope, F.col("query_id").alias("id"), "vector")), valid(vectors.select(*scope, "id", "vector"))]
     sides = [x.withColumn("dim", F.size("vector")) for x in sides]

@@ -42,11 +42,12 @@ def cover(days: DataFrame, built: DataFrame, before: Column) -> DataFrame:
     """(period): the coarsest built periods that tell of the days before ``before``.
 
     Up to a year for years before the last, a month before the previous month, a week
-    before last week's start, else the day.
+    before the week, of a month, that comes before the one of ``before``, else the day.
     """
     day = F.col("day")
     month = F.trunc(before, "month")
-    last_week = F.date_sub(F.trunc(before, "week"), 7)
+    week_start = lambda x: period_bounds(period_ids(x)["week"])[0]
+    last_week = week_start(F.date_sub(week_start(before), 1))
     allowed = F.when(F.year(day) < F.year(before) - 1, 3).when(day < F.add_months(month, -1), 2).when(day < last_week, 1).otherwise(0)
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level")) - 1
     spread = periods_of(days.where(day < before).select("day", allowed.alias("allowed")), "day").withColumn("rank", rank).where("rank <= allowed")

@@ -107,11 +107,13 @@ SELECT period FROM b WHERE stop < DATE '{TODAY}' AND period NOT IN (SELECT perio
   AND NOT EXISTS (SELECT 1 FROM e WHERE event_type = 'error' AND reach > 0.45 AND e.day BETWEEN b.start AND b.stop)
   AND NOT EXISTS (SELECT 1 FROM b c WHERE c.parent = b.period AND c.period NOT IN (SELECT period FROM built))""",
     "timeline_cover": f"""WITH {_ORDERS}, {_spread('(SELECT DISTINCT day FROM o)')},
+w AS (SELECT CAST(date_trunc('month', DATE '{BEFORE}') AS DATE) + CAST(7 * ({_WEEK.format(d=f"DATE '{BEFORE}'")} - 1) AS INTEGER) - 1 AS before_week),
+weeks AS (SELECT CAST(date_trunc('month', before_week) AS DATE) + CAST(7 * ({_WEEK.format(d="before_week")} - 1) AS INTEGER) AS last_week FROM w),
 ok AS (
   SELECT day, p.period AS period, CASE p.level WHEN 'day' THEN 0 WHEN 'week' THEN 1 WHEN 'month' THEN 2 ELSE 3 END AS rank,
     CASE WHEN year(day) < year(DATE '{BEFORE}') - 1 THEN 3 WHEN day < date_trunc('month', DATE '{BEFORE}') - INTERVAL 1 MONTH THEN 2
-         WHEN day < date_trunc('week', DATE '{BEFORE}') - INTERVAL 7 DAY THEN 1 ELSE 0 END AS allowed
-  FROM spread WHERE day < DATE '{BEFORE}'
+         WHEN day < last_week THEN 1 ELSE 0 END AS allowed
+  FROM spread, weeks WHERE day < DATE '{BEFORE}'
 )
 SELECT DISTINCT arg_max(period, rank) AS period FROM ok
 WHERE rank <= allowed AND NOT regexp_matches(period, '^month:.*[13579]$') AND NOT regexp_matches(period, '^week:.*-3$') GROUP BY day""",

@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import fold, reports, retrieval, tables
+from recollect.operators import budget, fold, reports, retrieval, tables
 from recollect.plans.engine import Memory
 from recollect.sources import sessions
 from recollect.sources.routing import longest_prefix
@@ -106,3 +106,24 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="checkpoint"):
         tables.shared_folder(Elsewhere)
+
+
+def test_one_observation_on_very_many_pages(spark):
+    links = spark.range(200_000).selectExpr("1L as id", "concat('p', id) as page").union(spark.range(3).selectExpr("2L as id", "concat('p', id) as page")).union(spark.sql("select 2L, 'alone'"))
+    got = {r["page"]: (r["observations"], r["inbound"]) for r in reports.page_inbound(links).where("page in ('p0', 'p7', 'alone')").collect()}
+    assert got == {"p0": (2, 200_000), "p7": (1, 199_999), "alone": (1, 3)}
+
+
+def test_windows_of_one_large_group(spark):
+    df = spark.range(1_000_000).selectExpr("'g' as g", "id", "id % 7 as n", "map('k', id) as extra")
+    rows = budget.windows(df, ["g"], [F.col("id")], "n", 100)
+    assert rows.columns == ["g", "id", "n", "extra", "window"]
+    window, used, want = 0, 0, {}
+    for i in range(1_000_000):
+        n = i % 7
+        window, used = (window + 1, n) if used > 0 and used + n > 100 else (window, used + n)
+        if i % 99_991 == 0:
+            want[i] = window
+    assert {r["id"]: r["window"] for r in rows.where("id % 99991 = 0").collect()} == want
+    fit = budget.first_fit(df.where("id < 50").union(spark.sql("select null, 99L, 3L, map('k', 1L)")), ["g"], [F.col("id")], "n", 10).orderBy("g", "id").collect()
+    assert [r["used"] for r in fit if r["used"] is not None] == [3, 0, 1, 3, 6, 10, *[10] * 7]
