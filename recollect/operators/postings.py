@@ -218,3 +218,16 @@ class Postings:
         tf = F.col("tf")
         value = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.lit(total / max(n_docs, 1))))
         return hits.join(df, "query_id").select("query_id", "id", value.alias("score"))
+
+
+def name_hits(index: Postings, names: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(candidate, at, id): for each candidate the best phrase hit of its first name whose best hit is not chosen yet.
+
+    ``names`` has candidate, at and name, in the order of at; ``chosen`` candidate and id.
+    Of equally good hits the smaller id is the best. Candidates without such a name have no row.
+    """
+    asked = kept(names.select("candidate", "at", "name").withColumn("query_id", F.monotonically_increasing_id()))
+    hits = index.phrase_hits(asked.select("query_id", F.col("name").alias("text")), score=True)
+    best = hits.groupBy("query_id").agg(F.min(F.struct((-F.round("score", 9)).alias("less"), "id"))["id"].alias("id"))
+    fresh = asked.join(best, "query_id").join(chosen.select("candidate", "id"), ["candidate", "id"], "left_anti")
+    return fresh.groupBy("candidate").agg(F.min(F.struct("at", "id")).alias("x")).select("candidate", "x.at", "x.id")

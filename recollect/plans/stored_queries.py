@@ -6,14 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from recollect.functions.text import terms
 from recollect.operators import briefs, fold
-from recollect.operators.postings import Postings
+from recollect.operators.postings import Postings, name_hits
 from recollect.operators.retrieval import CANDIDATES
 from recollect.operators.tables import kept, shared_folder
 from recollect.plans.common import table
 from recollect.plans.memory_queries import _MESSAGES, _messages
+from recollect.plans.search_queries import _TERMS, _docs, _text_queries
 from recollect.plans.search_queries import ORACLE_SQL as _SEARCH
-from recollect.plans.search_queries import _docs, _text_queries
 from recollect.streaming import cursors
 
 
@@ -40,6 +41,15 @@ def stored_phrases(spark, d):
     return _index(spark, d).phrase_hits(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+def candidate_names(spark, d):
+    """Benchmark items as candidates, named by the first words of the next item and of their own; chosen are all documents that begin alike."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("candidate"), F.array_join(F.slice(terms(F.col("text")), 1, 3), " ").alias("name"))
+    names = items.select((F.col("candidate") - 1).alias("candidate"), F.lit(0).alias("at"), "name").union(items.select("candidate", F.lit(1).alias("at"), "name"))
+    heads = _docs(spark, d).select("id", F.array_join(F.slice(terms(F.col("text")), 1, 3), " ").alias("name"))
+    chosen = names.join(heads, "name").select("candidate", "id")
+    return name_hits(_index(spark, d), names, chosen)
+
+
 def prefix_cursor_stream(spark, d):
     """Documents as files, read as they grow: half of each, then all of it, rewritten where quality is 0, then all again."""
     folder = _folder(spark)
@@ -50,7 +60,7 @@ def prefix_cursor_stream(spark, d):
     whole = F.when(F.col("changed"), F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
     for day, content in enumerate((F.col("head"), whole, whole), 1):
         docs.select("path", F.lit(f"2024-01-0{day}").cast("timestamp").alias("activity"), F.encode(content, "UTF-8").alias("content")).write.parquet(f"{folder}/in/{day}")
-        with cursors.state_store(spark):
+        with cursors.state_store(spark, spark.sparkContext.defaultParallelism):
             told = cursors.increments(stream).withColumn("run", F.lit(day))
             query = told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
         query.awaitTermination()
@@ -64,7 +74,7 @@ def new_message_stream(spark, d):
     stream = spark.readStream.schema(cursors.MESSAGE).parquet(f"{folder}/in/*")
     for run, part in enumerate((F.col("k") < 60, F.col("k") >= 40)):
         messages.where(part).drop("k").write.parquet(f"{folder}/in/{run}")
-        with cursors.state_store(spark):
+        with cursors.state_store(spark, spark.sparkContext.defaultParallelism):
             told = cursors.new_messages(stream).withColumn("run", F.lit(run))
             query = told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/seen").trigger(availableNow=True).start()
         query.awaitTermination()
@@ -95,13 +105,26 @@ def page_order(spark, d):
     return found.select("page", F.round("best", 6).alias("best"), "observations", "inbound", F.round("score", 6).alias("score"), "order")
 
 
-QUERIES = {f.__name__: f for f in (stored_bm25, stored_phrases, prefix_cursor_stream, new_message_stream, dependency_order, hidden_rows, page_order)}
+QUERIES = {f.__name__: f for f in (stored_bm25, stored_phrases, candidate_names, prefix_cursor_stream, new_message_stream, dependency_order, hidden_rows, page_order)}
 
 _HALF = "substr(text, 1, CAST(floor(length(text) / 2) AS INTEGER))"
 
 ORACLE_SQL = {
     "stored_bm25": _SEARCH["bm25_topk"],
     "stored_phrases": _SEARCH["phrase_match"],
+    "candidate_names": f"""WITH d AS MATERIALIZED (SELECT doc_id AS id, {_TERMS} AS t FROM documents),
+bodies AS MATERIALIZED (SELECT id, t, ' ' || array_to_string(t, ' ') || ' ' AS body FROM d),
+items AS (SELECT item_id, {_TERMS}[1:3] AS p FROM benchmark),
+names AS (SELECT item_id - 1 AS candidate, 0 AS place, p FROM items UNION ALL SELECT item_id, 1, p FROM items),
+met AS (SELECT p, id, len(t) AS size, len(list_filter(range(1, len(t) + 1), lambda i: t[i:i + len(p) - 1] = p)) AS tf FROM (SELECT DISTINCT p FROM items) JOIN bodies ON contains(body, ' ' || array_to_string(p, ' ') || ' ')),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS average FROM d),
+weighed AS (SELECT *, count(*) OVER (PARTITION BY p) AS df FROM met),
+best AS (
+  SELECT p, arg_min(id, (-round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / average)), 9), id)) AS id
+  FROM weighed, stats GROUP BY p
+)
+SELECT candidate, CAST(min(place) AS INTEGER) AS "at", arg_min(best.id, place) AS id FROM names JOIN best USING (p)
+WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.id = best.id AND d.t[1:3] = names.p OR d.id = best.id AND d.t[1:3] IN (SELECT p FROM names o WHERE o.candidate = names.candidate)) GROUP BY candidate""",
     "prefix_cursor_stream": f"""WITH docs AS (SELECT doc_id, text, {_HALF} AS head, CASE WHEN coalesce(quality = 0, false) THEN 'x' || text ELSE text END AS whole FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL),
 told AS (
   SELECT doc_id, 1 AS run, 'new' AS status, head AS content, head AS text FROM docs

@@ -25,14 +25,22 @@ MESSAGE = "session string, id string, role string, timestamp string, text string
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state in RocksDB, which several state variables need."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which several state variables need.
+
+    ``partitions`` of the state are fixed by a checkpoint's first run; without them those of shuffles count.
+    """
+    wanted = {_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def _millis(time: pd.Timestamp) -> int:
