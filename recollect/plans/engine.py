@@ -7,6 +7,7 @@ at any time. Commands append one entry, or one batch, at a time: there is one wr
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import dataclass, field
@@ -27,7 +28,7 @@ from recollect.operators.snapshots import MOST as SEGMENTS
 from recollect.operators.snapshots import Snapshot, Snapshots
 from recollect.operators.tables import kept
 from recollect.operators.validation import SOURCE_KINDS, rated
-from recollect.sources.log import appended, dedup_key
+from recollect.sources.log import ACTORS, ENTRY_KINDS, appended, dedup_key
 from recollect.sources.registry import pending_order, sync_counts
 from recollect.sources.routing import longest_prefix
 from recollect.streaming import cursors
@@ -152,10 +153,19 @@ class Memory:
         return outcome.drop("conflict")
 
     def _one(self, kind: str, actor: str, payload: dict, text: str) -> int:
-        row = [(0, kind, actor, json.dumps(payload, ensure_ascii=False, sort_keys=True), payload.get("kind") or kind, text)]
-        df = self.spark.createDataFrame(row, "order long, kind string, actor string, payload string, k string, t string")
-        df = df.withColumn("created", self.now).withColumn("hash", dedup_key(F.col("k"), F.col("t")))
-        return self.append(df.select("order", "kind", "actor", "created", "payload", "hash")).first()["seq"]
+        """Appends one entry as ``append`` would a batch of one, reading no more of the log than keys and numbers."""
+        if kind not in ENTRY_KINDS or actor not in ACTORS:
+            raise Conflict("the kind or actor is unknown")
+        told = json.dumps(payload, ensure_ascii=False, sort_keys=True)
+        key = hashlib.sha256(f"{payload.get('kind') or kind}\x00{text}".encode()).hexdigest()
+        last, known = self.log().agg(F.coalesce(F.max("seq"), F.lit(0)), F.min(F.when(F.col("hash") == key, F.col("seq")))).first()
+        if known is not None:
+            if self.log().where(F.col("seq") == known).first()["payload"] != told:
+                raise Conflict("the log has this key with another payload")
+            return known
+        row = self.spark.createDataFrame([(last + 1, kind, actor, told, key)], "seq long, kind string, actor string, payload string, hash string")
+        row.withColumn("created", self.now).select(*_names(LOG)).coalesce(1).write.mode("append").parquet(self.path)
+        return last + 1
 
     def ingest(self, kind: str, text: str, label: str, happened: str | None = None, session: str | None = None) -> int:
         if kind not in SOURCE_KINDS or not text.strip() or not label.strip():
@@ -285,6 +295,11 @@ class Memory:
         links, pages, names = self._pages(full, self.snapshots.read(at, "page_edits", PAGE_EDIT) if at.tables.get("page_edits") else None)
         acts = self.snapshots.read(at, "acts", "folder string, id string, seq long, action string")
         evidence = self.snapshots.read(at, "evidence", "chunk string, observation string")
+        replaced = full.where("replaced_by is not null").select(F.col("id").alias("node"), F.col("replaced_by").alias("parent"))
+        if not replaced.isEmpty():
+            # What an observation rests on is passed on to what replaced it.
+            passed = fold.inherited(evidence.select(F.col("observation").alias("id"), F.col("chunk").alias("link")), replaced)
+            evidence = kept(passed.select(F.col("link").alias("chunk"), F.col("id").alias("observation")))
         return State(full.drop("pages"), links, pages, self.snapshots.read(at, "chunks", CHUNK), fold.focus_state(acts), evidence, names)
 
     def _advanced(self, at: Snapshot, last: int) -> Snapshot:

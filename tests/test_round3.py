@@ -124,3 +124,13 @@ def test_changes_are_marked(memory):
     assert any(" (forgotten) Beta is on hold." in x for x in told.lines) and not told.left
     with pytest.raises(ValueError):
         memory.changes(-1)
+
+
+def test_evidence_is_passed_on(spark, tmp_path):
+    made = Memory(spark, str(tmp_path), now="2024-06-20 00:00:00")
+    made.ingest("document", "Bells ring at noon.", "Bells")
+    first = made.state().observations.first()
+    made.edit(first["id"], first["seq"], supersede=True, line="Bells ring at one.")
+    s = made.state()
+    heir = s.observations.where("line like '%one.'").first()["id"]
+    assert {tuple(r) for r in s.evidence.collect()} == {("src:1/0", first["id"]), ("src:1/0", heir)}
