@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.llm.cuckoo import CuckooFilter, Full
-from recollect.llm.shared import stored
+from recollect.llm.shared import lean, stored
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Repeated keys for each shard's filter, the least tasks that share a shard's lines and
@@ -46,6 +46,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _keys(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
@@ -85,6 +86,7 @@ def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([None if full else made.dump()], pa.binary())], names=["shard", "filter"])
 
 
+@lean
 def _let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of each shard that its filter, which comes before them, lets through."""
     shard, made = None, None
@@ -109,6 +111,7 @@ def _let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.components import connected_components
-from recollect.llm.shared import stored
+from recollect.llm.shared import lean, stored
 
 SHINGLE = 5
 PERMUTATIONS, ROWS, BITS = 208, 4, 4
@@ -108,6 +108,7 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(rows[i].tobytes(), seed=i) for i in range(BANDS)]
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _WordHashes()
     for batch in batches:
@@ -152,6 +153,7 @@ def _linked(left: np.ndarray, right: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 75 * (len(left) + len(right) - both)
 
 
+@lean
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each centre, whose texts come first, with the texts that follow."""
     words, centre, own = _WordHashes(), None, []

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.shared import lean
 from recollect.llm.wordpieces import WordTable, bpe_table, chunks
 
 TIERS = (4096, 2048, 1024, 512)
@@ -46,6 +47,8 @@ def documents_ids(texts: pa.Array, table: WordTable) -> Iterator[np.ndarray]:
         words = table.words(pc.if_else(pc.match_substring(run, "<|"), run, pc.ascii_lower(run)))
         for i in range(len(run)):
             yield np.append(words.ids_of(i), np.uint32(END))
+        # Else the next run's words would be made beside these.
+        del words
 
 
 class Packer:
@@ -141,6 +144,7 @@ class StepGroups:
 
 
 def _packed(vocabulary: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bpe_table(vocabulary)
         base = TaskContext.get().partitionId() * PER_PARTITION

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recollect.llm.shared import lean
 from recollect.llm.wordpieces import WordTable, chunks, piece_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -133,9 +134,12 @@ def measures(texts: pa.Array, table: WordTable, is_byte: np.ndarray) -> Iterator
             _, counts = np.unique(ids, return_counts=True)
             share = counts / len(ids)
             yield text, (*base, base[1] / len(ids), float(is_byte[ids].mean()), max(0.0, float(-(share * np.log2(share)).sum())), int(table.letters[places].sum()) / len(ids))
+        # Else the next run's words would be made beside these.
+        del words
 
 
 def _judged(vocabulary: str, bands: dict[str, Band], text_at: int, lang_at: int | None, carried: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, is_byte = piece_table(vocabulary)
         for batch in batches:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fingerprint(df: DataFrame, *cols: str) -> tuple:
     """Count and order-free hash of the rows, to tell whether two tables agree."""
     return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*cols))).first())
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives unused memory back; one that does nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over batches, with memory that is no longer used given back after each batch and at the end.
+
+    A worker serves one stage after the other, and what Arrow and the C library keep for
+    reuse counts beside all that the later stages need.
+    """
+
+    @wraps(run)
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                pa.default_memory_pool().release_unused()
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return over

@@ -44,7 +44,11 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     """The runs of ``flat`` that begin at ``starts``, one after the other, and where each ends."""
     ends = np.cumsum(sizes, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)], ends
+    # Half the memory where that is wide enough.
+    width = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(width), sizes)
+    at += np.arange(total, dtype=width)
+    return flat[at], ends
 
 
 class Words:
@@ -108,14 +112,16 @@ class WordTable:
             starts = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[starts]
             values = values.filter(real)
         coded = values.dictionary_encode()
-        distinct = _list(coded.dictionary)
+        distinct, indices = _list(coded.dictionary), coded.indices.to_numpy()
+        # What Arrow made is not needed beside the ids.
+        del split, values, coded
         found = list(map(self.at.get, distinct))
         if None in found:
             if len(self.at) >= REMEMBERED:
                 self._keep([w for w, f in zip(distinct, found, strict=True) if f is not None])
             self._learn([w for w, f in zip(distinct, found, strict=True) if f is None])
             found = list(map(self.at.__getitem__, distinct))
-        return Words(self, starts, np.array(found, np.int64)[coded.indices.to_numpy()])
+        return Words(self, starts, np.array(found, np.int32)[indices])
 
 
 def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +130,11 @@ def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=1)
+def _model(load: Callable, path: str):
+    """The model that ``load`` reads; a worker keeps only the last, since it serves one stage after the other."""
+    return load(path)
+
+
 def _piece_model(path: str):
     import sentencepiece
 
@@ -133,7 +144,7 @@ def _piece_model(path: str):
 
 def piece_table(path: str) -> tuple[WordTable, np.ndarray]:
     """An empty table of a SentencePiece model, and whether each id stands for a byte; workers keep the model."""
-    model, is_byte = _piece_model(path)
+    model, is_byte = _model(_piece_model, path)
     return WordTable(lambda words: _joined(model.encode(words, num_threads=1)), counted=True), is_byte
 
 
@@ -160,10 +171,11 @@ class WordEnds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.merging = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merging.normalizer = normalizers.Sequence([])
+        self.whole = Tokenizer.from_file(path)
+        # Both share one model in memory.
+        self.merging = Tokenizer(self.whole.model)
         self.merging.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.is_end = np.zeros(self.whole.get_vocab_size(), bool)
         self.is_end[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
@@ -210,11 +222,6 @@ class WordEnds:
         return _gathered(flat, (np.cumsum(sizes) - sizes)[order], sizes[order])[0], sizes[order]
 
 
-@lru_cache(maxsize=1)
-def _word_ends(path: str) -> WordEnds:
-    return WordEnds(path)
-
-
 def bpe_table(path: str) -> WordTable:
     """An empty table of a tokenizers file; workers keep the model."""
-    return WordTable(_word_ends(path))
+    return WordTable(_model(WordEnds, path))

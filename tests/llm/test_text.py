@@ -1,9 +1,13 @@
 """Token counts, quality rules, packing and chat formats against plain Python."""
 
+import os
 import random
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -304,3 +308,38 @@ def test_templates_reach_no_python():
         render("{{ x.__class__ }}", x="text")
     with pytest.raises(TemplateError):
         render("{{ missing }}")
+
+
+WORKER = """
+import random, re, sys
+from pathlib import Path
+from types import SimpleNamespace
+import pyarrow as pa
+import pyspark.sql.functions
+from recollect.llm import packing, quality
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+def batches():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(60_000)]
+    for start in (0, 2000):
+        texts = [" ".join(rng.choices(words, k=600)) for _ in range(2000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(start, start + 2000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+packing.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+at_first = held()
+judged = sum(len(x) for x in quality._judged(sys.argv[1], quality.BANDS, 1, None, 2)(batches()))
+packed = sum(x.column(2).to_numpy().sum() > 0 for x in packing._packed(sys.argv[2])(batches()))
+print(judged, packed > 0, held() - at_first)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read as Linux tells it")
+def test_a_worker_gives_back_what_its_tasks_held():
+    """A worker that judged and packed keeps one model and little else."""
+    done = subprocess.run([sys.executable, "-c", WORKER, PIECES, WORDS], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    judged, packed, kept = done.stdout.split()
+    assert (judged, packed) == ("4000", "True")
+    assert int(kept) < 100
