@@ -17,8 +17,11 @@ from recollect.operators.tables import kept
 #: Hits of each retriever, the constant of the fusion, hits in all.
 CANDIDATES, RRF_K, MAX_HITS = 100, 60, 40
 K1, B = 1.2, 0.75
-#: Queries and vectors that one task multiplies at once.
-BLOCK = 2048
+#: Numbers of the vectors and of the queries that a task holds, and queries whose hits meet in one group.
+HELD, ASKED, MERGED = 1 << 23, 1 << 20, 1024
+#: Queries and vectors that are multiplied at once; products this far below the last hit may still be its equals.
+TILE, SLACK = (512, 4096), 1e-12
+_PACKED = "part int, query_ids binary, ids binary, scores binary"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,20 +31,100 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms)
 
 
-def _best(k: int):
+def _exact(asked: np.ndarray, held: np.ndarray, rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of columns, summed from the first number on, so that equal vectors tie wherever they lie."""
+    scores = np.empty(len(rows))
+    for low in range(0, len(rows), 1 << 16):
+        r, p = rows[low : low + (1 << 16)], places[low : low + (1 << 16)]
+        dot, left, right = np.zeros((3, len(r)))
+        for x, y in zip(asked, held, strict=True):
+            x, y = x[r].astype(np.float64), y[p].astype(np.float64)
+            dot += x * y
+            left += x * x
+            right += y * y
+        scores[low : low + len(r)] = np.clip(dot / np.sqrt(left * right), -1, 1)
+    return scores
+
+
+def _first(k: int, rows: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the k first of each row by ``order``, the last key first, sorted, and their places in the row from 0."""
+    sorted_ = np.lexsort((*order, rows))
+    r = rows[sorted_]
+    new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+    place = np.arange(len(r)) - np.repeat(new, np.diff(np.r_[new, len(r)]))
+    return sorted_[place < k], place[place < k]
+
+
+def _top(asked: np.ndarray, held: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place, score) of the k rows of ``held`` of largest cosine for each of ``asked``, ties by place.
+
+    Only products that reach the last hit so far are looked at; it moves on whenever twice as many vectors were met.
+    """
+    units = lambda x: x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    turned, columns = units(held).T, np.ascontiguousarray(held.T)
+    for top in range(0, len(asked), TILE[0]):
+        tile = asked[top : top + TILE[0]]
+        own, own_columns = units(tile), np.ascontiguousarray(tile.T)
+        rows = places = np.empty(0, np.int64)
+        scores, least = np.empty(0), np.full(len(tile), -np.inf)
+        at, stop = 0, max(2 * k, 1024)
+        while at < len(held):
+            met = []
+            for low in range(at, min(stop, len(held)), TILE[1]):
+                products = own @ turned[:, low : min(low + TILE[1], stop, len(held))]
+                width = products.shape[1]
+                if at == low == 0 and width > k:
+                    least = np.partition(products, width - k, axis=1)[:, width - k]
+                row, place = np.divmod(np.flatnonzero(products >= least[:, None] - SLACK), width)
+                met.append((row, place + low))
+            row, place = (np.concatenate(x) for x in zip(*met, strict=True))
+            rows, places, scores = np.r_[rows, row], np.r_[places, place], np.r_[scores, _exact(own_columns, columns, row, place)]
+            best, n = _first(k, rows, places, -scores)
+            rows, places, scores = rows[best], places[best], scores[best]
+            least = np.full(len(tile), -np.inf)
+            least[rows[n == k - 1]] = scores[n == k - 1]
+            at, stop = stop, 2 * stop
+        yield rows + top, places, scores
+
+
+def _best(k: int, parts: int):
+    """The k best of a block of vectors for each of a block of queries, packed by the group in which a query's hits meet."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = pa.Table.from_batches(list(batches))
-        asks, ids = np.asarray(data["asks"]), np.asarray(data["id"])
-        flat = data["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        units = flat.reshape(len(ids), -1)
-        units = units / np.linalg.norm(units, axis=1)[:, None]
+        asks, ids = np.asarray(data["asks"]), np.asarray(data["id"]).astype(np.int64)
+        raw = data["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        del data
         q, v = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(q) or not len(v):
+            return
         v = v[np.argsort(ids[v], kind="stable")]
-        scores = units[q] @ units[v].T if len(q) and len(v) else np.empty((len(q), 0))
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        n = top.shape[1]
-        columns = [np.repeat(ids[q], n), ids[v][top].ravel(), np.take_along_axis(scores, top, axis=1).ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
+        rows, places, scores = (np.concatenate(x) for x in zip(*_top(raw[q], raw[v], k), strict=True))
+        columns = [ids[q][rows], ids[v][places], scores]
+        part = (columns[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        told, starts = np.unique(part[order], return_index=True)
+        for n, own in zip(told, np.split(order, starts[1:]), strict=True):
+            packed = [pa.array([c[own].tobytes()], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array([int(n)], pa.int32()), *packed], names=["part", "query_ids", "ids", "scores"])
+
+    return run
+
+
+def _ranked(k: int):
+    """The k best of all that ``_best`` found for a query, ties by id."""
+    kinds = (("query_ids", np.int64), ("ids", np.int64), ("scores", np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, kind) for _, kind in kinds]
+        place = np.empty(0, np.int64)
+        for batch in batches:
+            held = [np.concatenate([x, *(np.frombuffer(b.as_buffer(), kind) for b in batch[name])]) for x, (name, kind) in zip(held, kinds, strict=True)]
+            best, place = _first(k, held[0], held[1], -held[2])
+            held = [x[best] for x in held]
+        for low in range(0, len(place), 1 << 16):
+            part = [pa.array(x[low : low + (1 << 16)]) for x in (*held, (place + 1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(part, names=["query_id", "id", "score", "rank"])
 
     return run
 
@@ -52,27 +135,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, scope:
     ``queries`` has query_id and vector, ``vectors`` id and vector, both further the
     columns ``scope``, in which a query and its hits agree. Vectors that are null or
     zero, hold a null, NaN or infinite number, or have another length than the query, are no hits. Queries meet vectors in
-    blocks of ``BLOCK``, each task keeps its k best, and the best of those are ranked.
+    blocks of ``ASKED`` and ``HELD`` numbers, each task keeps its k best, and the best of those are ranked.
     """
     scope = scope or []
 
     def valid(df: DataFrame) -> DataFrame:
         return df.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
 
-    sides = [valid(queries.select(*scope, F.col("query_id").alias("id"), "vector")), valid(vectors.select(*scope, "id", "vector"))]
-    sides = [x.withColumn("dim", F.size("vector")) for x in sides]
+    sides = [queries.select(*scope, F.col("query_id").alias("id"), "vector"), vectors.select(*scope, "id", "vector")]
+    sides = [x.where("size(vector) > 0").withColumn("dim", F.size("vector")) for x in sides]
     key = [*scope, "dim"]
-    sizes = [x.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for x, n in zip(sides, ("asked", "held"), strict=True)]
+    blocks = lambda numbers: F.ceil(F.count("*") * F.col("dim") / numbers).cast("int")
+    sizes = [x.groupBy(*key).agg(blocks(numbers).alias(n)) for x, n, numbers in zip(sides, ("asked", "held"), (ASKED, HELD), strict=True)]
     grid = sizes[0].join(sizes[1], key)
     parts = []
     for asks, (side, own, other) in enumerate(((sides[1], "held", "asked"), (sides[0], "asked", "held"))):
         block = F.pmod(F.abs(F.xxhash64("id")), F.col(own)).cast("int")
         spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        placed = side.join(grid, key).select(*key, "id", "vector", block.alias(f"b_{own}"), spread.alias(f"b_{other}"))
+        placed = valid(side).join(grid, key).select(*key, "id", "vector", block.alias(f"b_{own}"), spread.alias(f"b_{other}"))
         parts.append(placed.select(*key, "b_asked", "b_held", F.lit(bool(asks)).alias("asks"), "id", "vector"))
-    found = parts[0].union(parts[1]).groupBy(*key, "b_asked", "b_held").applyInArrow(_best(k), "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    groups = -(-queries.count() // MERGED) or 1
+    found = parts[0].union(parts[1]).groupBy(*key, "b_asked", "b_held").applyInArrow(_best(k, groups), _PACKED)
+    return found.groupBy("part").applyInArrow(_ranked(k), "query_id long, id long, score double, rank int")
 
 
 def postings(docs: DataFrame) -> DataFrame:
