@@ -1,6 +1,7 @@
 """JSON lines read by ranges of bytes, as a table and as a stream.
 
-A file of any size is read by many tasks. A line belongs to the range in which its line
+A file of any size is read by many tasks, each of which takes as many ranges as make up
+``TASK`` bytes. A line belongs to the range in which its line
 feed lies, so each task looks back for the beginning of its first line and no line is
 read twice. A stream's offset is the length of each file as it was listed: a line that
 was still being written is told once its line feed is there.
@@ -18,20 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-#: Bytes of a range, and of what is read at once.
-RANGE, BLOCK = 64 << 20, 1 << 20
+#: Bytes of a range, of what is read at once, and of the first look back for a line's beginning.
+RANGE, BLOCK, BACK = 64 << 20, 1 << 20, 4 << 10
+#: Bytes of the ranges that one task reads, and what a file counts at least.
+TASK, OPEN = 32 << 20, 256 << 10
 #: Lines, and bytes of lines, that a batch may hold before it is sent.
 _LINES, _SENT = 4096, 8 << 20
 SCHEMA = "path string, pos long, line binary, ended boolean"
 
 
 @dataclass
-class ByteRange(InputPartition):
-    path: str
-    start: int
-    stop: int
-    #: Whether a last line without a line feed is told as well.
-    to_end: bool
+class ByteRanges(InputPartition):
+    """Ranges of ``size`` bytes in the parts of files: (path, start, stop, whether a last line without a line feed is told as well)."""
+
+    parts: list[tuple[str, int, int, bool]]
+    size: int
 
 
 def _located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -48,16 +50,27 @@ def _sizes(uri: str, glob: str) -> dict[str, int]:
     return {named(f.path): f.size for f in found if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, glob)}
 
 
-def _split(path: str, start: int, stop: int, size: int, to_end: bool) -> list[ByteRange]:
-    cuts = [*range(start, stop, size), stop]
-    return [ByteRange(path, a, b, to_end and b == stop) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _dealt(parts: list[tuple[str, int, int, bool]], size: int) -> list[ByteRanges]:
+    """``parts`` of files cut at the ends of ranges and dealt to tasks, so that there are as many tasks as bytes ask for, not ranges."""
+    dealt: list[ByteRanges] = []
+    room = 0
+    for path, start, stop, to_end in parts:
+        while start < stop:
+            if room < size or not dealt:
+                dealt.append(ByteRanges([], size))
+                room = max(size, TASK)
+            cut = min(stop, start + room // size * size)
+            dealt[-1].parts.append((path, start, cut, to_end and cut == stop))
+            room -= max(cut - start, OPEN)
+            start = cut
+    return dealt
 
 
 def _begin(file: pa.NativeFile, start: int) -> int:
     """Where the line begins that goes on at ``start``."""
-    at = start
+    at, step = start, BACK
     while at > 0:
-        low = max(0, at - BLOCK)
+        low, step = max(0, at - step), min(2 * step, BLOCK)
         file.seek(low)
         found = file.read(at - low).rfind(b"\n")
         if found >= 0:
@@ -100,22 +113,25 @@ def _lines(file: pa.NativeFile, start: int, stop: int, to_end: bool) -> Iterator
             yield pos, line, False
 
 
-def _batches(part: ByteRange) -> Iterator[pa.RecordBatch]:
-    system, path = _located(part.path)
-    held: list[tuple[int, bytes, bool]] = []
+def _batches(task: ByteRanges) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, int, bytes, bool]] = []
     size = 0
 
     def sent() -> pa.RecordBatch:
-        pos, line, ended = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([part.path] * len(held)), pa.array(pos, pa.int64()), pa.array(line, pa.binary()), pa.array(ended)], names=["path", "pos", "line", "ended"])
-
-    with system.open_input_file(path) as file:
-        for row in _lines(file, part.start, part.stop, part.to_end):
-            held.append(row)
-            size += len(row[1])
-            if len(held) >= _LINES or size >= _SENT:
-                yield sent()
-                held, size = [], 0
+        path, pos, line, ended = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path), pa.array(pos, pa.int64()), pa.array(line, pa.binary()), pa.array(ended)], names=["path", "pos", "line", "ended"])
+
+    for uri, start, stop, to_end in task.parts:
+        system, path = _located(uri)
+        with system.open_input_file(path) as file:
+            for low in range(start, stop, task.size):
+                high = min(stop, low + task.size)
+                for row in _lines(file, low, high, to_end and high == stop):
+                    held.append((uri, *row))
+                    size += len(row[1])
+                    if len(held) >= _LINES or size >= _SENT:
+                        yield sent()
+                        held, size = [], 0
     if held:
         yield sent()
 
@@ -141,10 +157,10 @@ class _Table(DataSourceReader):
     def __init__(self, options):
         self.path, self.glob, self.size = options["path"], options.get("glob", "*.jsonl"), int(options.get("bytes", RANGE))
 
-    def partitions(self) -> list[ByteRange]:
-        return [x for path, length in sorted(_sizes(self.path, self.glob).items()) for x in _split(path, 0, length, self.size, True)]
+    def partitions(self) -> list[ByteRanges]:
+        return _dealt([(path, 0, length, True) for path, length in sorted(_sizes(self.path, self.glob).items())], self.size)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         return _batches(partition)
 
 
@@ -158,10 +174,10 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return _sizes(self.path, self.glob)
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        return [x for path, length in sorted(end.items()) if length > start.get(path, 0) for x in _split(path, start.get(path, 0), length, self.size, False)]
+    def partitions(self, start: dict, end: dict) -> list[ByteRanges]:
+        return _dealt([(path, start.get(path, 0), length, False) for path, length in sorted(end.items())], self.size)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         return _batches(partition)
 
 

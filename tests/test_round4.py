@@ -1,8 +1,11 @@
 """What fails on tables of several GB: hits by blocks, ranges by the thousand, sessions and cursors in bulk, what stays on disk."""
 
+import json
+
 import numpy as np
 
 from recollect.operators import retrieval
+from recollect.sources.line_ranges import json_line_ranges
 
 
 def test_hits_of_many_blocks_and_equal_vectors(spark, monkeypatch):
@@ -29,3 +32,16 @@ def test_hits_of_many_blocks_and_equal_vectors(spark, monkeypatch):
             ids = [i for i in np.lexsort((np.arange(len(all_)), -score)) if not scope or i % 3 == q % 3][:7]
             assert got.pop(q) == [(i, n) for n, i in enumerate(ids, 1)]
         assert got == {}
+
+
+def test_tasks_take_many_ranges(spark, tmp_path):
+    """A range is no task: 6 GB in ranges of 64 KB would be 160,000 of them."""
+    wanted = []
+    for name in ("a", "b"):
+        rows = [json.dumps({"n": n, "t": "x" * (n * 37 % 400)}) for n in range(900)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(rows))
+        wanted += [(f"{name}.jsonl", r) for r in rows]
+    for size in (64, 1000):
+        read = json_line_ranges(spark, str(tmp_path), size=size)
+        assert read.rdd.getNumPartitions() == 1
+        assert [(r["path"].rsplit("/", 1)[1], r["line"]) for r in read.orderBy("path", "pos").collect()] == wanted
