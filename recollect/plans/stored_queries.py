@@ -10,7 +10,7 @@ from recollect.functions.text import terms
 from recollect.operators import briefs, fold
 from recollect.operators.postings import Postings, name_hits
 from recollect.operators.retrieval import CANDIDATES
-from recollect.operators.tables import kept, shared_folder
+from recollect.operators.tables import shared_folder
 from recollect.plans.common import table
 from recollect.plans.memory_queries import _MESSAGES, _messages
 from recollect.plans.search_queries import _TERMS, _docs, _text_queries
@@ -55,14 +55,14 @@ def prefix_cursor_stream(spark, d):
     folder = _folder(spark)
     half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
     docs = table(spark, d, "documents").where("text is not null").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    docs = kept(docs.select(F.col("doc_id").cast("string").alias("path"), "text", half.alias("head"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("changed")))
+    docs = docs.select(F.col("doc_id").cast("string").alias("path"), "text", half.alias("head"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("changed"))
     stream = spark.readStream.schema("path string, activity timestamp, content binary").parquet(f"{folder}/in/*")
     whole = F.when(F.col("changed"), F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
     for day, content in enumerate((F.col("head"), whole, whole), 1):
-        docs.select("path", F.lit(f"2024-01-0{day}").cast("timestamp").alias("activity"), F.encode(content, "UTF-8").alias("content")).write.parquet(f"{folder}/in/{day}")
+        docs.select("path", F.lit(f"2024-01-0{day}").cast("timestamp").alias("activity"), F.encode(content, "UTF-8").alias("content")).write.option("compression", "zstd").parquet(f"{folder}/in/{day}")
         with cursors.state_store(spark, spark.sparkContext.defaultParallelism):
             told = cursors.increments(stream).withColumn("run", F.lit(day))
-            query = told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
+            query = told.writeStream.format("parquet").option("compression", "zstd").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cursor").trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(F.col("path").cast("long").alias("doc_id"), "run", "status", "length", F.md5("text").alias("text_md5"))
 

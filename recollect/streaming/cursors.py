@@ -3,8 +3,9 @@
 A unit of text is read again and again as it grows. The state of each unit is what was
 taken of it so far: the length and hash of its content, the versions of it that still wait
 to settle, and their timer. It lives in the stream's checkpoint, so a restarted stream goes
-on where it stopped, and no table of cursors is read or written. Conversations keep the
-ids of the messages that were taken.
+on where it stopped, and no table of cursors is read or written. Units that do not wait share
+their state by buckets of paths, since a call for each unit costs a hundred times what it does.
+Conversations keep the ids of the messages that were taken.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,9 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 INCREMENT = "path string, status string, text string, length long, hash string, activity timestamp"
 MESSAGE = "session string, id string, role string, timestamp string, text string"
+#: Buckets of paths whose cursors are one state; a bucket's rows of a micro-batch are held at once.
+BUCKETS = 1024
+_CURSORS = pa.schema([("path", pa.string()), ("length", pa.int64()), ("hash", pa.string()), ("activity", pa.timestamp("ns"))])
 
 
 @contextmanager
@@ -47,14 +52,68 @@ def _millis(time: pd.Timestamp) -> int:
     return int(time.value // 1_000_000)
 
 
-class PrefixCursor(StatefulProcessor):
-    """Rows (path, activity, content) of one unit, in any number, to what each has beyond the last.
+def _step(taken: tuple[int, str] | None, path: str, content: bytes, activity: pd.Timestamp) -> tuple[tuple, tuple]:
+    """The row that tells of ``content``, and the cursor after it."""
+    length, digest = len(content), hashlib.sha256(content).hexdigest()
+    if taken is None:
+        status, rest = "new", content
+    elif length < taken[0] or hashlib.sha256(memoryview(content)[: taken[0]]).hexdigest() != taken[1]:
+        status, rest = "rewritten", None
+    else:
+        status, rest = ("unchanged", None) if length == taken[0] else ("appended", content[taken[0] :])
+    if rest is not None:
+        taken = (length, digest)
+    return (path, status, None if rest is None else rest.decode("utf-8", "replace"), length, digest, activity), (*taken, activity)
 
-    With ``settle`` only the newest version is told, once the watermark is so many
-    milliseconds past its activity; a newer one before that takes its place.
+
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[x.split()[0] for x in INCREMENT.split(", ")]).astype({"length": "int64", "activity": "datetime64[ns]"})
+
+
+class PrefixCursors(StatefulProcessor):
+    """Rows (path, activity, content) of a bucket of units to what each has beyond its unit's last."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cursors = handle.getValueState("cursors", "packed binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        taken: dict[str, tuple] = {}
+        if self.cursors.exists():
+            with pa.ipc.open_stream(bytes(self.cursors.get()[0])) as packed:
+                told = packed.read_all()
+            moments = told["activity"].to_pandas()
+            taken = {path: (length, digest, at) for path, length, digest, at in zip(told["path"].to_pylist(), told["length"].to_pylist(), told["hash"].to_pylist(), moments, strict=True)}
+        units: dict[str, list[tuple]] = {}
+        for df in rows:
+            for path, activity, content in zip(df["path"], df["activity"], df["content"], strict=True):
+                units.setdefault(path, []).append((activity, content or b""))
+        out = []
+        for path, versions in units.items():
+            last = taken[path][2] if path in taken else None
+            for activity, content in sorted(versions, key=lambda v: (v[0], len(v[1]))):
+                # What came late is older than what was told.
+                if last is None or not activity < last:
+                    row, taken[path] = _step(taken[path][:2] if path in taken else None, path, content, activity)
+                    out.append(row)
+        columns = zip(*((path, *cursor) for path, cursor in taken.items()), strict=True)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _CURSORS) as packed:
+            packed.write_table(pa.table([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, _CURSORS, strict=True)], schema=_CURSORS))
+        self.cursors.update((sink.getvalue().to_pybytes(),))
+        yield _rows(out)
+
+    def close(self) -> None:
+        pass
+
+
+class SettlingCursor(StatefulProcessor):
+    """Rows (path, activity, content) of one unit to what its newest version has beyond the last told.
+
+    A version is told once the watermark is ``settle`` milliseconds past its activity; a newer one
+    before that takes its place.
     """
 
-    def __init__(self, settle: int | None = None):
+    def __init__(self, settle: int):
         self.settle = settle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -62,47 +121,27 @@ class PrefixCursor(StatefulProcessor):
         self.cursor = handle.getValueState("cursor", "length long, hash string, activity timestamp")
         self.waiting = handle.getValueState("waiting", "content binary, activity timestamp")
 
-    def _told(self, path: str, content: bytes, activity: pd.Timestamp) -> tuple:
-        length, digest = len(content), hashlib.sha256(content).hexdigest()
-        taken = self.cursor.get()[:2] if self.cursor.exists() else None
-        if taken is None:
-            status, rest = "new", content
-        elif length < taken[0] or hashlib.sha256(content[: taken[0]]).hexdigest() != taken[1]:
-            status, rest = "rewritten", None
-        else:
-            status, rest = ("unchanged", None) if length == taken[0] else ("appended", content[taken[0] :])
-        if rest is not None:
-            taken = (length, digest)
-        self.cursor.update((*taken, activity))
-        return path, status, None if rest is None else rest.decode("utf-8", "replace"), length, digest, activity
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         last = self.cursor.get()[2] if self.cursor.exists() else None
         newest = None
-        out = []
         for r in sorted((r for df in rows for r in df.itertuples(index=False)), key=lambda r: (r.activity, len(r.content or b""))):
             # What came late is older than what was told.
-            if last is not None and r.activity < last:
-                continue
-            if self.settle is None:
-                out.append(self._told(key[0], r.content or b"", r.activity))
-            else:
+            if last is None or not r.activity < last:
                 newest = r
         if newest is not None and (not self.waiting.exists() or self.waiting.get()[1] <= newest.activity):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.waiting.update((newest.content or b"", newest.activity))
             self.handle.registerTimer(max(_millis(newest.activity) + self.settle, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._rows(out)
+        yield _rows([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         content, activity = self.waiting.get()
         self.waiting.clear()
-        yield self._rows([self._told(key[0], bytes(content), pd.Timestamp(activity))])
-
-    @staticmethod
-    def _rows(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[x.split()[0] for x in INCREMENT.split(", ")]).astype({"length": "int64", "activity": "datetime64[ns]"})
+        taken = self.cursor.get()[:2] if self.cursor.exists() else None
+        row, cursor = _step(taken, key[0], bytes(content), pd.Timestamp(activity))
+        self.cursor.update(cursor)
+        yield _rows([row])
 
     def close(self) -> None:
         pass
@@ -119,11 +158,11 @@ def increments(units: DataFrame, settle: float | None = None) -> DataFrame:
     newer has come.
     """
     stream = units.select("path", F.col("activity").cast("timestamp").alias("activity"), F.col("content").cast("binary").alias("content"))
-    mode = "None"
-    if settle is not None:
-        stream, mode = stream.withWatermark("activity", "0 seconds"), "EventTime"
-    milliseconds = None if settle is None else int(settle * 3_600_000)
-    return stream.groupBy("path").transformWithStateInPandas(PrefixCursor(milliseconds), INCREMENT, "Append", mode)
+    if settle is None:
+        bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+        return stream.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(PrefixCursors(), INCREMENT, "Append", "None")
+    processor = SettlingCursor(int(settle * 3_600_000))
+    return stream.withWatermark("activity", "0 seconds").groupBy("path").transformWithStateInPandas(processor, INCREMENT, "Append", "EventTime")
 
 
 class SeenMessages(StatefulProcessor):

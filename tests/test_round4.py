@@ -1,11 +1,13 @@
 """What fails on tables of several GB: hits by blocks, ranges by the thousand, sessions and cursors in bulk, what stays on disk."""
 
+import datetime as dt
 import json
 
 import numpy as np
 
 from recollect.operators import retrieval
 from recollect.sources.line_ranges import json_line_ranges
+from recollect.streaming import cursors
 
 
 def test_hits_of_many_blocks_and_equal_vectors(spark, monkeypatch):
@@ -45,3 +47,22 @@ def test_tasks_take_many_ranges(spark, tmp_path):
         read = json_line_ranges(spark, str(tmp_path), size=size)
         assert read.rdd.getNumPartitions() == 1
         assert [(r["path"].rsplit("/", 1)[1], r["line"]) for r in read.orderBy("path", "pos").collect()] == wanted
+
+
+def test_cursors_share_their_state(spark, tmp_path, monkeypatch):
+    """Forty units are one call and one row of state, and are told as each of them would be alone."""
+    monkeypatch.setattr(cursors, "BUCKETS", 1, raising=False)
+    shape = "path string, activity timestamp, content binary"
+    texts = [{f"u{i}": "ab" * i for i in range(40)}, {f"u{i}": ("x" if i % 3 == 0 else "") + "ab" * i + "c" * (i % 2) for i in range(40)}]
+    told = []
+    for day, wave in enumerate(texts, 1):
+        spark.createDataFrame([(p, dt.datetime(2024, 1, day), t.encode()) for p, t in wave.items()], shape).write.parquet(f"{tmp_path}/in/{day}")
+        stream = cursors.increments(spark.readStream.schema(shape).parquet(f"{tmp_path}/in/*"))
+        with cursors.state_store(spark):
+            query = stream.writeStream.foreachBatch(lambda df, _: told.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+            query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    want = {(p, "new", t) for p, t in texts[0].items()}
+    for i, (p, t) in enumerate(texts[1].items()):
+        want.add((p, "rewritten", None) if i % 3 == 0 and i else (p, "unchanged", None) if t == texts[0][p] else (p, "appended", t[2 * i :]))
+    assert {(r["path"], r["status"], r["text"]) for r in told} == want
