@@ -16,7 +16,11 @@ their terms, until ``merge`` writes one segment of all that is left.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,55 @@ _DOC = "id long, size int, terms array<string>"
 _SEGMENT = "segment string, n_docs long, total_size long, gone boolean, upto long, version long"
 
 
+def _inverted(ids: np.ndarray, words: pa.ListArray, block: int) -> pa.RecordBatch:
+    """The index's rows of one block, by term; ``words`` of documents in the order of ``ids``."""
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+    encoded = words.flatten().dictionary_encode()
+    by_term = pc.sort_indices(encoded.dictionary).to_numpy()
+    place = np.empty(len(by_term), np.int64)
+    place[by_term] = np.arange(len(by_term))
+    term, doc = place[encoded.indices.to_numpy()], np.repeat(np.arange(len(ids)), sizes)
+    at = (np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    order = np.argsort(term, kind="stable")
+    term, doc, at = term[order], doc[order], at[order]
+    pair = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
+    ends = np.r_[pair, len(term)].astype(np.int32)
+    held = sizes[doc[pair]].astype(np.int32)
+    first = np.flatnonzero(np.r_[True, np.diff(term[pair]) != 0])
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(at))
+    entries = pa.StructArray.from_arrays([pa.array(ids[doc[pair]]), pa.array(held), positions], names=["id", "size", "positions"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pair)].astype(np.int32)), entries)
+    most, least = np.maximum.reduceat(np.diff(ends), first), np.minimum.reduceat(held, first)
+    counts = np.diff(np.r_[first, len(pair)])
+    columns = [encoded.dictionary.take(pa.array(by_term)), pa.array(np.full(len(first), block, np.int32)), pa.array(counts), pa.array(most), pa.array(least), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_size", "entries"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, block, words), sorted by block and id, to those of the index, block by block."""
+    held: list[pa.RecordBatch] = []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        words = pc.if_else(pc.is_valid(rows["words"]), rows["words"], pa.scalar([], pa.list_(pa.string()))).combine_chunks()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        if len(words.flatten()):
+            yield _inverted(rows["id"].to_numpy(), words, rows["block"][0].as_py())
+
+    for batch in batches:
+        block = batch["block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            if low == high:
+                continue
+            if held and held[0]["block"][0].as_py() != block[low]:
+                yield from told()
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield from told()
+
+
 class Postings:
     """The index in a folder that the driver and all executors see."""
 
@@ -100,20 +153,16 @@ class Postings:
         cut = docs.select(F.col("id").cast("long").alias("id"), terms(F.col("text")).alias("words"))
         cut = cut.select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
         forward = cut.select("id", F.size("words").alias("size"), F.array_distinct("words").alias("terms"))
-        forward.write.parquet(f"{self.path}/docs/{name}")
+        forward.write.option("compression", "zstd").parquet(f"{self.path}/docs/{name}")
         held = self.spark.read.schema(_DOC).parquet(f"{self.path}/docs/{name}")
         n, size = held.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         if not n:
             return 0, 0
         block = F.pmod(F.xxhash64("id"), F.lit(-(-n // BLOCK))).cast("int")
-        words = cut.select("id", block.alias("block"), F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
-        # One shuffle: what is dealt by term and block is also apart by document.
-        dealt = words.repartition("term", "block")
-        each = dealt.groupBy("term", "block", "id", "size").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-        entries = F.sort_array(F.collect_list(F.struct("id", "size", "positions")))
-        rows = each.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(F.size("positions")).alias("max_tf"), F.min("size").alias("min_size"), entries.alias("entries"))
-        # Sorted by term, so that readers skip what no query asks for.
-        rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/postings/{name}")
+        # Texts are dealt by block, not their words: whoever holds a block makes all its rows. Files are sorted by term, so that readers skip what no query asks for.
+        dealt = docs.select(F.col("id").cast("long").alias("id"), "text").withColumn("block", block).repartition("block").sortWithinPartitions("block", "id")
+        rows = dealt.select("id", "block", terms(F.col("text")).alias("words")).mapInArrow(_blocks, _POSTING)
+        rows.sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{self.path}/postings/{name}")
         return n, size
 
     def merge(self) -> None:

@@ -6,10 +6,25 @@ import json
 import numpy as np
 
 from recollect.operators import retrieval
+from recollect.operators.postings import Postings
 from recollect.sources.line_ranges import json_line_ranges
 from recollect.streaming import cursors
 
 
+def shuffled(spark, act):
+    """Rows that shuffles wrote while ``act`` ran."""
+    sc = spark.sparkContext
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    act()
+    return written() - before
+
+
 def test_hits_of_many_blocks_and_equal_vectors(spark, monkeypatch):
     """Blocks' hits meet packed, and vectors told four times tie by id wherever their blocks lie."""
     monkeypatch.setattr(retrieval, "HELD", 2000, raising=False)
@@ -66,3 +81,21 @@ def test_cursors_share_their_state(spark, tmp_path, monkeypatch):
     for i, (p, t) in enumerate(texts[1].items()):
         want.add((p, "rewritten", None) if i % 3 == 0 and i else (p, "unchanged", None) if t == texts[0][p] else (p, "appended", t[2 * i :]))
     assert {(r["path"], r["status"], r["text"]) for r in told} == want
+
+
+def test_an_index_is_made_without_dealing_words(spark, tmp_path, monkeypatch):
+    """Texts go to the task that makes their block's rows; blocks hold all words with their places."""
+    monkeypatch.setattr("recollect.operators.postings.BLOCK", 16)
+    texts = {i: " ".join(f"w{i * j % 23}" for j in range(i % 9 * 7)) for i in range(100)}
+    docs = spark.createDataFrame([*texts.items(), (100, None)], "id long, text string").repartition(3)
+    index = Postings(spark, str(tmp_path / "index"))
+    assert shuffled(spark, lambda: index.extend(docs)) < sum(len(t.split()) for t in texts.values()) / 4
+    rows = index._of(index.segments(), "postings", "term string, block int, n long, max_tf int, min_size int, entries array<struct<id:long,size:int,positions:array<int>>>").collect()
+    got = {(e["id"], r["term"]): (e["size"], e["positions"]) for r in rows for e in r["entries"]}
+    want = {}
+    for i, text in texts.items():
+        words = text.split()
+        for w in set(words):
+            want[i, w] = (len(words), [n for n, x in enumerate(words) if x == w])
+    assert got == want and len({r["block"] for r in rows}) > 3
+    assert all(r["n"] == len(r["entries"]) and r["max_tf"] == max(len(e["positions"]) for e in r["entries"]) and r["min_size"] == min(e["size"] for e in r["entries"]) for r in rows)
