@@ -6,7 +6,7 @@ import json
 import numpy as np
 import pytest
 
-from recollect.operators import retrieval
+from recollect.operators import integration, retrieval
 from recollect.operators.postings import Postings
 from recollect.plans import catalogue
 from recollect.sources import sessions
@@ -129,3 +129,12 @@ def test_branches_of_a_table_of_transcripts(spark):
     for rows, fault in (([line("a", "gone", "user")], "no message has the id gone"), ([line("a", "b", "user"), line("b", "a", "user")], "circle")):
         with pytest.raises(Exception, match=fault):
             sessions.sessions(sessions.transcript_lines(spark.createDataFrame([("c", "\n".join([head("c"), *rows]))], "path string, value string")), "pi").collect()
+
+
+def test_evidence_is_not_copied(spark, monkeypatch):
+    """What all heirs rest on, the largest table of a graph, is read where it is used."""
+    copied = []
+    kept = integration.kept
+    monkeypatch.setattr(integration, "kept", lambda df: copied.append(df.columns) or kept(df))
+    found = catalogue.QUERIES["integrated_graph"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and copied and ["id", "chunk"] not in copied and ["id", "entry"] not in copied
